@@ -1,5 +1,5 @@
 """Registered queries over the given tables, each with an independent SQL oracle where SQL can say it."""
 
-from entries import recommend
+from entries import maintenance, recommend
 
-ALL_MODULES = [recommend]
+ALL_MODULES = [recommend, maintenance]
