@@ -1,5 +1,5 @@
 """Registered queries over the given tables, each with an independent SQL oracle where SQL can say it."""
 
-from entries import maintenance, recommend
+from entries import checks, files, maintenance, recommend, resolution
 
-ALL_MODULES = [recommend, maintenance]
+ALL_MODULES = [recommend, maintenance, resolution, files, checks]

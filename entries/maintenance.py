@@ -16,11 +16,11 @@ QUERIES, ORACLES = register.queries, register.oracles
 
 TARGET_RECIPE = """SELECT o_orderkey AS recipe_id, o_orderstatus AS source_type, CAST(o_orderkey AS STRING) AS source_recipe_id,
   concat('old ', o_orderkey) AS name, o_orderpriority AS difficulty, CAST(o_custkey % 50 AS INT) AS cook_time_min,
-  '{"kcal":1}' AS nutrition, array('old', o_orderpriority) AS tags
+  '{{"kcal":1}}' AS nutrition, array('old', o_orderpriority) AS tags
 FROM {orders} WHERE o_orderdate < TIMESTAMP_NTZ'1998-01-01'"""
 STAGED_RECIPE = """SELECT o_orderstatus AS source_type, CAST(o_orderkey AS STRING) AS source_recipe_id, concat('new ', o_orderkey) AS name,
   CASE WHEN o_totalprice > 200000 THEN 'hard' END AS difficulty, CASE WHEN o_custkey % 3 = 0 THEN CAST(o_custkey % 20 AS INT) END AS cook_time_min,
-  CASE WHEN o_totalprice > 300000 THEN '{"kcal":2}' ELSE '{{}}' END AS nutrition,
+  CASE WHEN o_totalprice > 300000 THEN '{{"kcal":2}}' ELSE '{{}}' END AS nutrition,
   CASE WHEN o_custkey % 2 = 0 THEN array('new') ELSE CAST(array() AS ARRAY<STRING>) END AS tags
 FROM {orders} WHERE o_orderdate >= TIMESTAMP_NTZ'1996-01-01'"""
 
