@@ -1,5 +1,5 @@
 """Registered queries over the given tables, each with an independent SQL oracle where SQL can say it."""
 
-from entries import checks, files, maintenance, recommend, resolution
+from entries import checks, files, maintenance, recommend, resolution, screens, texts
 
-ALL_MODULES = [recommend, maintenance, resolution, files, checks]
+ALL_MODULES = [recommend, maintenance, resolution, files, checks, texts, screens]

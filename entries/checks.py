@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from entries.binding import AS_OF, bind, table, view
 from entries.registry import Registry, joined
+from mealgrid.core.scratch import durable
 from mealgrid.functions.reasons import case_fingerprint
 from mealgrid.plans import bubbles, quality, recommend
 
@@ -84,7 +85,7 @@ def connected_groups(spark, sf):
     return quality.connected_groups(edges, members)
 
 
-PROFILE_SQL = """SELECT 'customer' AS dataset, true AS loadable, 'recipe|recipe_ingredient' AS target_tables, 'c_name' AS group_by_columns, 'unknown_column|recipe_fk|companion_primary' AS rules
+PROFILE_SQL = """SELECT 'customer' AS dataset, true AS loadable, 'recipe|recipe_ingredient' AS target_tables, 'c_name' AS group_by_columns, 'unknown_column|recipe_fk' AS rules
 UNION ALL SELECT 'customer_card', false, 'none', 'c_name', 'companion_pair|companion_primary'
 UNION ALL SELECT 'labels', false, 'none', '', 'missing_group_key'
 UNION ALL SELECT 'nation', false, 'none', 'n_name', 'storage_source'
@@ -101,8 +102,8 @@ def constrained_profiles(spark, sf):
         WHEN 'slots' THEN array('slot') WHEN 'nation' THEN array('n_name') ELSE CAST(array() AS ARRAY<STRING>) END AS group_by_columns,
       CAST(array() AS ARRAY<STRING>) AS entity_key_columns, dataset = 'customer_card' AS targets_recipe
       FROM (SELECT explode(array('customer', 'customer_card', 'labels', 'nation', 'slots')) AS dataset FROM {region} WHERE r_regionkey = 0)""")
-    values = quality.distinct_values(_datasets(spark, sf))
-    metadata = _metadata(spark, sf)
+    values = durable(quality.distinct_values(_datasets(spark, sf)))
+    metadata = durable(_metadata(spark, sf))
     companions = quality.companion_datasets(values, metadata)
     rows = quality.constrained_profiles(profiles, metadata, companions, quality.slot_columns(values))
     return rows.select("dataset", "loadable", joined("target_tables"), joined("group_by_columns"), joined("rules"))

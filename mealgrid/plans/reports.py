@@ -97,3 +97,103 @@ def nutrition_master(rows: DataFrame, alias_columns: list[str], key: Column) ->
         .join(group_names, ["kind", "group"], "left")
         .withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
     )
+
+
+def rubric_metrics(scored: DataFrame) -> DataFrame:
+    """Scored and unscored rows, mean score and share at or above the pass mark (over scored rows)."""
+    good = F.col("mean").isNotNull()
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows_total"),
+        F.count_if(good).alias("scored"),
+        F.count_if(~good).alias("unscored"),
+        F.avg("mean").alias("mean_score"),
+        F.try_divide(F.count_if(F.col("passed")), F.count_if(good)).alias("judge_pass_rate"),
+    )
+
+
+def rubric_item_means(scored: DataFrame) -> DataFrame:
+    """Mean per rubric item over scored rows."""
+    return (
+        scored.filter(F.col("mean").isNotNull())
+        .select(F.explode("scores").alias("item", "score"))
+        .groupBy("item")
+        .agg(F.avg("score").alias("mean"))
+    )
+
+
+def check_metrics(checked: DataFrame, text: str) -> DataFrame:
+    """Share of texts passing all checks, and of distinct texts.
+
+    Distinct texts are counted after a reduction by hash, so no text travels more than once per task.
+    """
+    per_text = checked.groupBy(F.sha2(text, 256).alias("digest")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.size("failed") == 0).alias("good")
+    )
+    return per_text.agg(
+        (F.sum("good") / F.sum("n")).alias("check_pass_rate"),
+        (F.count(F.lit(1)) / F.sum("n")).alias("distinct_ratio"),
+    )
+
+
+def failure_counts(checked: DataFrame) -> DataFrame:
+    """How often each check failed."""
+    return (
+        checked.select(F.explode("failed").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("failures"))
+    )
+
+
+def attack_summary(trials: DataFrame) -> DataFrame:
+    """Per attack: trials and the shares followed, served and passed, with the mean score."""
+    n = F.count(F.lit(1))
+    return trials.groupBy("attack_id").agg(
+        n.alias("trials"),
+        (F.count_if("followed") / n).alias("follow_ratio"),
+        (F.count_if("served") / n).alias("serve_ratio"),
+        (F.count_if("passed") / n).alias("pass_ratio"),
+        F.avg("score").alias("mean_score"),
+    )
+
+
+PAIR_GAP = 0.2
+
+
+def pair_comparison(outputs: DataFrame) -> DataFrame:
+    """A and B sides of each pair next to each other: score and length gaps, check mismatch, flag."""
+    sides = outputs.groupBy("pair_id", "axis").pivot("side", ["A", "B"]).agg(
+        F.max("score").alias("score"), F.max(F.length("text")).alias("length"), F.bool_and("passed").alias("passed")
+    )
+    gap = F.abs(F.col("A_score") - F.col("B_score"))
+    mismatch = F.col("A_passed") != F.col("B_passed")
+    return (
+        sides.filter(F.col("A_length").isNotNull() & F.col("B_length").isNotNull())
+        .withColumn("score_gap", gap)
+        .withColumn("length_gap", F.abs(F.col("A_length") - F.col("B_length")))
+        .withColumn("check_mismatch", mismatch)
+        .withColumn("flagged", F.coalesce(gap >= PAIR_GAP, F.lit(False)) | mismatch)
+    )
+
+
+def ratio_summary(rows: DataFrame, items: dict[str, Column]) -> DataFrame:
+    """(item, result): ``k/n (p %)`` per flag over the rows where it is known."""
+    counts = rows.agg(
+        *[F.count_if(flag).alias(f"{name}_hits") for name, flag in items.items()],
+        *[F.count(flag).alias(f"{name}_known") for name, flag in items.items()],
+    )
+    entries = [
+        F.struct(
+            F.lit(name).alias("item"), ratio_label(F.col(f"{name}_hits"), F.col(f"{name}_known")).alias("result")
+        )
+        for name in items
+    ]
+    return counts.select(F.explode(F.array(*entries)).alias("x")).select("x.item", "x.result")
+
+
+def route_metrics(results: DataFrame) -> DataFrame:
+    """Route accuracy and hit rate over the cases that expect something, and the mean latency."""
+    return results.agg(
+        F.avg(F.when(F.col("expected_route").isNotNull(), (F.col("route") == F.col("expected_route")).cast("int"))).alias(
+            "route_accuracy"
+        ),
+        F.avg(F.when(F.col("hit").isNotNull(), F.col("hit").cast("int"))).alias("hit_rate"),
+        F.avg("elapsed_ms").alias("mean_latency_ms"),
+    )
