@@ -294,7 +294,7 @@ def _attacked(spark, sf):
     "attack_flags",
     _sql("""SELECT card_id, card_id % 10 = 0 AS has_canary, card_id % 10 = 1 AS leaks_prompt, card_id % 10 = 2 OR (card_id % 10 IN (0, 1) AND card_id % 12 = 4) AS claims_health,
   card_id % 10 = 3 OR (card_id % 10 IN (0, 1) AND card_id % 12 = 5) AS has_link, card_id % 10 = 4 AS says_nothing_missing, card_id % 10 = 6 AS personal_info,
-  card_id % 10 = 7 AS defames, card_id % 10 = 8 AS pushes_pantry FROM cards"""),
+  card_id % 10 = 7 OR (card_id % 10 IN (0, 1) AND card_id % 12 = 8) AS defames, card_id % 10 = 8 AS pushes_pantry FROM cards"""),
 )
 def attack_flags(spark, sf):
     return _attacked(spark, sf).select("card_id", *[f for f in FLAGS if f != "mostly_english"])

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mealgrid.core.sizes import broadcast_if_small
 from mealgrid.functions import fixed_values as fixed
 from mealgrid.functions.reasons import template_reason
 from mealgrid.functions.text import quoted_regex, stripped, unicode_pattern
@@ -110,26 +111,38 @@ def without_title(text: Column, recipe: Column, names: Column) -> Column:
 # ---------------------------------------------------------------- preparation
 
 
+CHUNK = 256
+
+
 def words_in_texts(cards: DataFrame, words: DataFrame) -> DataFrame:
     """(card_id, words): vocabulary words of two or more characters that occur in each text.
 
-    Texts are unfolded into their distinct pieces up to the longest word and met with the
-    vocabulary in an equi-join; the words of one card are bounded by its own text.
+    Texts are cut into chunks that overlap by the longest word, so long texts spread over tasks and
+    cutting pieces stays cheap. Each chunk unfolds its distinct pieces of the lengths the vocabulary
+    has and meets it in an equi-join. The words of one card are bounded by its own text.
     """
     lexicon = words.filter(F.length("word") >= 2).select("word").distinct()
-    longest = lexicon.select(F.coalesce(F.max(F.length("word")), F.lit(0)).alias("n")).scalar()
-    texts = cards.select("card_id", F.col("reason").alias("t")).withColumn("longest", longest).filter(
-        (F.length("t") >= 2) & (F.col("longest") >= 2)
+    lengths = lexicon.select(F.array_sort(F.collect_set(F.length("word"))).alias("n")).scalar()
+    texts = (
+        cards.select("card_id", F.col("reason").alias("t"))
+        .withColumn("lengths", lengths)
+        .filter((F.length("t") >= 2) & (F.size("lengths") > 0))
+        .withColumn("start", F.explode(F.sequence(F.lit(1), F.length("t"), F.lit(CHUNK))))
+        .withColumn("chunk", F.substring(F.col("t"), F.col("start"), F.lit(CHUNK - 1) + F.array_max("lengths")))
+        .select("card_id", "chunk", "lengths")
     )
-    start = F.explode(F.sequence(F.lit(1), F.length("t") - 1))
-    piece = F.explode(F.sequence(F.lit(2), F.least(F.col("longest"), F.length("t") - F.col("i") + 1)))
-    pieces = (
-        texts.withColumn("i", start)
-        .withColumn("n", piece)
-        .select("card_id", F.substring(F.col("t"), F.col("i"), F.col("n")).alias("word"))
+    pieces = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.least(F.length("chunk"), F.lit(CHUNK))),
+            lambda i: F.transform(
+                F.filter("lengths", lambda n: n <= F.length("chunk") - i + 1),
+                lambda n: F.substring(F.col("chunk"), i, n),
+            ),
+        )
     )
     return (
-        pieces.join(lexicon, "word")
+        texts.select("card_id", F.explode(F.array_distinct(pieces)).alias("word"))
+        .join(broadcast_if_small(lexicon), "word")
         .distinct()
         .groupBy("card_id")
         .agg(F.array_sort(F.collect_list("word")).alias("words"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mealgrid.core.numbering import global_row_number
 from mealgrid.core.ranking import first_row
+from mealgrid.core.sizes import broadcast_if_small
 from mealgrid.functions import fixed_values as fixed
 from mealgrid.functions.recipe_text import match_candidates
 from mealgrid.functions.text import cluster_key, match_key, nonempty, stripped
@@ -277,7 +278,7 @@ def _longest_contained(texts: DataFrame, text: str, keys: DataFrame, result: str
     return (
         unfolded.filter(longest >= fixed.MIN_SUBSTRING)
         .select("t", F.explode(F.array_distinct(pieces)).alias("key"))
-        .join(keys, "key")
+        .join(broadcast_if_small(keys), "key")
         .groupBy("t")
         .agg(F.min(F.struct((-F.length("key")).alias("size"), "key_order", "key", "ingredient_id")).alias("best"))
         .select(F.col("t").alias(text), F.struct("best.key", "best.ingredient_id").alias(result))
