@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from entries.binding import view
 from entries.registry import Registry, joined
+from mealgrid.core.scratch import durable
 from mealgrid.plans import resolve
 
 register = Registry()
@@ -53,7 +54,7 @@ answers AS (SELECT key, confidence, ingredient_id, CASE WHEN ingredient_id IS NU
       CASE WHEN l_tax > 0.01 THEN l_suppkey END AS ingredient_id, (l_orderkey, l_partkey, l_linenumber, l_extendedprice, l_shipdate) AS o
     FROM (SELECT *, CASE l_linenumber % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, ' ', '  ')
       WHEN 2 THEN p_name || ' no ' || (l_suppkey % 9) ELSE p_type || ' ' || (l_suppkey % 3) END AS normalized_name
-      FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 48))
+      FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey % 9 < 2))
   WHERE key IN (SELECT key FROM asked) QUALIFY row_number() OVER (PARTITION BY key ORDER BY o) = 1)
 """
 
@@ -128,7 +129,8 @@ def propagate_matches(spark, sf):
 def _representatives(spark, sf):
     lines = _lines(spark, sf)
     names, matched = _matched(spark, sf)
-    return resolve.representatives(resolve.build_clusters(lines), resolve.unmatched(names, matched))
+    names = durable(names)
+    return durable(resolve.representatives(resolve.build_clusters(lines), resolve.unmatched(names, matched)))
 
 
 @register("cluster_representatives", _sql("SELECT key AS normalized_name, head FROM reps"))
@@ -141,7 +143,7 @@ def _answers(spark, sf):
     lines = view(
         spark, sf,
         LINES.replace("FROM {lineitem}", ", l_discount * 10 AS confidence, CASE WHEN l_tax > 0.01 THEN l_suppkey END AS ingredient_id FROM {lineitem}")
-        + " WHERE l_quantity > 48",
+        + " WHERE l_suppkey % 9 < 2",
     )
     requested = _representatives(spark, sf).select(F.col("head").alias("normalized_name")).distinct()
     answers = lines.select(F.col("normalized_name").alias("source_name"), "confidence", "ingredient_id", "ordinal")
@@ -154,7 +156,7 @@ def _answers(spark, sf):
 def _judged(spark, sf):
     requested, answers = _answers(spark, sf)
     offered = _master(spark, sf).select("ingredient_id")
-    return requested, resolve.judged_answers(answers, offered)
+    return requested, durable(resolve.judged_answers(answers, offered))
 
 
 @register("judged_answers", _sql("SELECT key AS normalized_name, ingredient_id, confidence, rejection FROM answers"))

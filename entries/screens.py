@@ -8,6 +8,7 @@ from entries.binding import table, view
 from entries.registry import Registry, joined
 from entries.texts import CASES, CASES_SQL
 from mealgrid.core.ranking import ranked
+from mealgrid.core.scratch import durable
 from mealgrid.functions import fixed_values as fixed
 from mealgrid.operators import screening
 from mealgrid.plans import reports
@@ -107,22 +108,21 @@ def _sql(body: str) -> str:
 
 
 def _cards(spark, sf):
-    return view(spark, sf, CARD_VIEW)
+    return durable(view(spark, sf, CARD_VIEW))
 
 
-def _top_cards(spark, sf):
-    return ranked(_cards(spark, sf), ["request_id"], [F.col("card_id").asc()], fixed.GENERATED_CARDS, "card_no")
+def _top_cards(cards):
+    return ranked(cards, ["request_id"], [F.col("card_id").asc()], fixed.GENERATED_CARDS, "card_no")
 
 
 def _checked(spark, sf):
-    return screening.checked(_top_cards(spark, sf), screening.vocabulary(_cards(spark, sf)))
+    cards = _cards(spark, sf)
+    return screening.checked(_top_cards(cards), screening.vocabulary(cards))
 
 
 @register("checked_texts", _sql("SELECT card_id, array_to_string(failed, ',') AS failed FROM failed"))
 def checked_texts(spark, sf):
-    return _checked(spark, sf).select("card_id", joined("failed").alias("x"), "failed").select(
-        "card_id", F.array_join("failed", ",").alias("failed")
-    )
+    return _checked(spark, sf).select("card_id", F.array_join("failed", ",").alias("failed"))
 
 
 @register(
@@ -133,7 +133,7 @@ def checked_texts(spark, sf):
 def check_details(spark, sf):
     rules = ["다른카드_재료혼입", "환각_재료", "보유_뒤집힘", "상비재료_구매유도", "조리시간_지어냄", "근거_없는_영양건강주장",
              "숫자_반복", "입력에_없는_영문숫자"]
-    checks = _checked(spark, sf).select("card_id", F.inline("checks"))
+    checks = _checked(spark, sf).select("card_id", F.inline_outer("checks"))
     return checks.filter(F.col("name").isin(*rules)).select("card_id", F.col("name").alias("rule"), "detail")
 
 

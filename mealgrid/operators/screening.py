@@ -11,7 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mealgrid.core.scratch import durable
 from mealgrid.core.sizes import broadcast_if_small
+from mealgrid.core.spread import spread
 from mealgrid.functions import fixed_values as fixed
 from mealgrid.functions.reasons import template_reason
 from mealgrid.functions.text import quoted_regex, stripped, unicode_pattern
@@ -45,7 +47,7 @@ def _word(name: Column) -> Column:
 def mentions(text: Column, name: Column, verbs: str) -> Column:
     """The name, an optional particle, then one of the verbs."""
     tail = fixed.PARTICLES + unicode_pattern(r"\s*") + verbs
-    return F.rlike(text, F.concat(_word(name), F.lit(tail)))
+    return F.contains(text, name) & F.rlike(text, F.concat(_word(name), F.lit(tail)))
 
 
 def appears_as_ingredient(word: Column, text: Column) -> Column:
@@ -55,7 +57,9 @@ def appears_as_ingredient(word: Column, text: Column) -> Column:
         cleaned = F.when(
             word == ambiguous, F.regexp_replace(text, unicode_pattern(pattern), " ")
         ).otherwise(cleaned)
-    return F.rlike(text, _word(word)) & F.rlike(cleaned, _word(word))
+    said = F.contains(text, word) & F.rlike(text, _word(word))
+    ambiguous = word.isin(*fixed.AMBIGUOUS_WORDS)
+    return said & (~ambiguous | F.rlike(cleaned, _word(word)))
 
 
 def part_of_known(word: Column, known: Column) -> Column:
@@ -86,7 +90,8 @@ def mentioned(name: Column, text: Column, others: Column) -> Column:
     def said(alias: Column) -> Column:
         suffix = F.right(alias, F.lit(2))
         free = ~F.exists(others, lambda o: (o != name) & F.contains(o, suffix))
-        return F.rlike(text, _word(alias)) | ((F.length(alias) > 2) & F.contains(text, suffix) & free)
+        whole = F.contains(text, alias) & F.rlike(text, _word(alias))
+        return whole | ((F.length(alias) > 2) & F.contains(text, suffix) & free)
 
     return F.exists(name_aliases(name), said)
 
@@ -121,7 +126,7 @@ def words_in_texts(cards: DataFrame, words: DataFrame) -> DataFrame:
     cutting pieces stays cheap. Each chunk unfolds its distinct pieces of the lengths the vocabulary
     has and meets it in an equi-join. The words of one card are bounded by its own text.
     """
-    lexicon = words.filter(F.length("word") >= 2).select("word").distinct()
+    lexicon = durable(words.filter(F.length("word") >= 2).select("word").distinct())
     lengths = lexicon.select(F.array_sort(F.collect_set(F.length("word"))).alias("n")).scalar()
     texts = (
         cards.select("card_id", F.col("reason").alias("t"))
@@ -129,7 +134,7 @@ def words_in_texts(cards: DataFrame, words: DataFrame) -> DataFrame:
         .filter((F.length("t") >= 2) & (F.size("lengths") > 0))
         .withColumn("start", F.explode(F.sequence(F.lit(1), F.length("t"), F.lit(CHUNK))))
         .withColumn("chunk", F.substring(F.col("t"), F.col("start"), F.lit(CHUNK - 1) + F.array_max("lengths")))
-        .select("card_id", "chunk", "lengths")
+        .select("card_id", "start", "chunk", "lengths")
     )
     pieces = F.flatten(
         F.transform(
@@ -141,7 +146,8 @@ def words_in_texts(cards: DataFrame, words: DataFrame) -> DataFrame:
         )
     )
     return (
-        texts.select("card_id", F.explode(F.array_distinct(pieces)).alias("word"))
+        spread(texts, "card_id", "start")
+        .select("card_id", F.explode_outer(F.array_distinct(pieces)).alias("word"))
         .join(broadcast_if_small(lexicon), "word")
         .distinct()
         .groupBy("card_id")
@@ -173,7 +179,7 @@ def prepared(cards: DataFrame, words: DataFrame) -> DataFrame:
     return rows.withColumn("scan", without_title(F.col("reason"), F.col("recipe"), names))
 
 
-# ---------------------------------------------------------------- rules: (passed, detail)
+# ---------------------------------------------------------------- rules: NULL when passed, else the detail
 
 
 def _misplaced(words: Column) -> Column:
@@ -188,26 +194,26 @@ def _misplaced(words: Column) -> Column:
     )
 
 
-def _listed(bad: Column) -> tuple[Column, Column]:
-    return F.size(bad) == 0, F.array_join(bad, ", ")
+def _listed(bad: Column, separator: str = ", ") -> Column:
+    return F.nullif(F.array_join(bad, separator), F.lit(""))
 
 
-def _found(text: Column, pattern: str, ignore_case: bool = False) -> tuple[Column, Column]:
-    hit = F.regexp_extract(text, ("(?i)" if ignore_case else "") + unicode_pattern(pattern), 0)
-    return hit == "", hit
+def _found(text: Column, pattern: str, ignore_case: bool = False) -> Column:
+    flags = "(?i)" if ignore_case else ""
+    return F.nullif(F.regexp_extract(text, flags + unicode_pattern(pattern), 0), F.lit(""))
 
 
-def other_card_ingredients() -> tuple[Column, Column]:
+def other_card_ingredients() -> Column:
     """1: an ingredient of another card of the request."""
     return _listed(_misplaced(F.col("foreign")))
 
 
-def invented_ingredients() -> tuple[Column, Column]:
+def invented_ingredients() -> Column:
     """2: a vocabulary word that is in no card of the request."""
     return _listed(_misplaced(F.array_except(F.array_except("words", "known"), "foreign")))
 
 
-def flipped_state() -> tuple[Column, Column]:
+def flipped_state() -> Column:
     """3: a missing ingredient said to be there, or one at hand said to be lacking."""
     scan = F.col("scan")
     there = F.filter("absent", lambda n: mentions(scan, n, fixed.HAS_WORDS))
@@ -215,46 +221,48 @@ def flipped_state() -> tuple[Column, Column]:
     return _listed(F.concat(there, lacking))
 
 
-def pantry_purchase() -> tuple[Column, Column]:
+def pantry_purchase() -> Column:
     """4: a pantry staple to be bought."""
     scan = F.col("scan")
     return _listed(F.filter("pantry", lambda n: mentions(scan, n, fixed.BUY_WORDS)))
 
 
-def invented_cook_time() -> tuple[Column, Column]:
+def invented_cook_time() -> Column:
     """5: a duration although the cooking time is unknown."""
-    none_found, hit = _found(F.col("reason"), fixed.TIME_MENTION)
-    known = F.col("cook_time").isNotNull()
-    return known | none_found, F.when(known, "").otherwise(hit)
+    return F.when(F.col("cook_time").isNull(), _found(F.col("reason"), fixed.TIME_MENTION))
 
 
-def health_claim() -> tuple[Column, Column]:
+def health_claim() -> Column:
     """6: nutrition or health."""
     return _found(F.col("scan"), fixed.HEALTH_CLAIM, ignore_case=True)
 
 
-def repeated_numbers() -> tuple[Column, Column]:
+def repeated_numbers() -> Column:
     """7: ratios, counts or percentages."""
     return _found(F.col("reason"), fixed.RATIO_OR_COUNT)
 
 
-def _characters(bad: Column) -> tuple[Column, Column]:
-    return ~bad, F.when(bad, F.concat(F.length("reason").cast("string"), F.lit("자"))).otherwise("")
+def _is_empty() -> Column:
+    return stripped(F.col("reason")) == ""
 
 
-def too_long() -> tuple[Column, Column]:
+def _characters(bad: Column) -> Column:
+    return F.when(bad, F.concat(F.length("reason").cast("string"), F.lit("자")))
+
+
+def too_long() -> Column:
     """8a: over the length limit."""
     return _characters(F.length("reason") > fixed.MAX_TEXT)
 
 
-def too_short() -> tuple[Column, Column]:
+def too_short() -> Column:
     """8b: under the minimum length (an empty text is rule 9)."""
-    return _characters((stripped(F.col("reason")) != "") & (F.length("reason") < fixed.MIN_TEXT))
+    return _characters(~_is_empty() & (F.length("reason") < fixed.MIN_TEXT))
 
 
-def empty_text() -> tuple[Column, Column]:
+def empty_text() -> Column:
     """9: nothing but white space."""
-    return stripped(F.col("reason")) != "", F.lit("")
+    return F.when(_is_empty(), F.lit(""))
 
 
 def sentence_count() -> Column:
@@ -265,61 +273,68 @@ def sentence_count() -> Column:
 def is_malformed() -> Column:
     """Not exactly two sentences in one plain paragraph."""
     text = F.col("reason")
-    return (stripped(text) != "") & (
-        text.rlike("[\n\r]") | (sentence_count() != fixed.SENTENCES) | text.rlike(unicode_pattern(fixed.MARKUP_START))
+    return ~_is_empty() & (
+        text.rlike("[\n\r]")
+        | (F.col("sentences") != fixed.SENTENCES)
+        | text.rlike(unicode_pattern(fixed.MARKUP_START))
     )
 
 
-def malformed() -> tuple[Column, Column]:
+def malformed() -> Column:
     """10: form."""
-    detail = F.concat(sentence_count().cast("string"), F.lit("문장"))
-    return ~is_malformed(), F.when(is_malformed(), detail).otherwise("")
+    return F.when(F.col("bad_form"), F.concat(F.col("sentences").cast("string"), F.lit("문장")))
+
 
+def roles_apply() -> Column:
+    """Sentence roles are only looked at in well-formed texts."""
+    return ~_is_empty() & ~F.col("bad_form")
 
-def sentence_roles() -> tuple[Column, Column]:
-    """11: first sentence on what is there, second on what to add; NULL where rule 9 or 10 fails."""
+
+def sentence_roles() -> Column:
+    """11: first sentence on what is there, second on what to add."""
     sentences = F.filter(
         F.split(stripped(F.col("scan")), unicode_pattern(fixed.SENTENCE_GAP)), lambda s: s != ""
     )
     first = F.coalesce(F.try_element_at(sentences, F.lit(1)), F.lit(""))
     rest = F.array_join(F.slice(sentences, 2, F.greatest(F.size(sentences), F.lit(1))), " ")
     known, absent = F.col("known"), F.col("absent")
-    unsaid = F.filter(absent, lambda n: ~mentioned(n, rest, known))
-    few = F.size(absent).between(1, 3) & (F.size(unsaid) > 0)
+    unsaid = F.array_join(F.filter(absent, lambda n: ~mentioned(n, rest, known)), ", ")
     no_hint = ~F.contains(rest, F.lit("가지")) & ~F.contains(rest, F.lit("재료"))
-    many = (F.size(absent) >= 4) & (F.size(unsaid) > 0) & no_hint
+    second = F.when(
+        F.size(absent).between(1, 3), F.concat(F.lit("둘째 문장에 빠진 부족 재료: "), F.nullif(unsaid, F.lit("")))
+    ).when(
+        (F.size(absent) >= 4) & no_hint,
+        F.when(F.nullif(unsaid, F.lit("")).isNotNull(), "둘째 문장에 부족 재료 안내가 없음"),
+    )
     no_have = (F.size("have") > 0) & ~F.exists("have", lambda n: mentioned(n, first, known))
+    early = F.exists(absent, lambda n: mentioned(n, first, known))
     problems = F.array_compact(
         F.array(
-            F.when(no_have, "첫 문장에 보유 재료가 없음"),
-            F.when(F.exists(absent, lambda n: mentioned(n, first, known)), "첫 문장에 부족 재료가 있음"),
-            F.when(few, F.concat(F.lit("둘째 문장에 빠진 부족 재료: "), F.array_join(unsaid, ", "))),
-            F.when(many & ~few, "둘째 문장에 부족 재료 안내가 없음"),
+            F.when(no_have, "첫 문장에 보유 재료가 없음"), F.when(early, "첫 문장에 부족 재료가 있음"), second
         )
     )
-    applies = (stripped(F.col("reason")) != "") & ~is_malformed()
-    return F.when(applies, F.size(problems) == 0), F.when(applies, F.array_join(problems, "; "))
+    return F.when(roles_apply(), _listed(problems, "; "))
 
 
 def _ascii_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(fixed.ASCII_TOKEN), F.lit(0))
 
 
-def foreign_tokens() -> tuple[Column, Column]:
+def foreign_tokens() -> Column:
     """12: Latin letters or digits that are not in the input."""
     minutes = F.when(F.coalesce("cook_time", F.lit(0)) != 0, F.col("cook_time").cast("string"))
-    fields = F.array_compact(F.concat(F.array("recipe"), F.col("known"), F.array(minutes)))
-    allowed = F.transform(F.flatten(F.transform(fields, _ascii_tokens)), F.lower)
+    fields = F.array_join(F.array_compact(F.concat(F.array("recipe"), F.col("known"), F.array(minutes))), "\n")
+    allowed = _ascii_tokens(F.lower(fields))
     used = F.array_distinct(_ascii_tokens(F.col("scan")))
     return _listed(F.array_sort(F.filter(used, lambda t: ~F.array_contains(allowed, F.lower(t)))))
 
 
-def planted_link() -> tuple[Column, Column]:
+def planted_link() -> Column:
     """13: a link."""
     return _found(F.col("reason"), fixed.LINK, ignore_case=True)
 
 
-def food_smear() -> tuple[Column, Column]:
+def food_smear() -> Column:
     """14: food said to be spoiled."""
     return _found(F.col("reason"), fixed.FOOD_SMEAR)
 
@@ -344,18 +359,30 @@ RULES = {
 
 
 def checked(cards: DataFrame, words: DataFrame) -> DataFrame:
-    """Cards with ``checks`` (name, passed, detail in rule order) and ``failed`` rule names."""
-    entries = []
-    for name, rule in RULES.items():
-        passed, detail = rule()
-        entries.append(F.struct(F.lit(name).alias("name"), passed.alias("passed"), detail.alias("detail")))
-    checks = F.filter(F.array(*entries), lambda c: c["passed"].isNotNull())
-    failed = F.transform(F.filter("checks", lambda c: ~c["passed"]), lambda c: c["name"])
+    """Cards with ``checks`` (name, passed, detail in rule order) and ``failed`` rule names.
+
+    Each rule is evaluated once into its own column; checks and failures only read those columns.
+    """
+    rows = (
+        spread(prepared(cards, words), "card_id")
+        .withColumn("sentences", sentence_count())
+        .withColumn("bad_form", is_malformed())
+    )
+    findings = {f"__rule{i}": rule() for i, rule in enumerate(RULES.values())}
+    entries, failures = [], []
+    for column, name in zip(findings, RULES, strict=True):
+        entry = F.struct(
+            F.lit(name).alias("name"),
+            F.col(column).isNull().alias("passed"),
+            F.coalesce(column, F.lit("")).alias("detail"),
+        )
+        entries.append(F.when(roles_apply(), entry) if name == "문장_역할" else entry)
+        failures.append(F.when(F.col(column).isNotNull(), F.lit(name)))
     return (
-        prepared(cards, words)
-        .withColumn("checks", checks)
-        .withColumn("failed", failed)
-        .drop("known", "foreign", "words", "absent", "scan")
+        rows.withColumns(findings)
+        .withColumn("checks", F.array_compact(F.array(*entries)))
+        .withColumn("failed", F.array_compact(F.array(*failures)))
+        .drop("known", "foreign", "words", "absent", "scan", "sentences", "bad_form", *findings)
     )
 
 
@@ -376,15 +403,15 @@ def experiment_checked(cards: DataFrame, words: DataFrame) -> DataFrame:
     intruders = F.filter(
         F.array_except("words", "known"), lambda w: ~part_of_known(w, known) & appears_as_ingredient(w, scan)
     )
-    outcomes = {
-        "환각_재료": F.size(intruders) == 0,
-        "보유_뒤집힘": flipped_state()[0],
-        "상비재료_구매유도": pantry_purchase()[0],
-        "조리시간_지어냄": invented_cook_time()[0],
-        "길이초과": F.length("reason") <= fixed.EXPERIMENT_MAX_TEXT,
-        "빈_문구": empty_text()[0],
+    findings = {
+        "환각_재료": _listed(intruders),
+        "보유_뒤집힘": flipped_state(),
+        "상비재료_구매유도": pantry_purchase(),
+        "조리시간_지어냄": invented_cook_time(),
+        "길이초과": _characters(F.length("reason") > fixed.EXPERIMENT_MAX_TEXT),
+        "빈_문구": empty_text(),
     }
-    failed = F.array_compact(F.array(*[F.when(~passed, F.lit(name)) for name, passed in outcomes.items()]))
+    failed = F.array_compact(F.array(*[F.when(f.isNotNull(), F.lit(name)) for name, f in findings.items()]))
     return rows.withColumn("failed", failed).drop("known", "absent", "words", "scan")
 
 

@@ -138,7 +138,9 @@ def check_metrics(checked: DataFrame, text: str) -> DataFrame:
 def failure_counts(checked: DataFrame) -> DataFrame:
     """How often each check failed."""
     return (
-        checked.select(F.explode("failed").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("failures"))
+        checked.select(F.explode_outer("failed").alias("name"))
+        .filter(F.col("name").isNotNull())
+        .groupBy("name").agg(F.count(F.lit(1)).alias("failures"))
     )
 
 

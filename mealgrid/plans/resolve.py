@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from mealgrid.core.numbering import global_row_number
 from mealgrid.core.ranking import first_row
 from mealgrid.core.sizes import broadcast_if_small
+from mealgrid.core.spread import spread
 from mealgrid.functions import fixed_values as fixed
 from mealgrid.functions.recipe_text import match_candidates
 from mealgrid.functions.text import cluster_key, match_key, nonempty, stripped
@@ -265,7 +266,8 @@ def _longest_contained(texts: DataFrame, text: str, keys: DataFrame, result: str
     bound = keys.select(F.coalesce(F.max(F.length("key")), F.lit(0)).alias("m")).scalar()
     starts = F.sequence(F.lit(1), F.length("t") - fixed.MIN_SUBSTRING + 1)
     long_enough = F.length("t") >= fixed.MIN_SUBSTRING
-    unfolded = texts.select(F.col(text).alias("t")).distinct().filter(long_enough).withColumn("longest", bound)
+    distinct_texts = texts.select(F.col(text).alias("t")).distinct().filter(long_enough)
+    unfolded = spread(distinct_texts, "t").withColumn("longest", bound)
     pieces = F.flatten(
         F.transform(
             starts,
@@ -277,7 +279,7 @@ def _longest_contained(texts: DataFrame, text: str, keys: DataFrame, result: str
     )
     return (
         unfolded.filter(longest >= fixed.MIN_SUBSTRING)
-        .select("t", F.explode(F.array_distinct(pieces)).alias("key"))
+        .select("t", F.explode_outer(F.array_distinct(pieces)).alias("key"))
         .join(broadcast_if_small(keys), "key")
         .groupBy("t")
         .agg(F.min(F.struct((-F.length("key")).alias("size"), "key_order", "key", "ingredient_id")).alias("best"))
