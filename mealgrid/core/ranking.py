@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mealgrid.core.scratch import durable
+
 _RANK = "__rank"
 
 
@@ -42,6 +44,8 @@ def page_with_total(
     """A page per key plus the number of rows the key had before cutting.
 
     The total is a partial + final count joined to the (small) page, so no window spans a whole key.
+    Count and page both read the rows, so they are stored once instead of being computed twice.
     """
+    df = durable(df)
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(total))
     return page(df, keys, order, n, skip).join(totals, list(keys), "inner")

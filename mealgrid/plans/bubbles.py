@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from mealgrid.core.catalog import Catalog
 from mealgrid.core.nesting import add_page, nested
 from mealgrid.core.ranking import page_with_total, top_n
+from mealgrid.core.scratch import durable
 from mealgrid.functions import fixed_values as fixed
 from mealgrid.operators.filters import primary_only
 
@@ -172,7 +173,7 @@ def bubble_products(catalog: Catalog, n: int, skip: int = 0) -> DataFrame:
     Ranking uses the maximum demand only; the nested ingredient lists are built afterwards, for the
     products of the page.
     """
-    demand = bubble_demand(catalog)
+    demand = durable(bubble_demand(catalog))  # a row per bubble and ingredient, read twice below
     names = catalog.ingredient.select("ingredient_id", F.col("name").alias("ingredient_name"))
     links = primary_only(catalog.product_ingredient).select("product_id", "ingredient_id")
     product = catalog.product.filter("is_active").select(
@@ -185,7 +186,7 @@ def bubble_products(catalog: Catalog, n: int, skip: int = 0) -> DataFrame:
         .join(product, "product_id")
     )
     order = [F.col("recipe_count").desc(), F.col("price").asc(), F.col("product_id").asc()]
-    shown = page_with_total(best, ["keyword_id"], order, n, skip, "total_count")
+    shown = durable(page_with_total(best, ["keyword_id"], order, n, skip, "total_count"))  # one page per bubble
     entries = add_page(
         offered.join(shown.select("keyword_id", "product_id"), ["keyword_id", "product_id"], "left_semi").join(
             names, "ingredient_id"

@@ -13,6 +13,7 @@ from mealgrid.core.catalog import Catalog
 from mealgrid.core.clock import elapsed_days
 from mealgrid.core.nesting import add_page, nested
 from mealgrid.core.ranking import page_with_total, ranked, top_n
+from mealgrid.core.scratch import durable
 from mealgrid.operators.filters import (
     is_unexpired,
     primary_only,
@@ -100,10 +101,10 @@ def ranked_recipe_matches(catalog: Catalog, as_of, min_match_rate: float = 0.0,
 def my_recipe_candidates(catalog: Catalog, as_of, min_match_rate: float = 0.0, n: int | None = None) -> DataFrame:
     """Ranked matches with three disjoint ingredient lists: missing, held and pantry.
 
-    The ranking runs first, on counts only; lists are collected for the rows that survive it.
+    The ranking runs first, on counts only, and is stored; lists are collected for its rows.
     A pantry staple is listed as pantry even when it is also in the fridge.
     """
-    matches = ranked_recipe_matches(catalog, as_of, min_match_rate, n)
+    matches = durable(ranked_recipe_matches(catalog, as_of, min_match_rate, n))
     names = catalog.ingredient.select("ingredient_id", F.col("name").alias("ingredient_name"))
     lines = add_page(required_lines(catalog).join(names, "ingredient_id"), ["recipe_id"], ["ingredient_id"])
     held = owned_by_user(catalog, as_of).withColumn("in_fridge", F.lit(True))
