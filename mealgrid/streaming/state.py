@@ -18,7 +18,7 @@ class VersionedTable:
     """A table kept as ``version=N`` folders below ``root``."""
 
     def __init__(self, spark: SparkSession, root: str, schema: str):
-        self.root, self.schema = root, T._parse_datatype_string(schema)
+        self.root, self.schema = root, T.StructType.fromDDL(schema)
         spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(self._folder(-1))
 
     def _folder(self, version: int) -> str:
