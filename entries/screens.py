@@ -184,21 +184,15 @@ def experiment_checked_texts(spark, sf):
     return rows.select("card_id", F.array_join("failed", ",").alias("failed"))
 
 
-CHOSEN_SQL = """, chosen AS (SELECT c.card_id, CASE WHEN c.note LIKE '5%' THEN 'fallback_invalid_row' WHEN c.rn > 3 THEN 'template'
-  WHEN len(f.failed) > 0 THEN 'fallback_check:' || array_to_string(f.failed, ',') ELSE 'llm' END AS source
-FROM (SELECT *, card_no AS rn FROM cards) c LEFT JOIN failed f USING (card_id))
-"""
-
-
 def _chosen(spark, sf):
-    numbered = ranked(_cards(spark, sf), ["request_id"], [F.col("card_id").asc()], 1_000_000, "card_no")
-    cards = numbered.withColumn("problem", F.when(F.col("note").startswith("5"), "sum"))
-    return screening.chosen_texts(cards, screening.vocabulary(cards))
+    cards = _cards(spark, sf).withColumn("problem", F.when(F.col("note").startswith("5"), "sum"))
+    return screening.chosen_texts(cards, screening.vocabulary(cards), [F.col("card_id").asc()])
 
 
 @register(
     "chosen_text_sources",
-    _sql("SELECT CASE WHEN note LIKE '5%' THEN 'fallback_invalid_row' WHEN card_no > 3 THEN 'template' ELSE 'checked' END AS source, count(*) AS texts FROM cards GROUP BY 1"),
+    _sql("""SELECT CASE WHEN note LIKE '5%' THEN 'fallback_invalid_row' WHEN n > 3 THEN 'template' ELSE 'checked' END AS source, count(*) AS texts
+FROM (SELECT *, row_number() OVER (PARTITION BY request_id, note LIKE '5%' ORDER BY card_id) AS n FROM cards) GROUP BY 1"""),
 )
 def chosen_text_sources(spark, sf):
     source = F.when(F.col("source").isin("llm", "fallback_check"), "checked").otherwise(F.col("source"))

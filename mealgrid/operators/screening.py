@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mealgrid.core.ranking import ranked
 from mealgrid.core.scratch import durable
 from mealgrid.core.sizes import broadcast_if_small
 from mealgrid.core.spread import spread
@@ -415,18 +416,20 @@ def experiment_checked(cards: DataFrame, words: DataFrame) -> DataFrame:
     return rows.withColumn("failed", failed).drop("known", "absent", "words", "scan")
 
 
-def chosen_texts(cards: DataFrame, words: DataFrame) -> DataFrame:
+def chosen_texts(cards: DataFrame, words: DataFrame, order: list[Column]) -> DataFrame:
     """(card_id, request_id, text, source): the generated text where it may be shown, else the rule text.
 
-    ``cards`` also has card_no (1 is the first of its request) and problem (NULL when the facts of
-    the row agree). Only the first cards of a request carry generated texts.
+    ``cards`` also has problem (NULL when the facts of the row agree). Among the agreeing rows only
+    the first cards of a request, in the given order, carry generated texts; they are picked by a
+    group limit, so a request with very many cards never comes together in one task.
     """
-    generated = cards.filter(F.col("problem").isNull() & (F.col("card_no") <= fixed.GENERATED_CARDS))
+    valid = cards.filter(F.col("problem").isNull())
+    generated = durable(ranked(valid, ["request_id"], order, fixed.GENERATED_CARDS, "card_no").drop("card_no"))
     outcome = checked(generated, words).select("card_id", "failed")
     rule_text = template_reason(F.col("recipe"), F.col("have"), effective_missing())
     source = (
         F.when(F.col("problem").isNotNull(), "fallback_invalid_row")
-        .when(F.col("card_no") > fixed.GENERATED_CARDS, "template")
+        .when(F.col("failed").isNull(), "template")
         .when(F.size("failed") > 0, F.concat(F.lit("fallback_check:"), F.array_join("failed", ",")))
         .otherwise("llm")
     )
