@@ -36,7 +36,8 @@ SCHEMAS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One given table, read with its declared schema (no inference job)."""
+    """One given table, read with its declared schema (no inference job); times are UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -200,7 +200,26 @@ def chosen_text_sources(spark, sf):
     return counts.groupBy("source").agg(F.sum("texts").alias("texts"))
 
 
-@register("chosen_texts")
+# cards numbered among the rows whose facts agree, and the rule text of every card
+CHOSEN_SQL = CARDS_SQL.replace(
+    "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS card_no",
+    "CASE WHEN c.note LIKE '5%' THEN NULL ELSE row_number() OVER (PARTITION BY o_custkey, c.note LIKE '5%' ORDER BY o_orderkey) END AS card_no",
+) + """, lacking AS (SELECT *, list_filter(missing, lambda n: NOT list_contains(pantry, n)) AS lack, recipe || '를' AS dish FROM cards),
+worded AS (SELECT *, len(lack) AS n, have[1] || '을 활용하고 ' || lack[1] || '만 더하면 ' || dish || ' 만들 수 있어요.' AS with_have,
+  array_to_string(lack[1:2], '·') || ' 등 ' || len(lack) || '가지를 더 준비하면 ' || dish || ' 만들 수 있어요.' AS few FROM lacking),
+ruled AS (SELECT *, CASE WHEN n = 0 THEN dish || ' 바로 만들어 보세요.' WHEN n = 1 AND len(have) > 0 AND length(with_have) <= 60 THEN with_have
+  WHEN n = 1 THEN lack[1] || '만 더하면 ' || dish || ' 만들 수 있어요.' WHEN n <= 3 AND length(few) <= 60 THEN few
+  WHEN n <= 3 THEN '재료 ' || n || '가지를 더 준비하면 ' || dish || ' 만들 수 있어요.'
+  ELSE recipe || '에 필요한 재료 ' || n || '가지를 장보기 목록에서 확인해 보세요.' END AS rule_text FROM worded),
+sourced AS (SELECT r.card_id, r.request_id, r.reason, r.rule_text, CASE WHEN r.note LIKE '5%' THEN 'fallback_invalid_row' WHEN f.card_id IS NULL THEN 'template'
+  WHEN len(f.failed) > 0 THEN 'fallback_check:' || array_to_string(f.failed, ',') ELSE 'llm' END AS source FROM ruled r LEFT JOIN failed f USING (card_id))
+"""
+
+
+@register(
+    "chosen_texts",
+    "WITH " + CHOSEN_SQL + "SELECT card_id, request_id, source, CASE WHEN source = 'llm' THEN reason ELSE rule_text END AS text FROM sourced",
+)
 def chosen_texts(spark, sf):
     return _chosen(spark, sf)
 

@@ -110,7 +110,17 @@ def recent_requests(spark, sf):
     return jobs.recent_requests(_events(spark, sf), "user_id", "ts", "event_id").drop("oldest_age")
 
 
-@register("stream_admitted_requests")
+@register(
+    "stream_admitted_requests",
+    """WITH RECURSIVE e AS (SELECT event_id, event_type AS key, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+walk AS (SELECT event_id, key, rn, NULL::DOUBLE AS older, t AS newer, NULL::DOUBLE AS retry_after FROM e WHERE rn = 1
+  UNION ALL SELECT e.event_id, e.key, e.rn,
+    CASE WHEN e.t - w.older < 60 AND e.t - w.newer < 60 THEN w.older WHEN e.t - w.newer < 60 THEN w.newer END,
+    CASE WHEN e.t - w.older < 60 AND e.t - w.newer < 60 THEN w.newer ELSE e.t END,
+    CASE WHEN e.t - w.older < 60 AND e.t - w.newer < 60 THEN 60 - (e.t - w.older) END
+  FROM walk w JOIN e ON e.key = w.key AND e.rn = w.rn + 1)
+SELECT event_id, key, round(retry_after, 5) AS retry_after FROM walk""",
+)
 def stream_admitted_requests(spark, sf):
     bind(spark, sf)
     seconds = (F.unix_micros("ts") / F.lit(1e6)).alias("t")
@@ -118,7 +128,7 @@ def stream_admitted_requests(spark, sf):
     stream = _as_stream(spark, events, "admissions", FILES)
     root = new_folder(spark, "admitted")
     jobs.run_to_end(jobs.admitted_requests(stream, limit=2), new_folder(spark, "ck"), jobs.collect_updates(root))
-    return spark.read.parquet(root).select("event_id", "key", "retry_after")
+    return spark.read.parquet(root).select("event_id", "key", F.round("retry_after", 5).alias("retry_after"))
 
 
 METRICS_SQL = """SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS window_start, '/' || event_type AS route,

@@ -518,4 +518,4 @@ def load_report(**tables: DataFrame) -> DataFrame:
 def as_utc(table: DataFrame) -> DataFrame:
     """Zone-free timestamp columns read as UTC instants."""
     naive = [f.name for f in table.schema.fields if f.dataType.simpleString() == "timestamp_ntz"]
-    return table.withColumns({c: F.to_utc_timestamp(F.col(c).cast("string"), "UTC") for c in naive})
+    return table.withColumns({c: F.to_timestamp(F.concat(F.col(c).cast("string"), F.lit("+00:00"))) for c in naive})

@@ -132,3 +132,22 @@ def test_details_have_empty_arrays(spark, catalog):
 def test_two_main_ingredients_have_no_storage_rule(spark, catalog):
     rows = storage.product_storage_guideline(catalog).filter(F.col("product_id") == w.TOFU_A).collect()
     assert {(r.storage_context, r.duration_text) for r in rows} == {("일반", "3-5일"), ("구매후", "1주")}
+
+
+def test_many_rule_blocks_give_the_same_candidates(spark, catalog, monkeypatch):
+    from dataclasses import replace
+
+    rules = spark.range(1, 8).selectExpr(
+        "concat('B', id) AS keyword_id", "'l' AS label", "'' AS description",
+        "CASE WHEN id % 2 = 0 THEN 'cook_time' ELSE 'ingredient_count' END AS rule_type",
+        "concat('{\"value\": ', id * 4 - 3, '}') AS rule_spec", "1 AS min_candidates",
+        "CAST(id AS INT) AS display_order", "true AS is_active",
+    )
+    many = replace(catalog, bubble_keyword=rules)
+    found = lambda: sorted(
+        (r.keyword_id, r.recipe_id) for r in bubbles.bubble_recipe_candidates_all(many).collect()
+    )
+    one_block = found()
+    monkeypatch.setattr(bubbles, "RULES_PER_BLOCK", 2)
+    assert found() == one_block
+    assert len(one_block) > 5

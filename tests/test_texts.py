@@ -159,3 +159,16 @@ def test_form_and_planted_content(spark):
     assert "입력에_없는_영문숫자" in failed(spark, GOOD.replace("두부만", "ZX9731 두부만"))
     assert "음식안전_비방" in failed(spark, GOOD.replace("두부만", "상해서 두부만"))
     assert "빈_문구" in failed(spark, "  ")
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_words_across_chunks_equal_brute_force(spark, monkeypatch, limit):
+    from mealgrid.core import sizes
+
+    texts = {i: ("가나다 라마 " * 40 + "red gear " + "x" * (250 + i) + "파프리카 끝 blue bolt") for i in range(8)}
+    words = ["red gear", "파프리카", "blue bolt", "라마", "xx끝", "x" * 20, "gear xx", "없음", "가"]
+    cards = spark.createDataFrame(list(texts.items()), "card_id long, reason string")
+    monkeypatch.setattr(screening, "broadcast_if_small", lambda df: sizes.broadcast_if_small(df, limit))
+    found = screening.words_in_texts(cards, spark.createDataFrame([(x,) for x in words], "word string")).collect()
+    expected = {i: sorted(x for x in words if len(x) >= 2 and x in t) for i, t in texts.items()}
+    assert {r.card_id: sorted(r.words) for r in found} == expected
