@@ -1,0 +1,6 @@
+"""Lets the tests of this folder import its helpers."""
+
+import os
+import sys
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
