@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mealgrid.llm import chat, mixing, quality_rules, secret_scan
+from mealgrid.llm import bpe, chat, mixing, quality_rules, secret_scan, toxicity
 from mealgrid.llm.common import table
 
 QUERIES, ORACLES = {}, {}
 
 
+def rank_file() -> str:
+    """Place of the public rank file that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def _query(name: str, oracle: str | None = None):
     def add(function):
         QUERIES[name] = function
@@ -98,6 +105,33 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows))
 
 
+@_query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a classifier learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.model_of(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@_query("op7_byte_bpe")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the bytes they decode to."""
+    shared = bpe.vocabulary_of(spark, rank_file())
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = bpe.decode(bpe.encode(docs, shared).drop("text"), shared)
+    return decoded.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @_query("op8_quality_rules")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
