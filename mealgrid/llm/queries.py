@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mealgrid.llm import bpe, chat, mixing, quality_rules, secret_scan, toxicity
+from mealgrid.llm import bpe, chat, minhash, mixing, quality_rules, secret_scan, toxicity, vector_dedup
 from mealgrid.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -118,6 +118,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("op6_vector_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of all vectors."""
+    return vector_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
 @_query("op7_byte_bpe")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and the bytes they decode to."""
@@ -138,3 +144,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@_query("op9_minhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-duplicate documents."""
+    linked = minhash.link(table(spark, sf_dir, "documents"), shingle=3, threshold=0.85)
+    return linked.select("doc_id", "n_shingles", "component_id", "kept")
