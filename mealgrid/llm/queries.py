@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mealgrid.llm import bpe, chat, minhash, mixing, quality_rules, secret_scan, toxicity, vector_dedup
+from mealgrid.llm import bpe, chat, minhash, mixing, quality_rules, repeats, secret_scan, toxicity, vector_dedup
 from mealgrid.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -151,3 +151,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near-duplicate documents."""
     linked = minhash.link(table(spark, sf_dir, "documents"), shingle=3, threshold=0.85)
     return linked.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@_query("op10_repeats")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages that repeat."""
+    return repeats.removals(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
+    )
