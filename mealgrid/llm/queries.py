@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mealgrid.llm import bpe, chat, minhash, mixing, quality_rules, repeats, secret_scan, toxicity, vector_dedup
+from mealgrid.llm import bpe, chat, line_dedup, minhash, mixing, quality_rules, repeats, secret_scan, toxicity, vector_dedup
 from mealgrid.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -36,6 +36,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(docs, ratios))
 
 
+@_query("op2_line_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without lines that match an earlier one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.remove_lines(docs).select(
+        "doc.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("doc.text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
 MIX_SQL = """
 WITH s AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM documents
@@ -129,7 +138,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and the bytes they decode to."""
     shared = bpe.vocabulary_of(spark, rank_file())
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    decoded = bpe.decode(bpe.encode(docs, shared).drop("text"), shared)
+    decoded = bpe.decode(bpe.encode(docs, shared, keep_text=False), shared)
     return decoded.select(
         "doc_id",
         F.expr("octet_length(ids) div 4").alias("n_tokens"),

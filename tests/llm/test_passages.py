@@ -5,7 +5,9 @@ import random
 
 import pytest
 
-from mealgrid.llm import queries, repeats
+from brute import WORD, sha
+
+from mealgrid.llm import line_dedup, queries, repeats
 
 SF = "/root/testdata/sf0.01"
 
@@ -62,3 +64,58 @@ def test_passage_cases(spark, monkeypatch, hot):
         w[:2] for w in brute_repeats(texts * 2)
     )
     assert repeats.removals(docs.limit(0)).count() == 0
+
+
+def brute_lines(rows):
+    """rows: (id, text) in any order -> id: (n_lines, n_removed, digest); ids are distinct."""
+    seen, owners, out = [], {}, {}
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        lines = (text or "").split("\n")
+        kept = []
+        for line in lines:
+            words = WORD.findall(line)
+            mine = set(zip(words, words[1:]))
+            if len(mine) < 5:
+                kept.append(line)
+                continue
+            hits = {}
+            for t in mine:
+                for k in owners.get(t, ()):
+                    hits[k] = hits.get(k, 0) + 1
+            if not any(180 * c >= 80 * (len(mine) + len(seen[k])) for k, c in hits.items()):
+                kept.append(line)
+            if mine not in (seen[k] for k in hits):
+                for t in mine:
+                    owners.setdefault(t, []).append(len(seen))
+                seen.append(mine)
+        out[i] = (len(lines), len(lines) - len(kept), sha("\n".join(kept)))
+    return out
+
+
+def test_lines_of_whole_table(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in queries.op2(spark, SF).collect()}
+    want = brute_lines(rows)
+    assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
+    assert any(w[1] for w in want.values())
+
+
+def test_line_cases(spark):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    base = [rng.choice(words) for _ in range(30)]
+    rows = []
+    for k in range(60):  # many variants of one line
+        line = [rng.choice(words) if rng.random() < 0.06 * rng.random() else w for w in base]
+        rows.append((k * 3, "\n".join([" ".join(line), "short line", " ".join(rng.choices(words, k=12)), " ".join(line)])))
+    rows += [(500, None), (501, ""), (502, "\n\n"), (503, rows[0][1]), (504, "a b " * 20_000), (505, "a b " * 20_000), (506, "a a a a a a a a a")]
+    docs = spark.createDataFrame([(*r, "s", 1, 2) for r in rows], "doc_id long, text string, source string, row int, no int")
+    out = line_dedup.remove_lines(docs).collect()
+    want = brute_lines(rows)
+    assert {r.doc.doc_id: (r.n_lines, r.n_removed, sha(r.doc.text or "")) for r in out} == want
+    assert all(r.doc.source == "s" and r.doc.row == 1 for r in out) and sum(r.doc.text is None for r in out) == 1
+    twice = line_dedup.remove_lines(docs.union(docs)).collect()
+    assert {r.doc.doc_id: (r.n_lines, r.n_removed, sha(r.doc.text or "")) for r in twice} == want and len(twice) == 2 * len(rows)
+    unnamed = spark.createDataFrame([(None, rows[0][1]), (1, rows[0][1])], "doc_id long, text string")
+    assert {r.doc.doc_id: r.n_removed for r in line_dedup.remove_lines(unnamed).collect()} == {None: 1, 1: 3}
+    assert line_dedup.remove_lines(docs.limit(0)).count() == 0
