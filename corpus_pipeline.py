@@ -1,20 +1,67 @@
-"""Cleaning of a training corpus as a fixed sequence of stages over ``documents``."""
+"""Cleaning of a training corpus as a fixed sequence of stages over ``documents``.
+
+Toxic documents go; lines that match an earlier line go, and with them documents of which no word is left; of each class
+of near-duplicate documents the first stays; sources are mixed to their target weights, which repeats documents; what is
+left is encoded for training and decoded again.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mealgrid.core.scratch import written
-from mealgrid.llm import mixing
+from mealgrid.llm import bpe, line_dedup, minhash, mixing, toxicity
+from mealgrid.llm.common import WORD, table
+from mealgrid.llm.queries import rank_file
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labelled ones, does not reject."""
+    return toxicity.keep_clean(docs, toxicity.model_of(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that match an earlier line; the character count follows the text."""
+    left = line_dedup.remove_lines(docs).where((F.col("n_removed") == 0) | F.col("doc.text").rlike(WORD)).select("doc.*")
+    return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each class: five-word shingles, similarity of at least 0.8."""
+    return minhash.keep_first(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources asks for."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packed ids of every text, and whether they decode to its bytes."""
+    shared = bpe.vocabulary_of(spark, rank_file())
+    rows = docs.select("doc_id", "source", "text")
+    return bpe.decode(bpe.encode(rows, shared), shared).select(
+        "doc_id",
+        "source",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        "ids",
+        (F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("decodes"),
+    )
+
 
 #: Each stage takes (spark, docs, sf_dir) and returns a frame; all but the last return the columns of documents.
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("mixing", lambda spark, docs, sf_dir: mixing.mix(docs)),
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("minhash", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("byte_bpe", encode),
 ]
 
-#: Models and similarity joins that SQL cannot express; see tests/llm.
+#: A classifier and similarity joins are nothing that SQL can express; tests/llm/test_pipeline.py replays the stages.
 ORACLE_SQL = None
 
 

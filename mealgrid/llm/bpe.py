@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-STEP_CHARS = 2_000_000
-CACHE_SLICES = 400_000
+STEP_CHARS = 400_000
+CACHE_SLICES = 120_000
 BLOCK = 512
 _NONE = np.iinfo(np.int32).max
 
@@ -125,10 +126,10 @@ def scan(symbol: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Token bytes by id, and the id that each mergeable pair of ids becomes."""
+    """Token bytes by id, and the id that each mergeable pair of ids becomes; arrays only, made once on the driver."""
 
-    def __init__(self, tokens: list[bytes], table: np.ndarray):
-        self.tokens, self.table = tokens, table
+    def __init__(self, tokens: list[bytes]):
+        self.table = class_table()
         known = {token: i for i, token in enumerate(tokens)}
         self.single = np.array([known[bytes([b])] for b in range(256)], np.int32)
         pairs = {}
@@ -137,8 +138,8 @@ class Vocabulary:
                 left, right = known.get(token[:cut]), known.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = i
-        keys = np.array(sorted(pairs), np.int64)
-        self.pair_keys, self.pair_ids = keys, np.array([pairs[k] for k in keys.tolist()], np.int32)
+        self.pair_keys = np.array(sorted(pairs), np.int64)
+        self.pair_ids = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int32)
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.pool = np.frombuffer(b"".join(tokens), np.uint8)
@@ -192,14 +193,14 @@ class Vocabulary:
         return out
 
 
-def load(path: str) -> tuple[list[bytes], np.ndarray]:
-    """Tokens in order of rank from a public rank file, and the class table."""
+def load(path: str) -> Vocabulary:
+    """The vocabulary of a public rank file."""
     ranks = {}
     with open(path, "rb") as file:
         for line in file:
             token, rank = line.split()
             ranks[int(rank)] = base64.b64decode(token)
-    return [ranks[i] for i in range(len(ranks))], class_table()
+    return Vocabulary([ranks[i] for i in range(len(ranks))])
 
 
 def _steps(lengths: list[int]) -> Iterator[tuple[int, int]]:
@@ -258,16 +259,16 @@ def decode_ids(ids: bytes, starts: bytes, vocabulary: Vocabulary) -> bytes:
     return vocabulary.pool[source].tobytes()
 
 
-def _with_columns(df: DataFrame, names: list[str], work) -> DataFrame:
-    """``df`` plus binary columns that ``work(batch)`` yields by ranges of rows: (start, end, columns)."""
-    fields = [f for f in df.schema.fields if f.name not in names]
+def _with_columns(df: DataFrame, names: list[str], work, without: list[str]) -> DataFrame:
+    """``df`` plus binary columns that ``work(batch, cache)`` yields by ranges of rows: (start, end, columns)."""
+    fields = [f for f in df.schema.fields if f.name not in [*names, *without]]
     schema = T.StructType([*fields, *[T.StructField(n, T.BinaryType()) for n in names]])
     kept = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {}
+        cache: dict = {}
         for batch in batches:
-            for start, end, columns in work(batch, state):
+            for start, end, columns in work(batch, cache):
                 part = batch.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(n) for n in kept] + [pa.array(c, pa.binary()) for c in columns], [*kept, *names]
@@ -281,23 +282,18 @@ def vocabulary_of(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(load(path))
 
 
-def _tools(shared, state: dict) -> tuple[Vocabulary, dict]:
-    """Vocabulary and slice cache of a task, made once."""
-    if not state:
-        state.update(vocabulary=Vocabulary(*shared.value), cache={})
-    return state["vocabulary"], state["cache"]
-
-
-def encode(docs: DataFrame, shared, text_col: str = "text", ids_col: str = "ids", starts_col: str = "starts") -> DataFrame:
+def encode(
+    docs: DataFrame, shared, text_col: str = "text", ids_col: str = "ids", starts_col: str = "starts", keep_text: bool = True
+) -> DataFrame:
     """``docs`` with binary columns of packed ids and of their starts in the text's bytes; ``shared``: vocabulary_of."""
 
-    def work(batch, state):
-        vocabulary, cache = _tools(shared, state)
-        texts = [t or "" for t in batch.column(text_col).to_pylist()]
-        for start, end in _steps([len(t) for t in texts]):
-            yield start, end, encode_texts(texts[start:end], vocabulary, cache)
+    def work(batch, cache):
+        texts = batch.column(text_col)
+        for start, end in _steps(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
+            part = [t or "" for t in texts.slice(start, end - start).to_pylist()]
+            yield start, end, encode_texts(part, shared.value, cache)
 
-    return _with_columns(docs, [ids_col, starts_col], work)
+    return _with_columns(docs, [ids_col, starts_col], work, [] if keep_text else [text_col])
 
 
 def decode(
@@ -305,10 +301,10 @@ def decode(
 ) -> DataFrame:
     """``encoded`` with the bytes that its ids stand for."""
 
-    def work(batch, state):
-        vocabulary, _ = _tools(shared, state)
-        ids, starts = batch.column(ids_col).to_pylist(), batch.column(starts_col).to_pylist()
-        for start, end in _steps([len(i) for i in ids]):
-            yield start, end, [[decode_ids(i, s, vocabulary) for i, s in zip(ids[start:end], starts[start:end])]]
+    def work(batch, _):
+        ids, starts = batch.column(ids_col), batch.column(starts_col)
+        for start, end in _steps(pc.fill_null(pc.binary_length(ids), 0).to_pylist()):
+            parts = (c.slice(start, end - start).to_pylist() for c in (ids, starts))
+            yield start, end, [[decode_ids(i or b"", s or b"", shared.value) for i, s in zip(*parts)]]
 
-    return _with_columns(encoded, [decoded_col], work)
+    return _with_columns(encoded, [decoded_col], work, [starts_col])

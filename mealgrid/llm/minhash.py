@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mealgrid.core.scratch import written
+from mealgrid.core.sizes import broadcast_if_small
 from mealgrid.llm.common import row_key
 from mealgrid.llm.components import components
 
@@ -220,8 +221,9 @@ def confirmed(docs: DataFrame, edges: DataFrame, size: int, percent: int) -> Dat
         "clusters",
     )
     bins = max(64, placed.count() // 100)
+    here = broadcast_if_small(placed)  # else the texts are shuffled
     every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    texts = docs.join(placed, "row").select("row", "text", "cluster", "chunks", "chunk", every)
+    texts = docs.join(here, "row").select("row", "text", "cluster", "chunks", "chunk", every)
     units = texts.select(
         "row", "text", "cluster", "chunk",
         F.least("chunk", "other").alias("i"),

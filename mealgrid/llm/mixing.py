@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from mealgrid.core.numbering import global_row_number
 from mealgrid.core.scratch import written
+from mealgrid.core.sizes import broadcast_if_small
 from mealgrid.llm.common import WORD
 
 WEIGHTS = (5.0, 2.0, 1.0)  # of the sources in order, repeating
@@ -140,26 +141,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Ids that repeat share the copies of their rows: each of k rows with one id, source and size gets its own number of
     copies in some fixed order.
     """
-    planned = plan(docs, id_col, text_col, source_col, **options).where("copies > 0")
-    # equal (id, source, size) rows are told apart by their number; texts travel once, copies are made last
-    same = ["__id", "__source", "__size"]
+    planned = plan(docs, id_col, text_col, source_col, **options)
+    lists = planned.groupBy("id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
+    lists = lists.where(F.get("__copies", F.lit(0)) > 0)
+    lists = broadcast_if_small(written(lists, "mix-copies"))  # else the texts are shuffled to it
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     sized = docs.select(
-        F.struct("*").alias("__doc"),
-        F.col(id_col).alias("__id"),
-        F.col(source_col).alias("__source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("__size"),
+        F.struct("*").alias("__doc"), F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), size.alias("__size")
     )
-    lists = planned.groupBy("id", "source", "size").agg(F.collect_list("copies").alias("__copies"))
-    nth = F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64("__doc")))
     joined = sized.join(
         lists,
         sized["__id"].eqNullSafe(lists["id"])
         & sized["__source"].eqNullSafe(lists["source"])
         & (sized["__size"] == lists["size"]),
     )
-    return (
-        joined.withColumn("__n", nth)
-        .withColumn("__times", F.coalesce(F.get(F.sort_array("__copies", asc=False), F.col("__n") - 1), F.lit(0)))
-        .select("__doc", F.explode(F.array_repeat(F.lit(0), F.col("__times").cast("int"))))
-        .select("__doc.*")
-    )
+    # rows alike in (id, source, size) are told apart by a number; there are few, and only they are sorted
+    nth = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64("__doc")))
+    one = joined.where(F.size("__copies") == 1).select("__doc", F.get("__copies", F.lit(0)).alias("__times"))
+    several = joined.where(F.size("__copies") > 1).withColumn("__n", nth)
+    several = several.select("__doc", F.coalesce(F.get("__copies", F.col("__n") - 1), F.lit(0)).alias("__times"))
+    times = F.explode(F.array_repeat(F.lit(0), F.col("__times").cast("int")))
+    return one.unionByName(several).select("__doc", times).select("__doc.*")

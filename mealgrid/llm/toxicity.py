@@ -230,3 +230,9 @@ def held_out(id_col: str = "doc_id"):
 def model_of(docs: DataFrame, labels: DataFrame) -> tuple[dict, float]:
     """The classifier for a corpus, learned from the rows that are not held out."""
     return train(labelled_sample(docs, labels.where(~held_out())))
+
+
+def keep_clean(docs: DataFrame, model: tuple[dict, float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold; all columns."""
+    rows = docs.select(F.struct("*").alias("__doc"), F.col(text_col).alias("__text"))
+    return scored(rows, model, "__text").where(F.col("score") < threshold).select("__doc.*")

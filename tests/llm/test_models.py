@@ -29,7 +29,7 @@ ODD = [
 
 
 def encode(texts):
-    vocabulary = bpe.Vocabulary(*bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    vocabulary = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     ids, starts = bpe.encode_texts(texts, vocabulary, {})
     return [np.frombuffer(i, "<u4").tolist() for i in ids], [bpe.decode_ids(i, s, vocabulary) for i, s in zip(ids, starts)]
 
@@ -69,7 +69,9 @@ def test_bpe_of_whole_table(spark, library):
 def test_bpe_frames(spark):
     shared = bpe.vocabulary_of(spark, queries.rank_file())
     docs = spark.createDataFrame([(1, None, 2), (1, None, 2), (None, "it's", None), (3, "x" * 50_000, 1)], "doc_id long, text string, starts int")
-    rows = bpe.decode(bpe.encode(docs, shared), shared).collect()
+    encoded = bpe.encode(docs, shared)
+    assert encoded.columns == ["doc_id", "text", "ids", "starts"]
+    rows = bpe.decode(encoded, shared).collect()
     assert [(r.doc_id, r.decoded) for r in rows] == [(1, b""), (1, b""), (None, b"it's"), (3, b"x" * 50_000)]
     assert bpe.decode(bpe.encode(docs.limit(0), shared), shared).count() == 0
 
