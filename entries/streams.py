@@ -53,11 +53,10 @@ def stream_favorites(spark, sf):
     bind(spark, sf)
     op = F.when(F.col("event_type") == "click", "add").otherwise("remove").alias("op")
     changes = _events(spark, sf).filter("event_type IN ('click', 'error')").select("user_id", "recipe_id", op, "ts")
-    state = VersionedTable(spark, new_folder(spark, "favorites"), "user_id BIGINT, recipe_id BIGINT, created_at TIMESTAMP")
-    # one batch: the order of operations inside a batch follows their times
-    stream = _as_stream(spark, changes, "favorite-events", FILES)
-    jobs.keep_state(stream, state, jobs.favorites_step, new_folder(spark, "ck"))
-    return state.read(spark).select("user_id", "recipe_id", stamp("created_at"))
+    state = VersionedTable(spark, new_folder(spark, "favorites"), jobs.FAVORITES_STATE)
+    # several batches whose times overlap
+    jobs.keep_state(_as_stream(spark, changes, "favorite-events"), state, jobs.favorites_step, new_folder(spark, "ck"))
+    return jobs.favorites(state.read(spark)).select("user_id", "recipe_id", stamp("created_at"))
 
 
 @register(
@@ -112,22 +111,27 @@ def recent_requests(spark, sf):
 
 @register(
     "stream_admitted_requests",
-    """WITH RECURSIVE e AS (SELECT event_id, event_type AS key, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+    """WITH RECURSIVE e AS (SELECT event_id, user_id % 100 AS key, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY user_id % 100 ORDER BY ts, event_id) AS rn FROM events),
 walk AS (SELECT event_id, key, rn, NULL::DOUBLE AS older, t AS newer, NULL::DOUBLE AS retry_after FROM e WHERE rn = 1
   UNION ALL SELECT e.event_id, e.key, e.rn,
     CASE WHEN e.t - w.older < 60 AND e.t - w.newer < 60 THEN w.older WHEN e.t - w.newer < 60 THEN w.newer END,
     CASE WHEN e.t - w.older < 60 AND e.t - w.newer < 60 THEN w.newer ELSE e.t END,
     CASE WHEN e.t - w.older < 60 AND e.t - w.newer < 60 THEN 60 - (e.t - w.older) END
   FROM walk w JOIN e ON e.key = w.key AND e.rn = w.rn + 1)
-SELECT event_id, key, round(retry_after, 5) AS retry_after FROM walk""",
+SELECT event_id, CAST(key AS VARCHAR) AS key, round(retry_after, 5) AS retry_after FROM walk""",
 )
 def stream_admitted_requests(spark, sf):
     bind(spark, sf)
-    seconds = (F.unix_micros("ts") / F.lit(1e6)).alias("t")
-    events = _events(spark, sf).select("event_id", F.col("event_type").alias("key"), seconds)
-    stream = _as_stream(spark, events, "admissions", FILES)
+    events = _events(spark, sf).select("event_id", (F.col("user_id") % 100).cast("string").alias("key"), "ts")
+    folder = new_folder(spark, "admissions")
+    events.repartition(FILES).write.parquet(folder)
+    # a request far in the future moves the watermark past all others, and one more batch sees it moved
+    end = events.agg((F.max("ts") + F.expr("INTERVAL 200 DAYS")).alias("ts"))
+    for _ in range(2):
+        end.select(F.lit(-1).cast("long").alias("event_id"), F.lit("end").alias("key"), "ts").write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     root = new_folder(spark, "admitted")
-    jobs.run_to_end(jobs.admitted_requests(stream, limit=2), new_folder(spark, "ck"), jobs.collect_updates(root))
+    jobs.run_to_end(jobs.admitted_requests(stream, 2, FAR_DELAY), new_folder(spark, "ck"), jobs.collect_updates(root))
     return spark.read.parquet(root).select("event_id", "key", F.round("retry_after", 5).alias("retry_after"))
 
 

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from mealgrid.core.scratch import durable
 from mealgrid.operators.filters import primary_only, unexpired
 
-MAX_LEVELS = 100
-
 
 def with_parent(rows: DataFrame, ingredient: DataFrame, *keys: str) -> DataFrame:
     """Distinct (keys, ingredient) for every ingredient and its direct parent."""
@@ -24,12 +22,12 @@ def with_parent(rows: DataFrame, ingredient: DataFrame, *keys: str) -> DataFrame
     )
 
 
-def ancestors(ingredient: DataFrame, levels: int = MAX_LEVELS) -> DataFrame:
+def ancestors(ingredient: DataFrame) -> DataFrame:
     """Reflexive transitive closure (ingredient_id, ancestor_id) over the parent links.
 
     Path doubling: each round joins the pairs found so far with themselves, so a chain of depth d
-    closes in about log2(d) rounds. Pairs are kept distinct, so a cycle ends when nothing new
-    appears. The pair table is stored each round, which keeps the plan small and survives lost
+    closes in about log2(d) rounds, however deep it is. Pairs are kept distinct, so a cycle ends when
+    nothing new appears. The pair table is stored each round, which keeps the plan small and survives lost
     executors.
     """
     edges = ingredient.filter(F.col("parent_ingredient_id").isNotNull()).select(
@@ -38,20 +36,17 @@ def ancestors(ingredient: DataFrame, levels: int = MAX_LEVELS) -> DataFrame:
     selves = ingredient.select("ingredient_id", F.col("ingredient_id").alias("ancestor_id"))
     closure = durable(selves.unionByName(edges).distinct())
     size = closure.count()
-    covered = 1
-    while covered < levels:
+    while True:
         upper = closure.select(
             F.col("ingredient_id").alias("ancestor_id"), F.col("ancestor_id").alias("next_id")
         )
         closure = durable(
             closure.join(upper, "ancestor_id").select("ingredient_id", F.col("next_id").alias("ancestor_id")).distinct()
         )
-        covered *= 2
         grown = closure.count()
         if grown == size:
             return closure
         size = grown
-    return closure
 
 
 def with_ancestors(rows: DataFrame, closure: DataFrame, *keys: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from mealgrid.plans.loading import add_deliveries, add_favorites, delivery_outcomes, record_views
+from mealgrid.plans.loading import add_deliveries, delivery_outcomes, record_views
 from mealgrid.streaming.state import VersionedTable, each_batch
 
 WINDOW_SECONDS = 60
@@ -40,22 +40,33 @@ def views_step(keep: int) -> Callable[[DataFrame, DataFrame], DataFrame]:
     return lambda state, batch: record_views(state, batch, keep).drop("action")
 
 
+FAVORITES_STATE = "user_id BIGINT, recipe_id BIGINT, adds ARRAY<TIMESTAMP>, removed_at TIMESTAMP"
+
+
 def favorites_step(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """Favourite events (user_id, recipe_id, op, ts) → favourites.
+    """Favourite events (user_id, recipe_id, op, ts) → state of each pair: last removal, and the adds after it.
 
-    The last removal of a pair in the batch ends whatever came before it; the first add after it,
-    or without any removal, counts unless the pair is a favourite already.
+    Times decide, not the order of arrival: a removal that comes late ends only what it is later than, and an add that comes
+    late counts only if no later removal was seen. Removals therefore stay in the state.
     """
     key = ["user_id", "recipe_id"]
-    removed = batch.filter(F.col("op") == "remove").groupBy(*key).agg(F.max("ts").alias("removed_at"))
-    added = (
-        batch.filter(F.col("op") == "add")
-        .join(removed, key, "left")
-        .filter(F.col("removed_at").isNull() | (F.col("ts") > F.col("removed_at")))
-        .select(*key, F.col("ts").alias("created_at"))
+    news = batch.groupBy(*key).agg(
+        F.collect_set(F.when(F.col("op") == "add", F.col("ts"))).alias("new_adds"),
+        F.max(F.when(F.col("op") == "remove", F.col("ts"))).alias("new_removed"),
+    )
+    none = F.array().cast("array<timestamp>")
+    merged = (
+        state.join(news, key, "full")
+        .withColumn("removed_at", F.greatest("removed_at", "new_removed"))
+        .withColumn("adds", F.array_union(F.coalesce("adds", none), F.coalesce("new_adds", none)))
     )
-    kept = state.join(removed, key, "left_anti")
-    return add_favorites(kept, added).drop("action")
+    alive = F.filter("adds", lambda t: F.col("removed_at").isNull() | (t > F.col("removed_at")))
+    return merged.select(*key, F.array_sort(alive).alias("adds"), "removed_at")
+
+
+def favorites(state: DataFrame) -> DataFrame:
+    """(user_id, recipe_id, created_at): the pairs that are favourites, since the first add that counts."""
+    return state.filter(F.size("adds") > 0).select("user_id", "recipe_id", F.get("adds", F.lit(0)).alias("created_at"))
 
 
 def delivery_batch(
@@ -114,45 +125,62 @@ def recent_requests(events: DataFrame, key: str, ts: str, event_id: str) -> Data
     )
 
 
-def admissions(limit: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
-    """State function that replays the limiter: refused requests are not recorded.
+def admissions(limit: int, window: float = WINDOW_SECONDS):
+    """State function of the limiter: requests of a key wait for the watermark and are decided in order of time.
 
-    The state of a key is the times of its admitted requests in the last 60 seconds, at most
-    ``limit`` of them.
+    The state is the times admitted in the last window, at most ``limit`` of them, and the requests that still wait. A
+    key is forgotten once nothing waits and its last admission is a window old.
     """
 
+    def decide(now: float, hits: list[float]) -> float | None:
+        """Seconds to wait; None, and a new hit, if there is room."""
+        while hits and now - hits[0] >= window:
+            hits.pop(0)
+        if len(hits) < limit:
+            hits.append(now)
+            return None
+        return window - (now - hits[0])
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        hits = list(state.get[0]) if state.exists else []
-        for batch in batches:
-            ordered = batch.sort_values(["t", "event_id"])
-            waits = []
-            for now in ordered["t"]:
-                hits = [h for h in hits if now - h < WINDOW_SECONDS]
-                if len(hits) >= limit:
-                    waits.append(WINDOW_SECONDS - (now - hits[0]))
-                else:
-                    waits.append(None)
-                    hits.append(now)
-            yield pd.DataFrame(
-                {"event_id": ordered["event_id"], "key": key[0], "retry_after": pd.array(waits, dtype="Float64")}
-            )
-        state.update((hits,))
+        hits, times, ids = map(list, state.get) if state.exists else ([], [], [])
+        for batch in batches:  # one key may arrive in several pieces, in any order
+            times.extend(batch["t"])
+            ids.extend(batch["event_id"])
+        mark = state.getCurrentWatermarkMs()
+        waiting = sorted(zip(times, ids))
+        ready = [r for r in waiting if r[0] * 1000 < mark]
+        waiting = waiting[len(ready):]
+        waits = [decide(now, hits) for now, _ in ready]
+        if waiting or (hits and (hits[-1] + window) * 1000 > mark):
+            state.update((hits, [t for t, _ in waiting], [i for _, i in waiting]))
+            due = waiting[0][0] if waiting else hits[-1] + window
+            state.setTimeoutTimestamp(max(int(due * 1000) + 1, mark + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(
+            {
+                "event_id": pd.array([i for _, i in ready], dtype="Int64"),
+                "key": [key[0]] * len(ready),
+                "retry_after": pd.array(waits, dtype="Float64"),
+            }
+        )
 
     return run
 
 
-def admitted_requests(events: DataFrame, limit: int) -> DataFrame:
+def admitted_requests(events: DataFrame, limit: int, delay: str) -> DataFrame:
     """(event_id, key, retry_after): NULL when admitted, else the seconds to wait (streaming).
 
-    ``events`` has event_id, key and t (seconds). A micro-batch must not hold events older than the
-    ones before it for the same key.
+    ``events`` has event_id, key and ts. A request is decided when the watermark, ``delay`` behind the newest request,
+    has passed it; later arrivals are dropped. Keys are users or clients, so a group is what one of them sent.
     """
-    return events.groupBy("key").applyInPandasWithState(
+    timed = events.withWatermark("ts", delay).withColumn("t", F.unix_micros("ts") / F.lit(1e6))
+    return timed.groupBy("key").applyInPandasWithState(
         admissions(limit),
         "event_id bigint, key string, retry_after double",
-        "hits array<double>",
+        "hits array<double>, times array<double>, ids array<bigint>",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 

@@ -1,5 +1,7 @@
 """Streaming jobs: batch equality, replays and the limiter."""
 
+import random
+
 from mealgrid.plans import loading
 from mealgrid.streaming import jobs
 from mealgrid.streaming.state import VersionedTable, each_batch
@@ -32,13 +34,20 @@ def test_views_keep_the_newest_per_user(spark):
     assert sorted(r.recipe_id for r in rows.collect()) == [2, 3]
 
 
-def test_favorites_follow_the_last_removal(spark):
-    state = spark.sql("SELECT 1L AS user_id, 1L AS recipe_id, TIMESTAMP'2024-01-01' AS created_at")
-    batch = spark.sql("""SELECT 1L AS user_id, r AS recipe_id, op, CAST(t AS TIMESTAMP) AS ts FROM VALUES
-        (1L, 'remove', '2024-01-03'), (1L, 'add', '2024-01-04'), (1L, 'add', '2024-01-05'), (2L, 'add', '2024-01-02'),
-        (2L, 'remove', '2024-01-06') AS v(r, op, t)""")
-    rows = jobs.favorites_step(state, batch).collect()
-    assert [(r.recipe_id, str(r.created_at)) for r in rows] == [(1, "2024-01-04 00:00:00")]
+def test_favorites_follow_times_in_any_order_of_arrival(spark, tmp_path):
+    changes = [(1, 1, "add", 1), (1, 1, "remove", 3), (1, 1, "add", 4), (1, 1, "add", 5), (1, 2, "add", 2), (1, 2, "remove", 6),
+               (1, 3, "add", 9), (1, 3, "remove", 2), (1, 3, "add", 1), (2, 1, "remove", 4)]
+    rng = random.Random(1)
+    for trial in range(3):
+        rng.shuffle(changes)
+        table = VersionedTable(spark, str(tmp_path / f"t{trial}"), jobs.FAVORITES_STATE)
+        run = each_batch(table, jobs.favorites_step)
+        for n, k in enumerate((0, 4, 7)):
+            part = changes[k : (4, 7, 10)[n]]
+            batch = spark.createDataFrame(part, "user_id long, recipe_id long, op string, day int")
+            run(batch.selectExpr("user_id", "recipe_id", "op", "timestamp_seconds(day * 86400) AS ts"), n)
+        rows = jobs.favorites(table.read(spark)).selectExpr("recipe_id", "unix_seconds(created_at) div 86400 AS day").collect()
+        assert sorted((r.recipe_id, r.day) for r in rows) == [(1, 4), (3, 9)]
 
 
 def test_recent_requests_equal_brute_force(spark):
@@ -52,17 +61,40 @@ def test_recent_requests_equal_brute_force(spark):
         assert counts[r.event_id] == len(near)
 
 
+def _limited(spark, tmp_path, rows, files):
+    """Waits by event for (event_id, key, seconds) rows that arrive in ``files`` pieces."""
+    schema = "event_id long, key string, t double"
+    source = str(tmp_path / "in")
+    for k in range(files):
+        part = spark.createDataFrame(rows[k::files], schema).selectExpr("event_id", "key", "timestamp_micros(CAST((t + 1000) * 1e6 AS BIGINT)) AS ts")
+        part.coalesce(1).write.mode("append").parquet(source)
+    for _ in range(2):  # the first moves the watermark, with the second the waiting requests are decided
+        spark.sql("SELECT -1L AS event_id, 'end' AS key, timestamp_seconds(9000000) AS ts").write.mode("append").parquet(source)
+    stream = spark.readStream.schema("event_id long, key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    out = str(tmp_path / "out")
+    jobs.run_to_end(jobs.admitted_requests(stream, 2, "30 days"), str(tmp_path / "ck"), jobs.collect_updates(out))
+    return {r.event_id: r.retry_after for r in spark.read.parquet(out).collect()}
+
+
 def test_limiter_does_not_record_refused_requests(spark, tmp_path):
     times = [0.0, 1.0, 2.0, 59.0, 60.5, 61.5, 62.0]
-    events = spark.createDataFrame([(i, "a", t) for i, t in enumerate(times)], "event_id long, key string, t double")
-    events.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    out = str(tmp_path / "out")
-    jobs.run_to_end(jobs.admitted_requests(stream, 2), str(tmp_path / "ck"), jobs.collect_updates(out))
-    waits = {r.event_id: r.retry_after for r in spark.read.parquet(out).collect()}
+    waits = _limited(spark, tmp_path, [(i, "a", t) for i, t in enumerate(times)], 2)
     assert [waits[i] for i in range(7)] == [None, None, 58.0, 1.0, None, None, 58.5]
 
 
+def test_limiter_with_more_requests_of_a_key_than_a_batch_holds(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, "hot" if i % 4 else f"k{i % 40}", float(i * 7 % 25_000 * 5)) for i in range(25_000)]
+    want, hits = {}, {}
+    for i, key, now in sorted(rows, key=lambda r: (r[2], r[0])):
+        mine = hits[key] = [h for h in hits.get(key, []) if now - h < 60]
+        want[i] = 60 - (now - mine[0]) if len(mine) >= 2 else None
+        if want[i] is None:
+            mine.append(now)
+    rng.shuffle(rows)
+    assert _limited(spark, tmp_path, rows, 3) == want
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     log = "ts timestamp, route string, status int, duration_ms double"
     source = tmp_path / "in"
