@@ -140,8 +140,10 @@ def candidates(reps: DataFrame) -> DataFrame:
     Documents are named by ``row``, which tells texts of one id apart.
     """
     banded = reps.select("row", F.explode("bands").alias("bucket"))
+    # stored, so that both sides of the join are plain shuffles, whose hot partitions Spark splits
     shared = banded.groupBy("bucket").agg(F.min("row").alias("leader"), F.max("row").alias("last")).where("leader < last")
-    members = written(banded.join(shared.select("bucket", "leader"), "bucket"), "members")
+    shared = written(shared.select("bucket", "leader"), "buckets")
+    members = written(banded.join(shared, "bucket"), "members")
     bits = reps.select("row", "bits")
 
     def similarity(pairs: DataFrame) -> DataFrame:
