@@ -230,7 +230,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         rows.select("row", "text").mapInArrow(_anchor_rows(length, gram), "row long, gram long, at long, first long, last long"),
         "anchors",
     )
-    shared = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # stored, so that both sides of the join are plain shuffles, whose hot partitions Spark splits
+    shared = written(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "grams")
     here = (
         found.join(shared, "gram")
         .groupBy("row")
