@@ -161,7 +161,8 @@ def export_insert_sql(spark, sf):
 
 @register(
     "request_parts",
-    """WITH RECURSIVE r AS (SELECT doc_id, CAST(floor(length(text) / 2.5::DOUBLE) + 1 AS BIGINT) AS tokens, row_number() OVER (ORDER BY doc_id) AS rn FROM documents),
+    """WITH RECURSIVE r AS (SELECT doc_id, CAST(floor(length(text) / 2.5::DOUBLE) + 1 AS BIGINT) AS tokens, row_number() OVER (ORDER BY doc_id) AS rn FROM documents
+  WHERE floor(length(text) / 2.5::DOUBLE) + 1 <= 40000),
 walk AS (SELECT rn, doc_id, tokens, 1::BIGINT AS part_no, 1::BIGINT AS cnt, tokens AS used FROM r WHERE rn = 1
   UNION ALL SELECT r.rn, r.doc_id, r.tokens,
     CASE WHEN w.cnt >= 40 OR w.used + r.tokens > 40000 THEN w.part_no + 1 ELSE w.part_no END,
@@ -175,9 +176,21 @@ def request_parts(spark, sf):
     return exchange.request_parts(requests, ["custom_id"], 40, 40_000).select("custom_id", "tokens", "part_no")
 
 
+@register(
+    "request_rejects",
+    """SELECT CAST(doc_id AS VARCHAR) AS custom_id, 'over the token limit' AS reason FROM documents WHERE floor(length(text) / 2.5::DOUBLE) + 1 > 4000
+UNION ALL SELECT source, 'repeated id' FROM documents GROUP BY 1 HAVING count(*) > 1""",
+)
+def request_rejects(spark, sf):
+    docs = table(spark, sf, "documents")
+    long = exchange.request_rejects(docs.select(F.col("doc_id").cast("string").alias("custom_id"), "text"), 4000)
+    repeated = exchange.request_rejects(docs.select(F.col("source").alias("custom_id"), F.lit("").alias("text")), 4000)
+    return long.union(repeated)
+
+
 @register(
     "request_part_files",
-    "SELECT count(*) AS requests, CAST(sum(length(text)) AS BIGINT) AS characters FROM conversations",
+    "SELECT count(*) AS requests, CAST(sum(length(text)) AS BIGINT) AS characters FROM conversations WHERE floor(length(text) / 2.5::DOUBLE) + 1 <= 20000",
 )
 def request_part_files(spark, sf):
     folder = new_folder(spark, "parts")

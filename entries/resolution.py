@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entries.binding import view
+from entries.binding import table, view
 from entries.registry import Registry, joined
 from mealgrid.core.scratch import durable
 from mealgrid.plans import resolve
@@ -245,10 +245,11 @@ by_leaf AS (SELECT product_id, key, id FROM p JOIN keys ON contains(leaf, key) W
   QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY length(key) DESC, id) = 1)
 SELECT p.product_id, coalesce(n.key, e.key, l.key) AS key, CASE WHEN n.key IS NOT NULL THEN n.id WHEN e.key IS NOT NULL THEN e.id ELSE l.id END AS ingredient_id,
   'PRIMARY' AS role FROM p LEFT JOIN by_name n USING (product_id) LEFT JOIN keys e ON e.key = p.leaf LEFT JOIN by_leaf l USING (product_id)
-WHERE coalesce(n.key, e.key, l.key) IS NOT NULL""",
+WHERE coalesce(n.key, e.key, l.key) IS NOT NULL AND p.product_id NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount = 0)""",
 )
 def links_from_names(spark, sf):
-    return resolve.links_from_names(view(spark, sf, NAME_PRODUCTS), view(spark, sf, NAME_KEYS))
+    linked = table(spark, sf, "lineitem").filter("l_discount = 0").select(F.col("l_partkey").alias("product_id"))
+    return resolve.links_from_names(view(spark, sf, NAME_PRODUCTS), view(spark, sf, NAME_KEYS), linked)
 
 
 @register(

@@ -149,7 +149,7 @@ def words_in_texts(spark, sf):
 @register(
     "words_in_documents",
     """SELECT doc_id AS card_id, count(*) AS words FROM documents JOIN (SELECT DISTINCT word FROM (SELECT unnest(string_split(text, ' ')) AS word FROM benchmark)
-  WHERE length(word) BETWEEN 8 AND 12) ON contains(text, word) GROUP BY 1""",
+  WHERE length(word) >= 2) ON contains(text, word) GROUP BY 1""",
 )
 def words_in_documents(spark, sf):
     texts = table(spark, sf, "documents").select(F.col("doc_id").alias("card_id"), F.col("text").alias("reason"))
@@ -157,7 +157,6 @@ def words_in_documents(spark, sf):
         table(spark, sf, "benchmark")
         .select(F.explode(F.split("text", " ")).alias("word"))
         .distinct()
-        .filter(F.length("word").between(8, 12))
     )
     found = screening.words_in_texts(texts, words)
     return found.select("card_id", F.size("words").cast("bigint").alias("words"))
@@ -185,14 +184,14 @@ def experiment_checked_texts(spark, sf):
 
 
 def _chosen(spark, sf):
-    cards = _cards(spark, sf).withColumn("problem", F.when(F.col("note").startswith("5"), "sum"))
+    cards = _cards(spark, sf).withColumn("problem", F.when(F.col("note").startswith("5"), "sum").when(F.col("note").startswith("6"), "lists"))
     return screening.chosen_texts(cards, screening.vocabulary(cards), [F.col("card_id").asc()])
 
 
 @register(
     "chosen_text_sources",
-    _sql("""SELECT CASE WHEN note LIKE '5%' THEN 'fallback_invalid_row' WHEN n > 3 THEN 'template' ELSE 'checked' END AS source, count(*) AS texts
-FROM (SELECT *, row_number() OVER (PARTITION BY request_id, note LIKE '5%' ORDER BY card_id) AS n FROM cards) GROUP BY 1"""),
+    _sql("""SELECT CASE WHEN note[1] IN ('5', '6') THEN 'fallback_invalid_row' WHEN n > 3 THEN 'template' ELSE 'checked' END AS source, count(*) AS texts
+FROM (SELECT *, row_number() OVER (PARTITION BY request_id, note[1] IN ('5', '6') ORDER BY card_id) AS n FROM cards) GROUP BY 1"""),
 )
 def chosen_text_sources(spark, sf):
     source = F.when(F.col("source").isin("llm", "fallback_check"), "checked").otherwise(F.col("source"))
@@ -203,7 +202,7 @@ def chosen_text_sources(spark, sf):
 # cards numbered among the rows whose facts agree, and the rule text of every card
 CHOSEN_SQL = CARDS_SQL.replace(
     "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS card_no",
-    "CASE WHEN c.note LIKE '5%' THEN NULL ELSE row_number() OVER (PARTITION BY o_custkey, c.note LIKE '5%' ORDER BY o_orderkey) END AS card_no",
+    "CASE WHEN c.note[1] IN ('5', '6') THEN NULL ELSE row_number() OVER (PARTITION BY o_custkey, c.note[1] IN ('5', '6') ORDER BY o_orderkey) END AS card_no",
 ) + """, lacking AS (SELECT *, list_filter(missing, lambda n: NOT list_contains(pantry, n)) AS lack, recipe || '를' AS dish FROM cards),
 worded AS (SELECT *, len(lack) AS n, have[1] || '을 활용하고 ' || lack[1] || '만 더하면 ' || dish || ' 만들 수 있어요.' AS with_have,
   array_to_string(lack[1:2], '·') || ' 등 ' || len(lack) || '가지를 더 준비하면 ' || dish || ' 만들 수 있어요.' AS few FROM lacking),
@@ -211,14 +210,14 @@ ruled AS (SELECT *, CASE WHEN n = 0 THEN dish || ' 바로 만들어 보세요.'
   WHEN n = 1 THEN lack[1] || '만 더하면 ' || dish || ' 만들 수 있어요.' WHEN n <= 3 AND length(few) <= 60 THEN few
   WHEN n <= 3 THEN '재료 ' || n || '가지를 더 준비하면 ' || dish || ' 만들 수 있어요.'
   ELSE recipe || '에 필요한 재료 ' || n || '가지를 장보기 목록에서 확인해 보세요.' END AS rule_text FROM worded),
-sourced AS (SELECT r.card_id, r.request_id, r.reason, r.rule_text, CASE WHEN r.note LIKE '5%' THEN 'fallback_invalid_row' WHEN f.card_id IS NULL THEN 'template'
+sourced AS (SELECT r.card_id, r.request_id, r.reason, r.rule_text, r.note, r.dish, CASE WHEN r.note[1] IN ('5', '6') THEN 'fallback_invalid_row' WHEN f.card_id IS NULL THEN 'template'
   WHEN len(f.failed) > 0 THEN 'fallback_check:' || array_to_string(f.failed, ',') ELSE 'llm' END AS source FROM ruled r LEFT JOIN failed f USING (card_id))
 """
 
 
 @register(
     "chosen_texts",
-    "WITH " + CHOSEN_SQL + "SELECT card_id, request_id, source, CASE WHEN source = 'llm' THEN reason ELSE rule_text END AS text FROM sourced",
+    "WITH " + CHOSEN_SQL + "SELECT card_id, request_id, source, CASE WHEN source = 'llm' THEN reason WHEN note LIKE '6%' THEN dish || ' 추천해 드려요.' ELSE rule_text END AS text FROM sourced",
 )
 def chosen_texts(spark, sf):
     return _chosen(spark, sf)

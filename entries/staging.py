@@ -144,27 +144,41 @@ def skipped_storage_rules(spark, sf):
 @register(
     "build_entities",
     """SELECT c_custkey || '|' || c_mktsegment AS entity_key, 1::BIGINT AS own_rows, coalesce(n, 0) AS companion_rows FROM customer
-LEFT JOIN (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) o ON o.o_custkey = c_custkey AND o_orderpriority = '1-URGENT'""",
+LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o.o_custkey = c_custkey""",
 )
 def build_entities(spark, sf):
     customers = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_name")
-    urgent = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select("o_custkey", "o_orderkey")
-    urgent = urgent.join(customers.selectExpr("c_custkey AS o_custkey", "c_mktsegment AS s"), "o_custkey").selectExpr(
+    placed = table(spark, sf, "orders").select("o_custkey", "o_orderkey")
+    placed = placed.join(customers.selectExpr("c_custkey AS o_custkey", "c_mktsegment AS s"), "o_custkey").selectExpr(
         "concat(' ', o_custkey, '|', s) AS key", "o_orderkey"
     )
-    rows = staging.build_entities(customers, ["c_custkey", "c_mktsegment"], F.col("c_custkey"), {"orders": (urgent, "key")})
+    rows = staging.build_entities(customers, ["c_custkey", "c_mktsegment"], F.col("c_custkey"), {"orders": (placed, "key")})
     return rows.groupBy("entity_key").agg(
         F.sum(F.coalesce(F.size("rows"), F.lit(0))).alias("own_rows"),
         F.sum(F.coalesce(F.size("orders"), F.lit(0))).alias("companion_rows"),
     )
 
 
+@register(
+    "build_entities_one",
+    """SELECT CASE WHEN o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) THEN CAST(o_custkey AS VARCHAR) ELSE o_custkey || '#' || o_orderkey END AS entity_key,
+  o_orderkey, 1::BIGINT AS own_rows FROM orders""",
+)
+def build_entities_one(spark, sf):
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey")
+    rows = staging.build_entities(orders, ["o_custkey"], F.col("o_orderkey"), {}, one=True)
+    own = F.get("rows", F.lit(0))["o_orderkey"].alias("o_orderkey")
+    return rows.select("entity_key", own, F.size("rows").cast("bigint").alias("own_rows"))
+
+
 @register(
     "target_shapes",
-    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'storage' ELSE 'recipe' END AS shape FROM orders",
+    "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'storage' WHEN 'O' THEN 'recipe' END AS shape FROM orders",
 )
 def target_shapes(spark, sf):
-    targets = F.when(F.col("o_orderstatus") == "F", F.array(F.lit("none"), F.lit("storage_guideline"))).otherwise(
-        F.array(F.lit("recipe"))
+    targets = (
+        F.when(F.col("o_orderstatus") == "F", F.array(F.lit("recipe"), F.lit("storage_guideline")))
+        .when(F.col("o_orderstatus") == "O", F.array(F.lit("none"), F.lit("recipe")))
+        .otherwise(F.array(F.lit("none")))
     )
     return table(spark, sf, "orders").select("o_orderkey", staging.target_shape(targets).alias("shape"))

@@ -186,6 +186,8 @@ SENTENCES = 2
 EXPERIMENT_MAX_TEXT = 60
 RATE_TOLERANCE = 0.0005
 GENERATED_CARDS = 3
+# what follows the recipe and its particle when nothing can be said about ingredients
+NEUTRAL_REASON = " 추천해 드려요."
 RUBRIC_ITEMS = (
     "goal", "brand", "differentiation", "clarity", "attractiveness", "relevance", "compliance", "brevity",
 )

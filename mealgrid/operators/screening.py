@@ -17,6 +17,7 @@ from mealgrid.core.sizes import broadcast_if_small
 from mealgrid.core.spread import spread
 from mealgrid.functions import fixed_values as fixed
 from mealgrid.functions.reasons import template_reason
+from mealgrid.functions.text import object_particle
 from mealgrid.functions.text import quoted_regex, stripped, unicode_pattern
 
 def _none() -> Column:
@@ -118,38 +119,42 @@ def without_title(text: Column, recipe: Column, names: Column) -> Column:
 
 
 CHUNK = 256
+HEAD = 4  # leading characters by which a word is looked up
 
 
 def words_in_texts(cards: DataFrame, words: DataFrame) -> DataFrame:
     """(card_id, words): vocabulary words of two or more characters that occur in each text.
 
-    Texts are cut into chunks that overlap by the longest word, so long texts spread over tasks and
-    cutting pieces stays cheap. Each chunk unfolds its distinct pieces of the lengths the vocabulary
-    has and meets it in an equi-join. The words of one card are bounded by its own text.
+    Texts are cut into chunks that overlap by the longest word, so long texts spread over tasks. A word is looked up by its
+    first ``HEAD`` characters: each chunk unfolds its distinct pieces of at most that length, meets the vocabulary in an
+    equi-join, and is then searched for the words that start so. The words of one card are bounded by its own text.
     """
-    lexicon = durable(words.filter(F.length("word") >= 2).select("word").distinct())
-    lengths = lexicon.select(F.array_sort(F.collect_set(F.length("word"))).alias("n")).scalar()
-    texts = (
+    head = F.substring("word", 1, HEAD)
+    lexicon = durable(words.filter(F.length("word") >= 2).select("word").distinct().withColumn("head", head))
+    known = lexicon.agg(
+        F.array_sort(F.collect_set(F.length("head"))).alias("lengths"), F.max(F.length("word")).alias("longest")
+    ).first()
+    if not known["lengths"]:
+        return cards.select("card_id", _none().alias("words")).filter(F.lit(False))
+    chunks = (
         cards.select("card_id", F.col("reason").alias("t"))
-        .withColumn("lengths", lengths)
-        .filter((F.length("t") >= 2) & (F.size("lengths") > 0))
+        .filter(F.length("t") >= 2)
         .withColumn("start", F.explode(F.sequence(F.lit(1), F.length("t"), F.lit(CHUNK))))
-        .withColumn("chunk", F.substring(F.col("t"), F.col("start"), F.lit(CHUNK - 1) + F.array_max("lengths")))
-        .select("card_id", "start", "chunk", "lengths")
-    )
-    pieces = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.least(F.length("chunk"), F.lit(CHUNK))),
-            lambda i: F.transform(
-                F.filter("lengths", lambda n: n <= F.length("chunk") - i + 1),
-                lambda n: F.substring(F.col("chunk"), i, n),
-            ),
-        )
+        .withColumn("chunk", F.substring(F.col("t"), F.col("start"), F.lit(CHUNK - 1 + known["longest"])))
+        .select("card_id", "start", "chunk")
     )
+    starts = F.sequence(F.lit(1), F.least(F.length("chunk"), F.lit(CHUNK)))
+
+    def of_length(n: int) -> Column:
+        return F.transform(starts, lambda i: F.substring(F.col("chunk"), i, F.lit(n)))
+
+    pieces = F.concat(*[of_length(n) for n in known["lengths"]])
     return (
-        spread(texts, "card_id", "start")
-        .select("card_id", F.explode_outer(F.array_distinct(pieces)).alias("word"))
-        .join(broadcast_if_small(lexicon), "word")
+        spread(chunks, "card_id", "start")
+        .select("card_id", "chunk", F.explode(F.array_distinct(pieces)).alias("head"))
+        .join(broadcast_if_small(lexicon), "head")
+        .filter(F.contains("chunk", "word"))
+        .select("card_id", "word")
         .distinct()
         .groupBy("card_id")
         .agg(F.array_sort(F.collect_list("word")).alias("words"))
@@ -419,14 +424,18 @@ def experiment_checked(cards: DataFrame, words: DataFrame) -> DataFrame:
 def chosen_texts(cards: DataFrame, words: DataFrame, order: list[Column]) -> DataFrame:
     """(card_id, request_id, text, source): the generated text where it may be shown, else the rule text.
 
-    ``cards`` also has problem (NULL when the facts of the row agree). Among the agreeing rows only
+    ``cards`` also has problem: NULL when the facts of the row agree, ``lists`` when its lists cannot be
+    read. Such a card gets a text that says nothing about ingredients. Among the agreeing rows only
     the first cards of a request, in the given order, carry generated texts; they are picked by a
     group limit, so a request with very many cards never comes together in one task.
     """
     valid = cards.filter(F.col("problem").isNull())
     generated = durable(ranked(valid, ["request_id"], order, fixed.GENERATED_CARDS, "card_no").drop("card_no"))
     outcome = checked(generated, words).select("card_id", "failed")
-    rule_text = template_reason(F.col("recipe"), F.col("have"), effective_missing())
+    neutral = F.concat("recipe", object_particle(F.col("recipe")), F.lit(fixed.NEUTRAL_REASON))
+    rule_text = F.when(F.col("problem") == "lists", neutral).otherwise(
+        template_reason(F.col("recipe"), F.col("have"), effective_missing())
+    )
     source = (
         F.when(F.col("problem").isNotNull(), "fallback_invalid_row")
         .when(F.col("failed").isNull(), "template")

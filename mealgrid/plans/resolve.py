@@ -287,13 +287,17 @@ def _longest_contained(texts: DataFrame, text: str, keys: DataFrame, result: str
     )
 
 
-def links_from_names(products: DataFrame, lookup: DataFrame) -> DataFrame:
+def links_from_names(products: DataFrame, lookup: DataFrame, linked: DataFrame | None = None) -> DataFrame:
     """One main ingredient per product read off its name, else off its category leaf.
 
+    Products in ``linked`` (product_id) have links already and are left alone.
+
     ``products`` has product_id, name and category_path; ``lookup`` has key, ingredient_id and
     key_order (the order of equally long keys). The longest key inside the name wins; without one,
     the leaf itself when it is a key, then the longest key inside the leaf.
     """
+    if linked is not None:
+        products = products.join(linked.select("product_id").distinct(), "product_id", "left_anti")
     keys = lookup.filter(F.length("key") >= fixed.MIN_SUBSTRING).select("key", "ingredient_id", "key_order")
     leaf_text = F.element_at(F.split(F.coalesce("category_path", F.lit("")), fixed.PATH_SEPARATOR), -1)
     texts = products.select(

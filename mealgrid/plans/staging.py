@@ -215,13 +215,24 @@ def skipped_rules(items: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
-def build_entities(rows: DataFrame, keys: list[str], row_no: Column, companions: dict[str, tuple[DataFrame, str]]):
+def build_entities(
+    rows: DataFrame, keys: list[str], row_no: Column, companions: dict[str, tuple[DataFrame, str]], one: bool = False
+):
     """(entity_key, page, rows, companions…): rows grouped by entity with companion rows nested.
 
+    With ``one`` every row is an entity: the first row of a key keeps it, others append their number.
+
     ``companions`` maps a name to (frame, its key column). Arrays hold one page of rows each; an
     entity with very many rows has several pages.
     """
     keyed = rows.withColumn("entity_key", entity_key([F.col(k) for k in keys], row_no))
+    if one:
+        # only the smallest number per key is looked up, so a frequent key is no group of rows
+        first = keyed.groupBy("entity_key").agg(F.min(row_no).alias("__first"))
+        numbered = F.concat("entity_key", F.lit("#"), row_no.cast("string"))
+        keyed = keyed.join(first, "entity_key").withColumn(
+            "entity_key", F.when(row_no == F.col("__first"), F.col("entity_key")).otherwise(numbered)
+        ).drop("__first")
 
     def cells(df: DataFrame, name: str) -> DataFrame:
         columns = [c for c in df.columns if c not in ("entity_key", "page")]
@@ -243,5 +254,7 @@ def build_entities(rows: DataFrame, keys: list[str], row_no: Column, companions:
 
 
 def target_shape(target_tables: Column) -> Column:
-    """Record shape to extract for a profile."""
-    return F.when(F.array_contains(target_tables, "storage_guideline"), "storage").otherwise("recipe")
+    """Record shape to extract for a profile; NULL when neither kind of table is its target."""
+    return F.when(F.array_contains(target_tables, "storage_guideline"), "storage").when(
+        F.array_contains(target_tables, "recipe"), "recipe"
+    )

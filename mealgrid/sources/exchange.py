@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mealgrid.core.numbering import global_row_number
+from mealgrid.core.scratch import durable
 
 CHARACTERS_PER_TOKEN = 2.5
 BLOCK_ROWS = 50_000
@@ -17,45 +19,85 @@ def estimated_tokens(text: Column) -> Column:
     return (F.floor(F.length(text) / F.lit(CHARACTERS_PER_TOKEN)) + 1).cast("bigint")
 
 
-def request_parts(requests: DataFrame, order: list[str], max_rows: int, max_tokens: int, block: int = BLOCK_ROWS):
-    """Requests with ``part_no``: consecutive requests, bounded by rows and by estimated tokens.
+def request_rejects(requests: DataFrame, max_tokens: int) -> DataFrame:
+    """(custom_id, reason): requests that no part can hold, and ids that are there more than once."""
+    long = requests.filter(estimated_tokens(F.col("text")) > max_tokens)
+    repeated = requests.groupBy("custom_id").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    return long.select("custom_id", F.lit("over the token limit").alias("reason")).unionByName(
+        repeated.select("custom_id", F.lit("repeated id").alias("reason"))
+    )
+
 
-    Requests are numbered by range and cut into blocks of ``block`` rows; parts are filled greedily
-    inside a block, so no task ever holds more than one block. Up to one block the parts are those
-    of a single greedy pass. A request beyond the token bound, or a repeated id, is an error.
+def request_parts(requests: DataFrame, order: list[str], max_rows: int, max_tokens: int, block: int = BLOCK_ROWS) -> DataFrame:
+    """Requests with ``part_no``: one greedy pass over the consecutive requests, bounded by rows and estimated tokens.
+
+    Requests are numbered by range and looked at in blocks of ``block`` rows, each with the first ``max_rows`` rows of the
+    next one. Where a part starts, the next start follows from the rows alone; a block therefore maps each of its first rows,
+    if a part starts there, to a first row of the next block. These links are followed from the first row by doubling,
+    and then every block knows where its first part starts. The parts do not depend on the block size. Requests over the
+    token bound stand alone in no part: see ``request_rejects``.
     """
     tokens = estimated_tokens(F.col("text"))
-    too_long = F.raise_error(F.concat(F.lit("request over the token limit: "), F.col("custom_id").cast("string")))
-    repeated = F.raise_error(F.concat(F.lit("repeated request id: "), F.col("custom_id").cast("string")))
-    ids = requests.groupBy("custom_id").agg(F.count(F.lit(1)).alias("copies"))
-    checked = (
-        requests.join(ids, "custom_id")
-        .withColumn("tokens", F.when(tokens > max_tokens, too_long).otherwise(tokens))
-        .withColumn("tokens", F.when(F.col("copies") > 1, repeated).otherwise(F.col("tokens")))
-        .drop("copies")
-    )
-    numbered = global_row_number(checked, [F.col(c).asc() for c in order]).withColumn(
-        "block", F.floor((F.col("row_no") - 1) / block)
+    numbered = global_row_number(
+        requests.withColumn("tokens", tokens).filter(F.col("tokens") <= max_tokens), [F.col(c).asc() for c in order]
     )
-    slim = numbered.select("block", "row_no", "tokens")
+    block = max(block, max_rows)
+    own = F.floor((F.col("row_no") - 1) / block)
+    ahead = F.when((F.col("row_no") - 1) % block < max_rows, own - 1)
+    slim = numbered.select("row_no", "tokens", F.explode(F.array_compact(F.array(own, ahead))).alias("block")).filter("block >= 0")
+
+    def following(rows: pd.DataFrame) -> pd.DataFrame:
+        """Rows in order with ``next``: the row at which the next part starts if one starts here."""
+        rows = rows.sort_values("row_no", ignore_index=True)
+        total = np.append(0, rows["tokens"].cumsum())
+        at = np.arange(len(rows))
+        reach = np.searchsorted(total, total[:-1] + max_tokens, side="right") - 1
+        rows["next"] = np.minimum(reach, at + max_rows)
+        return rows
+
+    def crossings(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = following(rows)
+        first = rows["block"].iloc[0] * block + 1
+        size = int((rows["row_no"] < first + block).sum())
+        leave = rows["next"].to_numpy().copy()
+        for k in range(size - 1, -1, -1):
+            if leave[k] < size:
+                leave[k] = leave[leave[k]]
+        entry = np.arange(min(max_rows, size))
+        return pd.DataFrame({"a": first + entry, "b": first + leave[entry]})
+
+    links = durable(slim.groupBy("block").applyInPandas(crossings, "a bigint, b bigint"))
+    reached = durable(numbered.filter("row_no = 1").select("row_no"))
+    while True:
+        further = reached.join(links, reached["row_no"] == links["a"]).select(F.col("b").alias("row_no"))
+        more = durable(reached.union(further).distinct())
+        if more.count() == reached.count():
+            break
+        reached = more
+        onward = links.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        links = durable(links.join(onward, "b").select("a", F.col("c").alias("b")))
+
+    entries = reached.withColumn("block", F.floor((F.col("row_no") - 1) / block)).groupBy("block").agg(F.min("row_no").alias("entry"))
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row_no")
-        parts, part, count, used = [], 0, 0, 0
-        for size in rows["tokens"]:
-            if count and (count >= max_rows or used + size > max_tokens):
-                part, count, used = part + 1, 0, 0
-            parts.append(part)
-            count, used = count + 1, used + size
-        return pd.DataFrame({"block": rows["block"], "row_no": rows["row_no"], "part_in_block": parts})
-
-    filled = slim.groupBy("block").applyInPandas(fill, "block bigint, row_no bigint, part_in_block bigint")
-    sizes = filled.groupBy("block").agg((F.max("part_in_block") + 1).alias("parts"))
+        rows = following(rows)
+        first = rows["block"].iloc[0] * block + 1
+        size = int((rows["row_no"] < first + block).sum())
+        starts, at = np.zeros(size, np.int64), int(rows["entry"].iloc[0] - first)
+        steps = rows["next"].to_numpy()
+        while at < size:
+            starts[at] = 1
+            at = steps[at]
+        return pd.DataFrame({"block": rows["block"][:size], "row_no": rows["row_no"][:size], "started": starts.cumsum()})
+
+    # a part that began in the block before may fill a block to its end: then none starts in it
+    placed = slim.join(entries, "block", "left").withColumn("entry", F.coalesce("entry", (F.col("block") + 1) * block + 1))
+    filled = placed.groupBy("block").applyInPandas(fill, "block bigint, row_no bigint, started bigint")
+    sizes = filled.groupBy("block").agg(F.max("started").alias("parts"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("block", F.coalesce(F.sum("parts").over(before), F.lit(0)).alias("offset"))
-    part_no = (F.col("offset") + F.col("part_in_block") + 1).alias("part_no")
-    numbers = filled.join(offsets, "block").select("row_no", part_no)
-    return numbered.join(numbers, "row_no").drop("block")
+    numbers = filled.join(offsets, "block").select("row_no", (F.col("offset") + F.col("started")).alias("part_no"))
+    return numbered.join(numbers, "row_no")
 
 
 def write_request_parts(parts: DataFrame, path: str) -> None:

@@ -85,17 +85,31 @@ def test_cut_off_dump_is_refused(spark, tmp_path):
         dumps.read_copy_dump(spark, str(tmp_path), "u", ["a"]).collect()
 
 
-def test_request_parts_over_blocks_keep_their_bounds(spark):
-    requests = spark.range(200).selectExpr("id AS custom_id", "repeat('x', CAST(10 + id % 90 AS INT)) AS text")
-    parts = exchange.request_parts(requests, ["custom_id"], 7, 100, block=50).collect()
-    sizes = {}
-    for r in parts:
-        sizes.setdefault(r.part_no, []).append(r.tokens)
-    assert len(parts) == 200
-    assert all(len(s) <= 7 and sum(s) <= 100 for s in sizes.values())
-    assert sorted(sizes) == list(range(1, len(sizes) + 1))
-    with pytest.raises(Exception, match="over the token limit"):
-        exchange.request_parts(requests, ["custom_id"], 7, 20).collect()
+@pytest.mark.parametrize("block", [7, 20, 50, 1000])
+def test_request_parts_are_one_greedy_pass(spark, block):
+    requests = spark.range(200).selectExpr("id AS custom_id", "repeat('x', CAST(10 + id * 37 % 90 AS INT)) AS text")
+    got = {r.custom_id: (r.part_no, r.tokens) for r in exchange.request_parts(requests, ["custom_id"], 7, 100, block=block).collect()}
+    want, part, count, used = {}, 1, 0, 0
+    for k in range(200):
+        size = int((10 + k * 37 % 90) / 2.5) + 1
+        if count and (count >= 7 or used + size > 100):
+            part, count, used = part + 1, 0, 0
+        want[k], count, used = (part, size), count + 1, used + size
+    assert got == want
+
+
+def test_requests_that_no_part_holds(spark):
+    requests = spark.createDataFrame([(1, "x" * 100), (2, "y"), (2, "y")], "custom_id long, text string")
+    assert exchange.request_parts(requests, ["custom_id"], 7, 20).count() == 2
+    rejects = {r.custom_id: r.reason for r in exchange.request_rejects(requests, 20).collect()}
+    assert rejects == {1: "over the token limit", 2: "repeated id"}
+
+
+def test_closure_of_a_long_chain(spark):
+    from mealgrid.operators.hierarchy import ancestors
+
+    chain = spark.range(1, 301).selectExpr("id AS ingredient_id", "CASE WHEN id > 1 THEN id - 1 END AS parent_ingredient_id")
+    assert ancestors(chain).filter("ingredient_id = 300").count() == 300
 
 
 def test_block_search_equals_scan(spark):
