@@ -54,7 +54,7 @@ answers AS (SELECT key, confidence, ingredient_id, CASE WHEN ingredient_id IS NU
       CASE WHEN l_tax > 0.01 THEN l_suppkey END AS ingredient_id, (l_orderkey, l_partkey, l_linenumber, l_extendedprice, l_shipdate) AS o
     FROM (SELECT *, CASE l_linenumber % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, ' ', '  ')
       WHEN 2 THEN p_name || ' no ' || (l_suppkey % 9) ELSE p_type || ' ' || (l_suppkey % 3) END AS normalized_name
-      FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey % 9 < 2))
+      FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 25))
   WHERE key IN (SELECT key FROM asked) QUALIFY row_number() OVER (PARTITION BY key ORDER BY o) = 1)
 """
 
@@ -143,7 +143,7 @@ def _answers(spark, sf):
     lines = view(
         spark, sf,
         LINES.replace("FROM {lineitem}", ", l_discount * 10 AS confidence, CASE WHEN l_tax > 0.01 THEN l_suppkey END AS ingredient_id FROM {lineitem}")
-        + " WHERE l_suppkey % 9 < 2",
+        + " WHERE p_size <= 25",  # names of larger parts stay unanswered
     )
     requested = _representatives(spark, sf).select(F.col("head").alias("normalized_name")).distinct()
     answers = lines.select(F.col("normalized_name").alias("source_name"), "confidence", "ingredient_id", "ordinal")
@@ -252,6 +252,20 @@ def links_from_names(spark, sf):
     return resolve.links_from_names(view(spark, sf, NAME_PRODUCTS), view(spark, sf, NAME_KEYS), linked)
 
 
+@register(
+    "match_summary",
+    _sql("""SELECT count(*) AS lines, count(*) FILTER (WHERE key IN (SELECT key FROM matched)) AS matched_lines,
+  count(*) FILTER (WHERE key IN (SELECT key FROM matched))::DOUBLE / count(*) AS match_rate,
+  count(DISTINCT key) FILTER (WHERE key NOT IN (SELECT key FROM matched)) AS unmatched_names FROM keyed"""),
+)
+def match_summary(spark, sf):
+    from mealgrid.functions.text import match_key
+    from mealgrid.plans.reports import match_summary as summary
+
+    lines = _lines(spark, sf).select(match_key(F.col("normalized_name")).alias("name"))
+    return summary(lines, _matched(spark, sf)[1].select(F.col("normalized_name").alias("name")))
+
+
 @register(
     "frequent_unmatched_names",
     _sql("SELECT normalized_name, count(*) AS occurrences FROM keyed WHERE key NOT IN (SELECT key FROM matched) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"),

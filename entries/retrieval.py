@@ -140,3 +140,15 @@ def retrieval_metrics(spark, sf):
         }
     )
     return reports.route_metrics(results)
+
+
+@register(
+    "body_covers",
+    """SELECT ri.recipe_id, bool_and(NOT i.is_pantry) AS covers FROM recipe_ingredient ri JOIN ingredient i USING (ingredient_id)
+WHERE ri.is_required GROUP BY 1""",
+)
+def body_covers(spark, sf):
+    catalog = bind(spark, sf)
+    lines = catalog.recipe_ingredient.join(catalog.ingredient.select("ingredient_id", "is_pantry"), "ingredient_id")
+    field = lines.withColumn("field", F.col("ingredient_id"))
+    return vectors.body_covers(field.filter("is_required"), field.filter("NOT is_pantry"), ["recipe_id"])

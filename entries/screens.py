@@ -188,17 +188,6 @@ def _chosen(spark, sf):
     return screening.chosen_texts(cards, screening.vocabulary(cards), [F.col("card_id").asc()])
 
 
-@register(
-    "chosen_text_sources",
-    _sql("""SELECT CASE WHEN note[1] IN ('5', '6') THEN 'fallback_invalid_row' WHEN n > 3 THEN 'template' ELSE 'checked' END AS source, count(*) AS texts
-FROM (SELECT *, row_number() OVER (PARTITION BY request_id, note[1] IN ('5', '6') ORDER BY card_id) AS n FROM cards) GROUP BY 1"""),
-)
-def chosen_text_sources(spark, sf):
-    source = F.when(F.col("source").isin("llm", "fallback_check"), "checked").otherwise(F.col("source"))
-    counts = screening.source_counts(_chosen(spark, sf)).withColumn("source", source)
-    return counts.groupBy("source").agg(F.sum("texts").alias("texts"))
-
-
 # cards numbered among the rows whose facts agree, and the rule text of every card
 CHOSEN_SQL = CARDS_SQL.replace(
     "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS card_no",
@@ -223,6 +212,14 @@ def chosen_texts(spark, sf):
     return _chosen(spark, sf)
 
 
+@register(
+    "chosen_text_sources",
+    "WITH " + CHOSEN_SQL + "SELECT split_part(source, ':', 1) AS source, count(*) AS texts FROM sourced GROUP BY 1",
+)
+def chosen_text_sources(spark, sf):
+    return screening.source_counts(_chosen(spark, sf))
+
+
 # ---------------------------------------------------------------- judge answers
 
 JUDGED = """SELECT conv_id, turn, CASE WHEN role = 'system' THEN text WHEN turn = 1 THEN concat('{{"goal": 1', text)

@@ -101,12 +101,12 @@ def stream_request_counts(spark, sf):
 
 @register(
     "recent_requests",
-    """SELECT event_id, user_id, count(*) OVER w AS requests FROM (SELECT *, epoch_us(ts) AS us FROM events)
+    """SELECT event_id, user_id, count(*) OVER w AS requests, (us - min(us) OVER w) / 1e6::DOUBLE AS oldest_age FROM (SELECT *, epoch_us(ts) AS us FROM events)
 WINDOW w AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)""",
 )
 def recent_requests(spark, sf):
     bind(spark, sf)
-    return jobs.recent_requests(_events(spark, sf), "user_id", "ts", "event_id").drop("oldest_age")
+    return jobs.recent_requests(_events(spark, sf), "user_id", "ts", "event_id")
 
 
 @register(

@@ -1,39 +1,27 @@
 """Nested array cells of bounded size.
 
-A nested relation shows the lines of a recipe or product as one array. A key with very many lines
-would build an unbounded array in one task, so lines are first spread over pages: keys within
-``PAGE_ENTRIES`` lines have the single page 0, larger keys get as many pages as they need and one
-output row per page. Nothing is dropped: every line is in exactly one page.
+A nested relation shows the lines of a recipe or product as one array. The key of such a relation is (key, page): page k
+holds the lines at positions k * ``PAGE_ENTRIES`` onward of the relation's own order, for every key and at every size.
+Lines are placed by a window, which passes over a large key without holding it; only one page is ever an array.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE_ENTRIES = 10_000
 
 
-def add_page(df: DataFrame, keys: Sequence[str], by: Sequence[str], entries: int = PAGE_ENTRIES) -> DataFrame:
-    """Add ``page`` so that every (key, page) holds about ``entries`` rows at most.
+def add_page(df: DataFrame, keys: Sequence[str], order: Mapping[str, Column], entries: int = PAGE_ENTRIES) -> DataFrame:
+    """Add ``page``: the position of the row within its key, in the given total order, over ``entries``.
 
-    Only keys above the bound enter the join side, so that side has at most rows / entries rows.
+    The shuffle by key also serves the aggregation by (key, page) that follows.
     """
-    large = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") > entries)
-        .withColumn("__pages", F.ceil(F.col("__n") / F.lit(entries)))
-        .drop("__n")
-    )
-    spread = F.pmod(F.xxhash64(*by), F.col("__pages")).cast("int")
-    return (
-        df.join(large, list(keys), "left")
-        .withColumn("page", F.coalesce(spread, F.lit(0)))
-        .drop("__pages")
-    )
+    position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order.values()))
+    return df.withColumn("page", F.floor((position - 1) / F.lit(entries)).cast("int"))
 
 
 def nested(order: Mapping[str, Column], fields: Mapping[str, Column], when: Column | None = None) -> Column:

@@ -180,6 +180,12 @@ def hit_flags(cases: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
-def body_covers(fields: set[str], body_fields: set[str]) -> bool:
-    """Whether everything that was embedded is also shown in the body."""
-    return fields <= body_fields
+def body_covers(embedded: DataFrame, shown: DataFrame, keys: list[str], field: str = "field") -> DataFrame:
+    """(keys, covers): whether every embedded field of a document also stands in the body that is shown."""
+    present = shown.select(*keys, field).distinct().withColumn("present", F.lit(True))
+    return (
+        embedded.select(*keys, field)
+        .join(present, [*keys, field], "left")
+        .groupBy(*keys)
+        .agg(F.bool_and(F.col("present").isNotNull()).alias("covers"))
+    )

@@ -187,16 +187,17 @@ def bubble_products(catalog: Catalog, n: int, skip: int = 0) -> DataFrame:
     )
     order = [F.col("recipe_count").desc(), F.col("price").asc(), F.col("product_id").asc()]
     shown = durable(page_with_total(best, ["keyword_id"], order, n, skip, "total_count"))  # one page per bubble
+    demand = {"demand": -F.col("recipe_count"), "name": F.col("ingredient_name"), "id": F.col("ingredient_id")}
     entries = add_page(
         offered.join(shown.select("keyword_id", "product_id"), ["keyword_id", "product_id"], "left_semi").join(
             names, "ingredient_id"
         ),
         ["keyword_id", "product_id"],
-        ["ingredient_id"],
+        demand,
     )
     nested_names = entries.groupBy("keyword_id", "product_id", "page").agg(
         nested(
-            {"demand": -F.col("recipe_count"), "name": F.col("ingredient_name"), "id": F.col("ingredient_id")},
+            demand,
             {"ingredient_id": F.col("ingredient_id"), "name": F.col("ingredient_name")},
         ).alias("ingredients")
     )

@@ -22,12 +22,13 @@ def product_lines(catalog: Catalog) -> DataFrame:
 
 def product_detail(catalog: Catalog) -> DataFrame:
     """Products with category name and nested ingredients (by role, then name); empty array when none."""
+    order = {"role": F.col("role"), "name": F.col("ingredient_name"), "id": F.col("ingredient_id")}
     lists = (
-        add_page(product_lines(catalog), ["product_id"], ["ingredient_id"])
+        add_page(product_lines(catalog), ["product_id"], order)
         .groupBy("product_id", "page")
         .agg(
             nested(
-                {"role": F.col("role"), "name": F.col("ingredient_name"), "id": F.col("ingredient_id")},
+                order,
                 {"ingredient_id": F.col("ingredient_id"), "name": F.col("ingredient_name"), "role": F.col("role")},
             ).alias("ingredients")
         )
@@ -59,22 +60,19 @@ def recipe_detail(catalog: Catalog) -> DataFrame:
     lines or steps gets empty arrays.
     """
     line_fields = ["ingredient_id", "quantity", "unit", "is_required", "is_pantry", "purpose"]
+    line_order = {"optional": ~F.col("is_required"), "name": F.col("ingredient_name"), "id": F.col("ingredient_id")}
     lines = (
-        add_page(recipe_lines(catalog), ["recipe_id"], ["ingredient_id"])
+        add_page(recipe_lines(catalog), ["recipe_id"], line_order)
         .groupBy("recipe_id", "page")
         .agg(
             nested(
-                {
-                    "optional": ~F.col("is_required"),
-                    "name": F.col("ingredient_name"),
-                    "id": F.col("ingredient_id"),
-                },
+                line_order,
                 {"name": F.col("ingredient_name"), **{c: F.col(c) for c in line_fields}},
             ).alias("ingredients")
         )
     )
     steps = (
-        add_page(catalog.recipe_step, ["recipe_id"], ["step_no"])
+        add_page(catalog.recipe_step, ["recipe_id"], {"step_no": F.col("step_no")})
         .groupBy("recipe_id", "page")
         .agg(
             nested(

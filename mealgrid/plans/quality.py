@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mealgrid.core.catalog import Catalog
@@ -323,13 +324,38 @@ def count_mismatches(source: Mapping[str, DataFrame], target: Mapping[str, DataF
     return result.filter(F.col("source_rows") != F.col("target_rows"))
 
 
+def filled_tables(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, row_count) of the tables that must be empty and are not."""
+    parts = [
+        df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
+        for name, df in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, parts).filter("row_count > 0")
+
+
+def step_violations(steps: DataFrame) -> DataFrame:
+    """Recipe steps with ``problem``: a number below 1, or neither text nor image."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    problem = F.when(~(F.coalesce("step_no", F.lit(0)) > 0), "step_no").when(
+        blank("instruction") & blank("image_url"), "content"
+    )
+    return steps.withColumn("problem", problem).filter(F.col("problem").isNotNull())
+
+
 def recommendation_problems(rows: DataFrame) -> DataFrame:
-    """Recommendation rows with ``problem``: the first invariant their lists and counts break, or NULL."""
-    have, pantry = F.size("held_ingredients"), F.size("pantry_ingredients")
+    """Recommendation rows with ``problem``: the first invariant their lists and counts break, or NULL.
+
+    Lists are counted over all pages of a (user, recipe).
+    """
+
+    def entries(name: str) -> Column:
+        return F.sum(F.size(name)).over(Window.partitionBy("user_id", "recipe_id"))
+
+    have, pantry = entries("held_ingredients"), entries("pantry_ingredients")
     rate = F.col("available_count") / F.col("required_count")
     problem = (
         F.when(have + pantry != F.col("available_count"), "available")
-        .when(F.size("missing_ingredients") != F.col("missing_count"), "missing")
+        .when(entries("missing_ingredients") != F.col("missing_count"), "missing")
         .when(F.col("required_count") != F.col("available_count") + F.col("missing_count"), "sum")
         .when(F.col("required_count") == 0, "empty")
         .when(F.abs(F.col("match_rate").cast("double") - rate) > fixed.RATE_TOLERANCE, "rate")

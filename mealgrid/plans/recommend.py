@@ -106,9 +106,9 @@ def my_recipe_candidates(catalog: Catalog, as_of, min_match_rate: float = 0.0, n
     """
     matches = durable(ranked_recipe_matches(catalog, as_of, min_match_rate, n))
     names = catalog.ingredient.select("ingredient_id", F.col("name").alias("ingredient_name"))
-    lines = add_page(required_lines(catalog).join(names, "ingredient_id"), ["recipe_id"], ["ingredient_id"])
-    held = owned_by_user(catalog, as_of).withColumn("in_fridge", F.lit(True))
     order = {"name": F.col("ingredient_name"), "id": F.col("ingredient_id")}
+    lines = add_page(required_lines(catalog).join(names, "ingredient_id"), ["recipe_id"], order)
+    held = owned_by_user(catalog, as_of).withColumn("in_fridge", F.lit(True))
     fields = {"ingredient_id": F.col("ingredient_id"), "name": F.col("ingredient_name")}
     staple, in_fridge = F.col("is_pantry"), F.col("in_fridge").isNotNull()
     lists = (
@@ -326,12 +326,13 @@ def my_fridge_items(catalog: Catalog, as_of) -> DataFrame:
     """(user, product) slots with the main ingredients and an expiry flag; expired slots are kept."""
     links = primary_only(catalog.product_ingredient).select("product_id", "ingredient_id")
     names = catalog.ingredient.select("ingredient_id", F.col("name").alias("ingredient_name"))
+    order = {"name": F.col("ingredient_name"), "id": F.col("ingredient_id")}
     ingredients = (
-        add_page(links.join(names, "ingredient_id"), ["product_id"], ["ingredient_id"])
+        add_page(links.join(names, "ingredient_id"), ["product_id"], order)
         .groupBy("product_id", "page")
         .agg(
             nested(
-                {"name": F.col("ingredient_name"), "id": F.col("ingredient_id")},
+                order,
                 {"ingredient_id": F.col("ingredient_id"), "name": F.col("ingredient_name")},
             ).alias("ingredients")
         )

@@ -26,6 +26,22 @@ def frequent_values(df: DataFrame, column: str, n: int) -> DataFrame:
     return counts.orderBy(F.col("occurrences").desc(), F.col(column).asc()).limit(n)
 
 
+def match_summary(lines: DataFrame, matched: DataFrame) -> DataFrame:
+    """Lines, lines with a matched ``name``, their share, and the number of distinct names without a match.
+
+    Lines are counted per name first, so nothing is counted distinct in one task.
+    """
+    known = matched.select("name").distinct().withColumn("known", F.lit(True))
+    names = lines.groupBy("name").agg(F.count(F.lit(1)).alias("n")).join(known, "name", "left")
+    total, hit = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("known"), F.col("n"))), F.lit(0))
+    return names.agg(
+        total.alias("lines"),
+        hit.alias("matched_lines"),
+        (hit / F.nullif(total, F.lit(0))).alias("match_rate"),
+        F.count_if(F.col("known").isNull()).alias("unmatched_names"),
+    )
+
+
 def covered_products(product: DataFrame, links: DataFrame) -> DataFrame:
     """Share of products with at least one ingredient.
 

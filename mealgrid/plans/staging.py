@@ -238,7 +238,7 @@ def build_entities(
         columns = [c for c in df.columns if c not in ("entity_key", "page")]
         order = {c: F.col(c).cast("string") for c in columns}
         return (
-            add_page(df, ["entity_key"], columns)
+            add_page(df, ["entity_key"], order)
             .groupBy("entity_key", "page")
             .agg(nested(order, {c: F.col(c) for c in columns}).alias(name))
         )

@@ -196,3 +196,12 @@ def enum_violations(guideline: DataFrame) -> DataFrame:
     ]
     broken = F.array_compact(F.array(*[F.when(bad, F.lit(rule)) for rule, bad in checks]))
     return guideline.withColumn("rule", F.explode(broken))
+
+
+def most_guided_product(links: DataFrame, guideline: DataFrame) -> DataFrame:
+    """(product_id, rules): the product whose main ingredients have most guidance rows, ties by id."""
+    rules = guideline.groupBy("ingredient_id").agg(F.count(F.lit(1)).alias("n"))
+    per_product = (
+        primary_only(links).select("product_id", "ingredient_id").join(rules, "ingredient_id").groupBy("product_id")
+    )
+    return per_product.agg(F.sum("n").alias("rules")).orderBy(F.col("rules").desc(), F.col("product_id")).limit(1)
