@@ -54,7 +54,7 @@ answers AS (SELECT key, confidence, ingredient_id, CASE WHEN ingredient_id IS NU
       CASE WHEN l_tax > 0.01 THEN l_suppkey END AS ingredient_id, (l_orderkey, l_partkey, l_linenumber, l_extendedprice, l_shipdate) AS o
     FROM (SELECT *, CASE l_linenumber % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, ' ', '  ')
       WHEN 2 THEN p_name || ' no ' || (l_suppkey % 9) ELSE p_type || ' ' || (l_suppkey % 3) END AS normalized_name
-      FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 25))
+      FROM lineitem JOIN part ON l_partkey = p_partkey WHERE NOT p_type LIKE 'PROMO%'))
   WHERE key IN (SELECT key FROM asked) QUALIFY row_number() OVER (PARTITION BY key ORDER BY o) = 1)
 """
 
@@ -143,7 +143,7 @@ def _answers(spark, sf):
     lines = view(
         spark, sf,
         LINES.replace("FROM {lineitem}", ", l_discount * 10 AS confidence, CASE WHEN l_tax > 0.01 THEN l_suppkey END AS ingredient_id FROM {lineitem}")
-        + " WHERE p_size <= 25",  # names of larger parts stay unanswered
+        + " WHERE NOT p_type LIKE 'PROMO%'",  # names of these types stay unanswered
     )
     requested = _representatives(spark, sf).select(F.col("head").alias("normalized_name")).distinct()
     answers = lines.select(F.col("normalized_name").alias("source_name"), "confidence", "ingredient_id", "ordinal")
