@@ -37,7 +37,11 @@ def recipe_totals(lines: DataFrame) -> DataFrame:
 
 
 def coverage(owned: DataFrame, owner: str, lines: DataFrame, recipe: DataFrame) -> DataFrame:
-    """(owner, recipe) with at least one held required ingredient, with counts and ``recipe`` columns."""
+    """(owner, recipe) with at least one held required ingredient, with counts and ``recipe`` columns.
+
+    ``owned`` and ``lines`` are read several times, so the callers store them first. ``recipe`` should hold only what ranks
+    or filters the pairs; other columns are joined to the result that is left.
+    """
     hits = (
         salted_join(owned, lines, ["ingredient_id"], [owner], ["recipe_id"])
         .groupBy(owner, "recipe_id")

@@ -13,7 +13,7 @@ from mealgrid.core.catalog import Catalog
 from mealgrid.core.clock import elapsed_days
 from mealgrid.core.nesting import add_page, nested
 from mealgrid.core.ranking import page_with_total, ranked, top_n
-from mealgrid.core.scratch import durable
+from mealgrid.core.scratch import written
 from mealgrid.operators.filters import (
     is_unexpired,
     primary_only,
@@ -43,24 +43,19 @@ def owned_by_user(catalog: Catalog, as_of, closure: DataFrame | None = None) ->
 
 def fridge_recipe_match(catalog: Catalog, as_of, min_coverage: float = 0.0, n: int | None = None) -> DataFrame:
     """(user, recipe) by share of required ingredients already at home."""
-    recipe = catalog.recipe.select("recipe_id", "name", "difficulty", "cook_time_min")
-    rows = coverage(owned_by_user(catalog, as_of), "user_id", required_lines(catalog), recipe)
+    owned, lines = written(owned_by_user(catalog, as_of), "owned"), written(required_lines(catalog), "required")
+    rows = coverage(owned, "user_id", lines, catalog.recipe.select("recipe_id", "cook_time_min"))
     rows = with_ratio_at_least(rows, "covered_count", "required_count", min_coverage).withColumn(
         "coverage", ratio("covered_count", "required_count")
     )
-    if n is None:
-        return rows
-    return top_n(
-        rows,
-        ["user_id"],
-        [
-            F.col("coverage").desc(),
-            F.col("missing_count").asc(),
-            F.col("cook_time_min").asc_nulls_last(),
-            F.col("recipe_id").asc(),
-        ],
-        n,
-    )
+    order = [
+        F.col("coverage").desc(),
+        F.col("missing_count").asc(),
+        F.col("cook_time_min").asc_nulls_last(),
+        F.col("recipe_id").asc(),
+    ]
+    best = rows if n is None else top_n(rows, ["user_id"], order, n)
+    return best.join(catalog.recipe.select("recipe_id", "name", "difficulty"), "recipe_id")
 
 
 def recipe_priority(recipe_product: DataFrame) -> DataFrame:
@@ -70,12 +65,17 @@ def recipe_priority(recipe_product: DataFrame) -> DataFrame:
     )
 
 
-def ranked_recipe_matches(catalog: Catalog, as_of, min_match_rate: float = 0.0, n: int | None = None) -> DataFrame:
-    """(user, recipe) counts and rate in promotion order, without the ingredient lists."""
-    recipe = catalog.recipe.select("recipe_id", "name", "image_url", "difficulty", "cook_time_min", "servings").join(
+def ranked_recipe_matches(
+    catalog: Catalog, owned: DataFrame, lines: DataFrame, min_match_rate: float = 0.0, n: int | None = None
+) -> DataFrame:
+    """(user, recipe) counts and rate in promotion order, without names and ingredient lists.
+
+    ``owned`` and ``lines`` are the stored forms of ``owned_by_user`` and ``required_lines``.
+    """
+    recipe = catalog.recipe.select("recipe_id", "cook_time_min").join(
         recipe_priority(catalog.recipe_product), "recipe_id", "left"
     )
-    rows = coverage(owned_by_user(catalog, as_of), "user_id", required_lines(catalog), recipe)
+    rows = coverage(owned, "user_id", lines, recipe)
     rows = (
         with_ratio_at_least(rows, "covered_count", "required_count", min_match_rate)
         .withColumn("match_rate", ratio("covered_count", "required_count"))
@@ -104,11 +104,12 @@ def my_recipe_candidates(catalog: Catalog, as_of, min_match_rate: float = 0.0, n
     The ranking runs first, on counts only, and is stored; lists are collected for its rows.
     A pantry staple is listed as pantry even when it is also in the fridge.
     """
-    matches = durable(ranked_recipe_matches(catalog, as_of, min_match_rate, n))
+    owned, required = written(owned_by_user(catalog, as_of), "owned"), written(required_lines(catalog), "required")
+    matches = written(ranked_recipe_matches(catalog, owned, required, min_match_rate, n), "matches")
     names = catalog.ingredient.select("ingredient_id", F.col("name").alias("ingredient_name"))
     order = {"name": F.col("ingredient_name"), "id": F.col("ingredient_id")}
-    lines = add_page(required_lines(catalog).join(names, "ingredient_id"), ["recipe_id"], order)
-    held = owned_by_user(catalog, as_of).withColumn("in_fridge", F.lit(True))
+    lines = add_page(required.join(names, "ingredient_id"), ["recipe_id"], order)
+    held = owned.withColumn("in_fridge", F.lit(True))
     fields = {"ingredient_id": F.col("ingredient_id"), "name": F.col("ingredient_name")}
     staple, in_fridge = F.col("is_pantry"), F.col("in_fridge").isNotNull()
     lists = (
@@ -122,7 +123,8 @@ def my_recipe_candidates(catalog: Catalog, as_of, min_match_rate: float = 0.0, n
             nested(order, fields, staple).alias("pantry_ingredients"),
         )
     )
-    return matches.join(lists, ["user_id", "recipe_id"])
+    card = catalog.recipe.select("recipe_id", "name", "image_url", "difficulty", "servings")
+    return matches.join(lists, ["user_id", "recipe_id"]).join(card, "recipe_id")
 
 
 def line_status(
@@ -143,7 +145,7 @@ def line_status(
     base = filled.select(
         F.col("product_id").alias("base_product_id"), "ingredient_id", F.lit(True).alias("in_base")
     )
-    held = owned_by_user(catalog, as_of, closure).withColumn("in_fridge", F.lit(True))
+    held = written(owned_by_user(catalog, as_of, closure), "owned").withColumn("in_fridge", F.lit(True))
     status = (
         F.when(F.col("in_base"), "BASE")
         .when(F.col("in_fridge"), "IN_FRIDGE")
@@ -301,13 +303,13 @@ def reorder_candidates(catalog: Catalog, as_of, days: int, n: int | None = None)
 
 def product_recipes(catalog: Catalog, n: int, skip: int = 0) -> DataFrame:
     """(product, recipe) pages: recipes the product helps to cook, with counts and the total found."""
-    owned = product_ingredients_with_parent(catalog.product_ingredient, catalog.ingredient)
-    recipe = catalog.recipe.select(*RECIPE_CARD)
+    owned = written(product_ingredients_with_parent(catalog.product_ingredient, catalog.ingredient), "owned")
+    lines = written(required_lines(catalog), "required")
     priority = catalog.recipe_product.groupBy("product_id", "recipe_id").agg(
         F.max("recommendation_priority").alias("recommendation_priority")
     )
     rows = (
-        coverage(owned, "product_id", required_lines(catalog), recipe)
+        coverage(owned, "product_id", lines, catalog.recipe.select("recipe_id", "cook_time_min"))
         .withColumnsRenamed({"required_count": "total_count", "covered_count": "matched_count"})
         .filter("total_count > 0")
         .join(priority, ["product_id", "recipe_id"], "left")
@@ -319,7 +321,9 @@ def product_recipes(catalog: Catalog, n: int, skip: int = 0) -> DataFrame:
         F.col("cook_time_min").asc_nulls_last(),
         F.col("recipe_id").asc(),
     ]
-    return page_with_total(rows, ["product_id"], order, n, skip, "total_recipes")
+    shown = page_with_total(rows, ["product_id"], order, n, skip, "total_recipes")
+    card = catalog.recipe.select(*[c for c in RECIPE_CARD if c != "cook_time_min"])
+    return shown.join(card, "recipe_id")
 
 
 def my_fridge_items(catalog: Catalog, as_of) -> DataFrame:
