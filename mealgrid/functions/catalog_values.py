@@ -21,9 +21,14 @@ def clean_integer(column: Column) -> Column:
 
 
 def finite_json(column: Column) -> Column:
-    """JSON text with bare NaN / Infinity replaced by null (the same words inside strings stay)."""
-    outside_strings = r'(?=(?:[^"\\]++|"(?:[^"\\]++|\\.)*+")*+$)'
-    return F.regexp_replace(column, r"-?\b(?:NaN|Infinity)\b" + outside_strings, "null")
+    """JSON text with bare NaN / Infinity replaced by null (the same words inside strings stay).
+
+    One pass cuts the text into string literals and what stands between them; only the latter is changed.
+    """
+    pieces = F.regexp_extract_all(column, F.lit(r'(?s)"(?:[^"\\]++|\\.)*+"|[^"]++|"'), F.lit(0))
+    bare = r"-?\b(?:NaN|Infinity)\b"
+    changed = F.transform(pieces, lambda p: F.when(F.startswith(p, F.lit('"')), p).otherwise(F.regexp_replace(p, bare, "null")))
+    return F.array_join(changed, "")
 
 
 def json_or_raw(column: Column) -> Column:
