@@ -138,8 +138,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and the bytes they decode to."""
     shared = bpe.vocabulary_of(spark, rank_file())
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    decoded = bpe.decode(bpe.encode(docs, shared, keep_text=False), shared)
-    return decoded.select(
+    return bpe.round_trip(docs, shared).select(
         "doc_id",
         F.expr("octet_length(ids) div 4").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -74,6 +74,9 @@ def test_bpe_frames(spark):
     rows = bpe.decode(encoded, shared).collect()
     assert [(r.doc_id, r.decoded) for r in rows] == [(1, b""), (1, b""), (None, b"it's"), (3, b"x" * 50_000)]
     assert bpe.decode(bpe.encode(docs.limit(0), shared), shared).count() == 0
+    both = bpe.round_trip(docs, shared)
+    assert both.columns == ["doc_id", "starts", "ids", "decoded"] and both.schema["starts"].dataType.simpleString() == "int"
+    assert [(r.doc_id, r.decoded) for r in both.collect()] == [(r.doc_id, r.decoded) for r in rows]
 
 
 def test_toxicity_on_rows_held_out(spark):
