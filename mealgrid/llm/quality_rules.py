@@ -1,8 +1,8 @@
 """Quality rules: word and symbol counts, repeated words and lines, and cross-document line frequency per host.
 
 Lines are normalised (lower case, outer blanks removed) and hashed together with their host; the distinct documents of
-each (host, line) are counted over the whole corpus. Lines seen in more than ``max_docs`` documents of their host count
-as boilerplate, and a document is *depleted*, hence rejected, when less than ``min_left`` of the characters of its
+each (host, line), and of each host, are counted over the whole corpus. Lines seen in more than ``max_share`` of the documents
+of their host, and in more than ``max_docs`` of them, count as boilerplate, and a document is *depleted*, hence rejected, when less than ``min_left`` of the characters of its
 distinct lines is left. Documents with under 20 words, or with over 30 % of words inside repeated 8-word windows, fail
 at once.
 
@@ -18,12 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mealgrid.core.scratch import written
+from mealgrid.core.sizes import broadcast_if_small
 from mealgrid.llm.common import WORD, let, row_key, words
 
 WINDOW = 8  # words; fixed by the contract, as are the next three
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 SYMBOLS = r"[#*$%&|<>]+"
-MAX_DOCS = 500  # documents of one host that may share a line
+MAX_SHARE = 0.01  # share of the documents of a host that may share a line
+MAX_DOCS = 5  # documents that may share a line on a host of any size
 MIN_LEFT = 0.3  # share of characters that must be left
 
 
@@ -94,6 +97,7 @@ def line_shares(
     text_col: str = "text",
     host_col: str = "source",
     max_docs: int = MAX_DOCS,
+    max_share: float = MAX_SHARE,
 ) -> DataFrame:
     """Per row key the share of characters in lines that are within the limit of their host."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -102,6 +106,7 @@ def line_shares(
     lines = docs.select(
         F.col(id_col).alias("__id"),
         row_key(F.col(id_col), F.col(text_col)).alias("__row"),
+        F.xxhash64(host.isNull(), host).alias("host"),
         F.explode(
             F.transform(
                 F.filter(normal, lambda line: line.rlike(WORD)),
@@ -110,10 +115,12 @@ def line_shares(
                 ),
             )
         ).alias("__line"),
-    ).select("__id", "__row", "__line.*")
-    frequent = (
-        lines.groupBy("line").agg(F.count_distinct("__id").alias("n")).where(F.col("n") > max_docs).select("line")
-    )
+    ).select("__id", "__row", "host", "__line.*")
+    hosts = docs.select(F.xxhash64(host.isNull(), host).alias("host"), F.col(id_col).alias("__id")).groupBy("host").agg(F.count_distinct("__id").alias("docs"))
+    shared = lines.groupBy("line").agg(F.count_distinct("__id").alias("n"), F.min("host").alias("host"))
+    shared = written(shared.where(F.col("n") > max_docs), "shared-lines")
+    frequent = shared.join(broadcast_if_small(written(hosts, "hosts")), "host")
+    frequent = frequent.where(F.col("n") > max_share * F.col("docs")).select("line")
     marked = lines.join(frequent.withColumn("frequent", F.lit(True)), "line", "left")
     # a row that is there k times adds k times to both sums
     left = F.sum(F.when(F.col("frequent"), 0).otherwise(F.col("size"))) / F.sum("size")
@@ -127,9 +134,10 @@ def verdicts(
     host_col: str = "source",
     max_docs: int = MAX_DOCS,
     min_left: float = MIN_LEFT,
+    max_share: float = MAX_SHARE,
 ) -> DataFrame:
     """One row per row of ``docs``: its measures, the share of its text that is left, and whether it is kept."""
-    shares = line_shares(docs, id_col, text_col, host_col, max_docs)
+    shares = line_shares(docs, id_col, text_col, host_col, max_docs, max_share)
     joined = measures(docs, id_col, text_col).join(shares, "__row", "left")
     kept = ~F.col("base_failed") & (F.coalesce(F.col("left_share"), F.lit(1.0)) >= min_left)
     return joined.drop("__row").withColumn("kept", kept)
