@@ -13,7 +13,9 @@ Suffixes are sorted only as far as this needs, by bucket-pointer refinement, and
 Texts that occur as a whole more than once are settled first: all their bytes go, and one of them stands for all in step 3.
 Equal contexts are sent at most twice per task, so a passage that millions of documents share is a few rows. A bucket of
 more than ``HOT`` anchors is refined before it is sent: it is split by offset into groups, and each group by the bytes that
-all its strings have in common, so that only nearly equal text meets in a task.
+all its strings have in common, so that only nearly equal text meets in a task. Where the contexts of one group still are more
+than ``HOT``, as at the edge of a passage that many documents share, no task gathers them: their strings are hashed one by one,
+counted in a shuffle with partial aggregation, and joined back.
 
 Positions are bytes of the UTF-8 text; strings never cross documents; null and empty texts have no bytes. Rows that
 repeat a text repeat all of it. Null ids are kept as they are. Other columns are ignored.
@@ -27,10 +29,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mealgrid.core.scratch import written
+from mealgrid.core.sizes import broadcast_if_small
 from mealgrid.llm.common import row_key
 
 LENGTH = 400
@@ -188,6 +191,22 @@ def _repeated(length: int):
     return run
 
 
+def _strings(length: int):
+    """Place in its context, and hash, of each string of each context."""
+
+    def run(batches):
+        for batch in batches:
+            out = {k: [] for k in ("k1", "k2", "from", "h1", "h2")}
+            for k1, k2, context in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "bytes"))):
+                for at in range(len(context) - length + 1):
+                    h = np.frombuffer(xxhash.xxh3_128_digest(context[at : at + length]), np.int64)
+                    for name, value in zip(out, (k1, k2, at, h[0], h[1])):
+                        out[name].append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
+
+    return run
+
+
 def _cut(batches):
     """Merges the removed ranges of each document and digests what is left."""
     for batch in batches:
@@ -258,13 +277,29 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         "contexts",
     )
     full = contexts.where("bytes IS NOT NULL").select("bucket", "k1", "k2", "bytes")
-    bins = max(64, full.count() // BIN)
+    sizes = written(full.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("bucket"), "hot-groups")
+    hot = broadcast_if_small(sizes)
+    bounded = full.join(hot, "bucket", "left_anti")
+    bins = max(64, bounded.count() // BIN)
     ranges = written(
-        full.withColumn("bin", F.pmod(F.xxhash64("bucket"), F.lit(bins)))
+        bounded.withColumn("bin", F.pmod(F.xxhash64("bucket"), F.lit(bins)))
         .groupBy("bin")
         .applyInPandas(_repeated(length), "k1 long, k2 long, `from` long, `to` long"),
         "ranges",
     )
+    strings = written(
+        full.join(hot, "bucket", "left_semi").select("k1", "k2", "bytes")
+        .mapInArrow(_strings(length), "k1 long, k2 long, `from` long, h1 long, h2 long"),
+        "hot-strings",
+    )
+    twice = written(strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), "hot-repeats")
+    single = strings.join(twice, ["h1", "h2"]).select("k1", "k2", "from", (F.col("from") + length).alias("to")).distinct()
+    # strings of one context that follow each other make one range
+    place = Window.partitionBy("k1", "k2").orderBy("from")
+    opens = F.coalesce(F.col("from") > F.lag("to").over(place), F.lit(True)).cast("int")
+    runs = single.withColumn("opens", opens).withColumn("run", F.sum("opens").over(place)).groupBy("k1", "k2", "run")
+    merged = runs.agg(F.min("from").alias("from"), F.max("to").alias("to")).drop("run")
+    ranges = ranges.union(written(merged, "hot-ranges"))
     located = (
         contexts.select("row", "start", "k1", "k2")
         .join(ranges.distinct(), ["k1", "k2"])
