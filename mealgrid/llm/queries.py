@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mealgrid.llm import bpe, chat, line_dedup, minhash, mixing, quality_rules, repeats, secret_scan, toxicity, vector_dedup
+from mealgrid.llm import bpe, chat, line_dedup, manifest, minhash, mixing, quality_rules, repeats, secret_scan, toxicity, vector_dedup
 from mealgrid.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -167,3 +167,57 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removals(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
     )
+
+
+MANIFEST_SQL = """
+WITH RECURSIVE f AS (
+  SELECT doc_id, source, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head, text,
+    list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT), lambda a, b:
+      list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS rest
+  FROM documents
+), l AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(rest, 4294967295) % 5 = 0 THEN sha256(head || coalesce(strlen(text) || ':' ||
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS other
+  FROM f
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree
+  FROM l
+), up AS (  -- nodes of the trees of all sources, level by level
+  SELECT tree, 0 AS lvl, pos AS idx, leaf AS d, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+  UNION ALL
+  SELECT tree, lvl + 1, idx // 16, sha256(string_agg(d, '' ORDER BY idx)), (n + 15) // 16 FROM up WHERE n > 1 GROUP BY tree, lvl, n, idx // 16
+), top AS (  -- and of the tree over their roots
+  SELECT 0 AS lvl, tree AS idx, d, (SELECT count(DISTINCT tree) FROM leaves) AS n FROM up WHERE n = 1
+  UNION ALL
+  SELECT lvl + 1, idx // 16, sha256(string_agg(d, '' ORDER BY idx)), (n + 15) // 16 FROM top WHERE n > 1 GROUP BY lvl, n, idx // 16
+), high AS (SELECT tree, lvl AS h, d AS subroot FROM up WHERE n = 1
+), steps AS (  -- what stands beside each node below a root; levels of the top tree follow those of the source
+  SELECT a.tree, a.lvl, a.idx, coalesce(string_agg(b.d, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS pre,
+    coalesce(string_agg(b.d, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS post
+  FROM up a JOIN up b ON a.tree = b.tree AND a.lvl = b.lvl AND a.idx // 16 = b.idx // 16 WHERE a.n > 1 GROUP BY ALL
+), above AS (
+  SELECT a.lvl, a.idx, coalesce(string_agg(b.d, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS pre,
+    coalesce(string_agg(b.d, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS post
+  FROM top a JOIN top b ON a.lvl = b.lvl AND a.idx // 16 = b.idx // 16 WHERE a.n > 1 GROUP BY ALL
+), way AS (
+  SELECT doc_id, v.tree, s.lvl AS k, pre, post FROM leaves v JOIN steps s ON v.tree = s.tree AND s.idx = v.pos // (16 ** s.lvl)::BIGINT
+  UNION ALL
+  SELECT doc_id, v.tree, h + a.lvl, pre, post FROM leaves v JOIN high USING (tree) JOIN above a ON a.idx = v.tree // (16 ** a.lvl)::BIGINT
+), fold AS (
+  SELECT doc_id, 0 AS k, coalesce(other, leaf) AS d FROM leaves
+  UNION ALL
+  SELECT doc_id, fold.k + 1, sha256(pre || d || post) FROM fold JOIN way USING (doc_id) WHERE way.k = fold.k
+), proof AS (SELECT doc_id, sha256(string_agg(pre || post, '' ORDER BY k)) AS proof_sha256 FROM way GROUP BY doc_id
+), ends AS (SELECT doc_id, arg_max(d, k) AS folded_root FROM fold GROUP BY doc_id
+)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN high USING (tree) CROSS JOIN (SELECT d AS root FROM top WHERE n = 1) LEFT JOIN proof USING (doc_id) JOIN ends USING (doc_id)
+"""
+
+
+@_query("op13_merkle_manifest", MANIFEST_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether the proof still holds after some texts were changed."""
+    return manifest.trial(table(spark, sf_dir, "documents"))
