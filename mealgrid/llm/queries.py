@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mealgrid.llm import bpe, chat, line_dedup, manifest, minhash, mixing, quality_rules, repeats, secret_scan, toxicity, vector_dedup
+from mealgrid.llm import bpe, chat, line_dedup, manifest, minhash, mixing, quality_rules, repeats, secret_scan, toxicity, vector_dedup, windows
 from mealgrid.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -169,6 +169,30 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+WINDOWS_SQL = """
+WITH t AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents
+), w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM t
+), k AS (
+  SELECT *, CASE WHEN count(*) OVER f = 20 THEN md5(string_agg(word, ' ') OVER f) END AS key FROM w
+  WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), s AS (
+  SELECT doc_id, pos, word, key IS NOT NULL AND row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) > 1 AS again FROM k
+), g AS (
+  SELECT *, max(again::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 1 AS gone FROM s
+)
+SELECT t.doc_id, count(g.pos) AS n_words, coalesce(sum(gone::INT), 0)::BIGINT AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM t LEFT JOIN g ON t.doc_id = g.doc_id GROUP BY t.doc_id
+"""
+
+
+@_query("op12_word_windows", WINDOWS_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without windows of words that start earlier."""
+    found = windows.removals(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 MANIFEST_SQL = """
 WITH RECURSIVE f AS (
   SELECT doc_id, source, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')

@@ -36,6 +36,8 @@ def brute(rows):
     groups = {}
     for row in sorted(rows, key=lambda r: ((r[0] is not None, r[0] or 0), leaf(r))):
         groups.setdefault(row[1], []).append(row)
+    if not rows:
+        return []
     names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
     subs = [tree([leaf(r) for r in groups[s]]) for s in names]
     root, above = tree([s[0] for s in subs])
