@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mealgrid.llm import bpe, chat, line_dedup, manifest, minhash, mixing, quality_rules, repeats, secret_scan, toxicity, vector_dedup, windows
+from mealgrid.llm import (
+    bpe, chat, line_dedup, manifest, minhash, mixing, quality_rules, repeats, secret_scan, spelling, toxicity, vector_dedup, windows,
+)
 from mealgrid.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -169,6 +171,45 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SPELLING_SQL = """
+WITH RECURSIVE r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-z\\x{C0}-\\x{FF}]+')) AS run FROM documents
+), d AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY ALL
+), h AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+    [4294967295] || flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c:
+      CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [192 | (ord(c)::BIGINT >> 6), 128 | (ord(c)::BIGINT & 63)] END)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)
+  )) AS crc FROM d
+), w AS (
+  SELECT CASE WHEN crc % 31 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, n FROM h
+), v AS (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), x AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM v, unnest(range(1, length(word) + 1)) t(i)
+), pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT x.word, v.word, v.n FROM x JOIN v ON x.rest = v.word
+  UNION SELECT v.word, x.word, x.n FROM x JOIN v ON x.rest = v.word
+), best AS (
+  SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS nth
+  FROM pairs
+), f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * v.n THEN near END AS form, CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n
+  FROM v LEFT JOIN best ON v.word = best.word AND nth = 1
+), up AS (
+  SELECT word, word AS at, 0 AS k FROM f
+  UNION ALL SELECT up.word, f.form, k + 1 FROM up JOIN f ON up.at = f.word WHERE f.form IS NOT NULL
+)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(at, k) AS root FROM up GROUP BY word) u ON f.word = u.word
+"""
+
+
+@_query("op11_spelling_variants", SPELLING_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the vocabulary with its neighbours of one edit and the form that it varies."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 WINDOWS_SQL = """
 WITH t AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents
 ), w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM t
