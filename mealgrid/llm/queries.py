@@ -197,10 +197,10 @@ WITH RECURSIVE r AS (
   SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * v.n THEN near END AS form, CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n
   FROM v LEFT JOIN best ON v.word = best.word AND nth = 1
 ), up AS (
-  SELECT word, word AS at, 0 AS k FROM f
-  UNION ALL SELECT up.word, f.form, k + 1 FROM up JOIN f ON up.at = f.word WHERE f.form IS NOT NULL
+  SELECT word, word AS "at", 0 AS k FROM f
+  UNION ALL SELECT up.word, f.form, k + 1 FROM up JOIN f ON up."at" = f.word WHERE f.form IS NOT NULL
 )
-SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(at, k) AS root FROM up GROUP BY word) u ON f.word = u.word
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word AS w, arg_max(up."at", k) AS root FROM up GROUP BY word) u ON f.word = u.w
 """
 
 
