@@ -40,6 +40,7 @@ def read_parquet_group(spark, sf):
 
 
 def _jsonl(spark, sf):
+    """One file per priority, its orders sorted, a blank line after every order of more than 300,000."""
     folder = new_folder(spark, "jsonl")
     orders = table(spark, sf, "orders")
     good = F.to_json(F.struct("o_orderkey", "o_custkey", F.struct("o_orderpriority").alias("about")))
@@ -48,7 +49,10 @@ def _jsonl(spark, sf):
         .when(F.col("o_totalprice") > 400000, F.substring(good, 1, 25))
         .otherwise(good)
     )
-    orders.select(line.alias("value")).write.text(folder)
+    blank = F.when(F.col("o_totalprice") > 300000, F.array(line, F.lit(" "))).otherwise(F.array(line))
+    rows = orders.select("o_orderpriority", "o_orderkey", F.posexplode(blank).alias("place", "value"))
+    rows = rows.repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "o_orderkey", "place")
+    rows.select("o_orderpriority", "value").write.partitionBy("o_orderpriority").text(folder)
     return raw.read_jsonl(spark, folder, "o_orderkey BIGINT, o_custkey BIGINT, about STRUCT<o_orderpriority: STRING>")
 
 
@@ -62,10 +66,16 @@ def read_jsonl(spark, sf):
 
 @register(
     "read_jsonl_rejects",
-    "SELECT count(*) AS rejected FROM orders WHERE o_orderstatus = 'P' OR o_totalprice > 400000",
+    """SELECT o_orderpriority AS file, line_no, o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'not_an_object' ELSE 'bad_json' END AS reason FROM (
+SELECT *, 1 + coalesce(sum(CASE WHEN o_totalprice > 300000 THEN 2 ELSE 1 END)
+  OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line_no FROM orders)
+WHERE o_orderstatus = 'P' OR o_totalprice > 400000""",
 )
 def read_jsonl_rejects(spark, sf):
-    return _jsonl(spark, sf)[1].agg(F.count("*").alias("rejected"))
+    rejects = _jsonl(spark, sf)[1]
+    folder = F.url_decode(F.regexp_extract("file", "o_orderpriority=([^/]*)", 1))
+    key = F.regexp_extract("line", r"(?:\[1, |:)(\d+)", 1).cast("bigint")
+    return rejects.select(F.url_decode(folder).alias("file"), "line_no", key.alias("o_orderkey"), "reason")
 
 
 @register("read_json_records", "SELECT c_custkey, c_name, c_nationkey FROM customer")
@@ -256,12 +266,15 @@ def failed_results(spark, sf):
 
 
 def _case_file(spark, sf):
+    """Files by remainder of the id; four lines for each item: a comment, a blank, a case and a broken case."""
     folder = new_folder(spark, "cases")
     benchmark = table(spark, sf, "benchmark")
     question = F.regexp_replace("text", r"\s+", " ")
     good = F.to_json(F.struct(F.col("item_id").cast("string").alias("case_id"), question.alias("question")))
     lines = F.array(F.lit("// case"), F.lit("   "), good, F.substring(good, 1, 30))
-    benchmark.select(F.explode(lines).alias("value")).write.text(folder)
+    rows = benchmark.select((F.col("item_id") % 3).alias("part"), "item_id", F.posexplode(lines).alias("place", "value"))
+    rows = rows.repartition("part").sortWithinPartitions("part", "item_id", "place").select("part", "value")
+    rows.write.partitionBy("part").text(folder)
     return exchange.read_cases(spark, folder, "case_id STRING, question STRING")
 
 
@@ -273,9 +286,15 @@ def read_cases(spark, sf):
     return _case_file(spark, sf)[0].select("case_id", F.md5("question").alias("question_md5"))
 
 
-@register("broken_cases", "SELECT count(*) AS broken FROM benchmark")
+@register(
+    "broken_cases",
+    """SELECT item_id % 3 AS part, 4 * row_number() OVER (PARTITION BY item_id % 3 ORDER BY item_id) AS line_no,
+  substring('{"case_id":"' || item_id || '"', 1, 30) AS starts FROM benchmark""",
+)
 def broken_cases(spark, sf):
-    return _case_file(spark, sf)[1].agg(F.count("*").alias("broken"))
+    part = F.regexp_extract("file", "part=([^/]*)", 1).cast("bigint").alias("part")
+    starts = F.regexp_extract("line", r'^\{"case_id":"\d+"', 0).alias("starts")
+    return _case_file(spark, sf)[1].select(part, "line_no", starts)
 
 
 @register("read_experiment", "SELECT CAST(item_id AS VARCHAR) AS case_id, length(text) AS elapsed_ms FROM benchmark")

@@ -15,6 +15,7 @@ QUERIES, ORACLES = register.queries, register.oracles
 
 FILES = 3
 FAR_DELAY = "90 days"  # the files hold one month in no fixed order
+NEAR_DELAY = "10 minutes"  # for files that follow each other in time
 
 
 def _as_stream(spark, df, name: str, per_batch: int = 1):
@@ -24,6 +25,14 @@ def _as_stream(spark, df, name: str, per_batch: int = 1):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(folder)
 
 
+def _in_order(spark, parts, name: str, run) -> None:
+    """Frames that arrive one after the other: ``run(stream, checkpoint)`` goes on from where it was after each of them."""
+    folder, checkpoint = new_folder(spark, name), new_folder(spark, "ck")
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+        run(spark.readStream.schema(part.schema).parquet(folder), checkpoint)
+
+
 def _events(spark, sf):
     k = F.get_json_object("props", "$.k").cast("bigint").alias("recipe_id")
     return table(spark, sf, "events").select("event_id", "user_id", k, "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
@@ -55,30 +64,44 @@ def stream_favorites(spark, sf):
     changes = _events(spark, sf).filter("event_type IN ('click', 'error')").select("user_id", "recipe_id", op, "ts")
     state = VersionedTable(spark, new_folder(spark, "favorites"), jobs.FAVORITES_STATE)
     # several batches whose times overlap
-    jobs.keep_state(_as_stream(spark, changes, "favorite-events"), state, jobs.favorites_step, new_folder(spark, "ck"))
+    jobs.keep_state(_as_stream(spark, changes, "favorite-events"), state, jobs.favorites_step(FAR_DELAY), new_folder(spark, "ck"))
     return jobs.favorites(state.read(spark)).select("user_id", "recipe_id", stamp("created_at"))
 
 
+PERIOD = "CASE WHEN l_shipdate < DATE '1994-06-01' THEN 0 WHEN l_shipdate < DATE '1996-09-01' THEN 1 ELSE 2 END"
+
+
 @register(
     "stream_deliveries",
-    """SELECT o_custkey AS user_id, l_partkey AS product_id, sum(l_quantity) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey
-WHERE l_partkey IN (SELECT product_id FROM product_ingredient WHERE role = 'PRIMARY') GROUP BY 1, 2""",
+    f"""SELECT user_id, product_id, quantity, last.u AS unit, strftime(last.d, '%Y-%m-%d') AS expires_on, inserted, updated, skipped, reason FROM (
+  SELECT o_custkey AS user_id, l_partkey AS product_id, CASE WHEN linked THEN CAST(sum(l_quantity) AS DOUBLE) END AS quantity,
+    CASE WHEN linked THEN max({{'d': CAST(l_shipdate AS DATE), 'p': l_extendedprice, 'u': l_linestatus}}) END AS last,
+    CASE WHEN linked THEN 1 ELSE 0 END AS inserted, CASE WHEN linked THEN count(DISTINCT {PERIOD}) - 1 ELSE 0 END AS updated,
+    CASE WHEN linked THEN 0 ELSE count(DISTINCT {PERIOD}) END AS skipped, CASE WHEN NOT linked THEN 'NO_PRIMARY_INGREDIENT' END AS reason
+  FROM (SELECT *, l_partkey IN (SELECT product_id FROM product_ingredient WHERE role = 'PRIMARY') AS linked
+        FROM orders JOIN lineitem ON o_orderkey = l_orderkey) GROUP BY o_custkey, l_partkey, linked)""",
 )
 def stream_deliveries(spark, sf):
     catalog = bind(spark, sf)
-    items = view(spark, sf, """SELECT o_custkey AS user_id, l_partkey AS product_id, CAST(l_quantity AS DECIMAL(18,3)) AS quantity, l_linestatus AS unit,
-        CAST(l_shipdate AS TIMESTAMP) AS expires_at, true AS set_expiry, struct(l_shipdate, l_extendedprice) AS item_no
-        FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey""")
+    items = view(spark, sf, f"""SELECT o_custkey AS user_id, l_partkey AS product_id, CAST(l_quantity AS DECIMAL(18,3)) AS quantity, l_linestatus AS unit,
+        CAST(l_shipdate AS TIMESTAMP) AS expires_at, true AS set_expiry, struct(l_shipdate, l_extendedprice) AS item_no, {PERIOD} AS period
+        FROM {{orders}} JOIN {{lineitem}} ON o_orderkey = l_orderkey""")
     fridge = VersionedTable(
         spark, new_folder(spark, "fridge"),
         "user_id BIGINT, product_id BIGINT, quantity DECIMAL(18,3), unit STRING, expires_at TIMESTAMP",
     )
-    outcomes = VersionedTable(
-        spark, new_folder(spark, "outcomes"), "user_id BIGINT, product_id BIGINT, action STRING, reason STRING"
-    )
+    outcomes = new_folder(spark, "outcomes")
     run = jobs.delivery_batch(fridge, outcomes, catalog.product, catalog.product_ingredient)
-    jobs.run_to_end(_as_stream(spark, items, "deliveries"), new_folder(spark, "ck"), run)
-    return fridge.read(spark).select("user_id", "product_id", num("quantity"))
+    parts = [items.where(F.col("period") == k) for k in range(FILES)]
+    _in_order(spark, parts, "deliveries", lambda stream, checkpoint: jobs.run_to_end(stream, checkpoint, run))
+    happened = lambda action: F.count_if(F.col("action") == action).alias(action)
+    told = spark.read.parquet(outcomes).groupBy("user_id", "product_id").agg(
+        happened("inserted"), happened("updated"), happened("skipped"), F.max("reason").alias("reason")
+    )
+    held = fridge.read(spark).select(
+        "user_id", "product_id", num("quantity"), "unit", F.date_format("expires_at", "yyyy-MM-dd").alias("expires_on")
+    )
+    return told.join(held, ["user_id", "product_id"], "left")
 
 
 def _updates(spark, stream_result, keys):
@@ -111,28 +134,34 @@ def recent_requests(spark, sf):
 
 @register(
     "stream_admitted_requests",
-    """WITH RECURSIVE e AS (SELECT event_id, user_id % 100 AS key, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY user_id % 100 ORDER BY ts, event_id) AS rn FROM events),
-walk AS (SELECT event_id, key, rn, NULL::DOUBLE AS older, t AS newer, NULL::DOUBLE AS retry_after FROM e WHERE rn = 1
+    """WITH RECURSIVE e AS (SELECT event_id, user_id AS key, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+walk AS (SELECT event_id, key, rn, NULL::BIGINT AS older, t AS newer, NULL::BIGINT AS wait FROM e WHERE rn = 1
   UNION ALL SELECT e.event_id, e.key, e.rn,
-    CASE WHEN e.t - w.older < 60 AND e.t - w.newer < 60 THEN w.older WHEN e.t - w.newer < 60 THEN w.newer END,
-    CASE WHEN e.t - w.older < 60 AND e.t - w.newer < 60 THEN w.newer ELSE e.t END,
-    CASE WHEN e.t - w.older < 60 AND e.t - w.newer < 60 THEN 60 - (e.t - w.older) END
+    CASE WHEN e.t - w.older < 172800000000 AND e.t - w.newer < 172800000000 THEN w.older WHEN e.t - w.newer < 172800000000 THEN w.newer END,
+    CASE WHEN e.t - w.older < 172800000000 AND e.t - w.newer < 172800000000 THEN w.newer ELSE e.t END,
+    CASE WHEN e.t - w.older < 172800000000 AND e.t - w.newer < 172800000000 THEN 172800000000 - (e.t - w.older) END
   FROM walk w JOIN e ON e.key = w.key AND e.rn = w.rn + 1)
-SELECT event_id, CAST(key AS VARCHAR) AS key, round(retry_after, 5) AS retry_after FROM walk""",
+SELECT event_id, CAST(key AS VARCHAR) AS key, wait / 1e6::DOUBLE AS retry_after FROM walk""",
 )
 def stream_admitted_requests(spark, sf):
+    """Two requests of a user in any two days; the log comes in the order of time, a request is decided ten minutes later."""
     bind(spark, sf)
-    events = _events(spark, sf).select("event_id", (F.col("user_id") % 100).cast("string").alias("key"), "ts")
-    folder = new_folder(spark, "admissions")
-    events.repartition(FILES).write.parquet(folder)
-    # a request far in the future moves the watermark past all others, and one more batch sees it moved
-    end = events.agg((F.max("ts") + F.expr("INTERVAL 200 DAYS")).alias("ts"))
-    for _ in range(2):
-        end.select(F.lit(-1).cast("long").alias("event_id"), F.lit("end").alias("key"), "ts").write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    events = _events(spark, sf).select("event_id", F.col("user_id").cast("string").alias("key"), "ts")
+    ends = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    share = (F.unix_micros("ts") - F.unix_micros(F.lit(ends.a))) / F.greatest(F.unix_micros(F.lit(ends.b)) - F.unix_micros(F.lit(ends.a)), F.lit(1))
+    period = F.least(F.floor(share * FILES), F.lit(FILES - 1))
+    parts = [events.where(period == k) for k in range(FILES)]
+    # two requests days later: the first moves the watermark past all others, with the second the waiting ones are decided
+    for days in (1, 2):
+        end = events.agg((F.max("ts") + F.expr(f"INTERVAL {days} DAYS")).alias("ts"))
+        parts.append(end.select(F.lit(-1).cast("long").alias("event_id"), F.lit("end").alias("key"), "ts"))
     root = new_folder(spark, "admitted")
-    jobs.run_to_end(jobs.admitted_requests(stream, 2, FAR_DELAY), new_folder(spark, "ck"), jobs.collect_updates(root))
-    return spark.read.parquet(root).select("event_id", "key", F.round("retry_after", 5).alias("retry_after"))
+
+    def run(stream, checkpoint):
+        jobs.run_to_end(jobs.admitted_requests(stream, 2, NEAR_DELAY, 172_800), checkpoint, jobs.collect_updates(root))
+
+    _in_order(spark, parts, "admissions", run)
+    return spark.read.parquet(root).where("event_id >= 0").select("event_id", "key", "retry_after")
 
 
 METRICS_SQL = """SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS window_start, '/' || event_type AS route,

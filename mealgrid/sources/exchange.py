@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mealgrid.core.numbering import global_row_number
 from mealgrid.core.scratch import durable
+from mealgrid.sources.lines import numbered_lines
 
 CHARACTERS_PER_TOKEN = 2.5
 BLOCK_ROWS = 50_000
@@ -162,16 +163,23 @@ def parsed_results(classified: DataFrame, schema: str) -> tuple[DataFrame, DataF
 
 
 def read_cases(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(cases, broken lines) of a case file; blank lines and ``//`` comments are skipped."""
-    lines = (
-        spark.read.text(path)
-        .select("value", "_metadata.file_name")
-        .filter((F.trim("value") != "") & ~F.startswith(F.ltrim("value"), F.lit("//")))
-    )
+    """(cases, broken lines with file and line_no) of case files; blank lines and ``//`` comments are skipped.
+
+    Files without a single case line are an error.
+    """
+
+    def case_lines(lines: DataFrame) -> DataFrame:
+        return lines.filter((F.trim("value") != "") & ~F.startswith(F.ltrim("value"), F.lit("//")))
+
+    plain = case_lines(spark.read.text(path))
+    if plain.isEmpty():
+        raise ValueError(f"{path}: no cases")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = lines.withColumn("r", F.from_json("value", f"{schema}, _corrupt STRING", options))
+    record = F.from_json("value", f"{schema}, _corrupt STRING", options)
     broken = F.col("r._corrupt").isNotNull()
-    return parsed.filter(~broken).select("r.*").drop("_corrupt"), parsed.filter(broken).select("file_name", "value")
+    cases = plain.withColumn("r", record).filter(~broken).select("r.*").drop("_corrupt")
+    told = case_lines(numbered_lines(spark, path)).withColumn("r", record).filter(broken)
+    return cases, told.select("file", "line_no", F.col("value").alias("line"))
 
 
 def read_experiment(spark: SparkSession, path: str, schema: str) -> DataFrame:

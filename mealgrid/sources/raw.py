@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mealgrid.functions import fixed_values as fixed
+from mealgrid.sources.lines import numbered_lines
 
 SAMPLE_CHARACTERS = 400
 SAMPLE_MARK = " …(생략)"
@@ -94,15 +95,24 @@ def sibling_catalog(datasets: DataFrame, name: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(records, rejected lines with their file) of a file with one JSON object per line."""
-    lines = spark.read.text(path).filter(F.trim("value") != "").select("value", "_metadata.file_name")
+    """(records, rejects) of files with one JSON object per line; a reject has file, line_no, line and what is wrong.
+
+    Blank lines count as lines but are no records.
+    """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = lines.withColumn("r", F.from_json("value", f"{schema}, _corrupt STRING", options))
+
+    def parsed(lines: DataFrame) -> DataFrame:
+        some = lines.filter(F.trim("value") != "")
+        return some.withColumn("r", F.from_json("value", f"{schema}, _corrupt STRING", options))
+
     is_object = F.startswith(F.ltrim("value"), F.lit("{"))
     broken = F.col("r._corrupt").isNotNull() | ~is_object
+    reason = F.when(is_object | (F.try_parse_json("value").isNull()), "bad_json").otherwise("not_an_object")
+    # only the rejects need to know their place, so only they are read with it
+    rejects = parsed(numbered_lines(spark, path)).filter(broken)
     return (
-        parsed.filter(~broken).select("r.*").drop("_corrupt"),
-        parsed.filter(broken).select("file_name", F.col("value").alias("line")),
+        parsed(spark.read.text(path)).filter(~broken).select("r.*").drop("_corrupt"),
+        rejects.select("file", "line_no", F.col("value").alias("line"), reason.alias("reason")),
     )
 
 

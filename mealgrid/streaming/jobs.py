@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,25 +44,34 @@ def views_step(keep: int) -> Callable[[DataFrame, DataFrame], DataFrame]:
 FAVORITES_STATE = "user_id BIGINT, recipe_id BIGINT, adds ARRAY<TIMESTAMP>, removed_at TIMESTAMP"
 
 
-def favorites_step(state: DataFrame, batch: DataFrame) -> DataFrame:
+def favorites_step(late: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """Favourite events (user_id, recipe_id, op, ts) → state of each pair: last removal, and the adds after it.
 
     Times decide, not the order of arrival: a removal that comes late ends only what it is later than, and an add that comes
-    late counts only if no later removal was seen. Removals therefore stay in the state.
+    late counts only if no later removal was seen. Removals therefore stay in the state. An event may come up to ``late``
+    behind the newest one of its pair; of adds before that only the first is kept, so a pair holds the adds of one such span.
     """
-    key = ["user_id", "recipe_id"]
-    news = batch.groupBy(*key).agg(
-        F.collect_set(F.when(F.col("op") == "add", F.col("ts"))).alias("new_adds"),
-        F.max(F.when(F.col("op") == "remove", F.col("ts"))).alias("new_removed"),
-    )
+    key, span = ["user_id", "recipe_id"], F.expr(f"INTERVAL {late}")
     none = F.array().cast("array<timestamp>")
-    merged = (
-        state.join(news, key, "full")
-        .withColumn("removed_at", F.greatest("removed_at", "new_removed"))
-        .withColumn("adds", F.array_union(F.coalesce("adds", none), F.coalesce("new_adds", none)))
-    )
-    alive = F.filter("adds", lambda t: F.col("removed_at").isNull() | (t > F.col("removed_at")))
-    return merged.select(*key, F.array_sort(alive).alias("adds"), "removed_at")
+
+    def step(state: DataFrame, batch: DataFrame) -> DataFrame:
+        news = batch.groupBy(*key).agg(
+            F.collect_set(F.when(F.col("op") == "add", F.col("ts"))).alias("new_adds"),
+            F.max(F.when(F.col("op") == "remove", F.col("ts"))).alias("new_removed"),
+        )
+        joined = (
+            state.join(news, key, "full")
+            .withColumn("removed_at", F.greatest("removed_at", "new_removed"))
+            .withColumn("adds", F.array_union(F.coalesce("adds", none), F.coalesce("new_adds", none)))
+        )
+        alive = F.filter("adds", lambda t: F.col("removed_at").isNull() | (t > F.col("removed_at")))
+        joined = joined.withColumn("adds", F.array_sort(alive))
+        horizon = F.greatest(F.array_max("adds"), F.col("removed_at")) - span
+        settled = F.slice(F.filter("adds", lambda t: t <= horizon), 1, 1)
+        kept = F.concat(settled, F.filter("adds", lambda t: t > horizon))
+        return joined.select(*key, kept.alias("adds"), "removed_at")
+
+    return step
 
 
 def favorites(state: DataFrame) -> DataFrame:
@@ -70,14 +80,17 @@ def favorites(state: DataFrame) -> DataFrame:
 
 
 def delivery_batch(
-    fridge: VersionedTable, outcomes: VersionedTable, product: DataFrame, links: DataFrame
+    fridge: VersionedTable, outcomes: str, product: DataFrame, links: DataFrame
 ) -> Callable[[DataFrame, int], None]:
-    """Deliveries add to the fridge once per batch; what happened to each item is stored as well."""
+    """Deliveries add to the fridge once per batch; what happened to each item is stored under the batch's number in ``outcomes``."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        state = fridge.read(batch.sparkSession, before=batch_id)
-        outcomes.write(delivery_outcomes(state, batch, product, links), batch_id)
-        fridge.write(add_deliveries(state, batch, product, links), batch_id)
+        batch = batch.persist()
+        only = fridge.touched(batch)
+        state = fridge.read(batch.sparkSession, batch_id, only)
+        collect_updates(outcomes)(delivery_outcomes(state, batch, product, links), batch_id)
+        fridge.write(add_deliveries(state, batch, product, links), batch_id, only)
+        batch.unpersist()
 
     return run
 
@@ -125,60 +138,71 @@ def recent_requests(events: DataFrame, key: str, ts: str, event_id: str) -> Data
     )
 
 
+def waits_of(times: np.ndarray, latest: list[int], limit: int, window: int) -> np.ndarray:
+    """Time until each request could be admitted, 0 for those that are; ``times`` ascend, all in microseconds.
+
+    ``latest`` holds the last ``limit`` admissions and is brought up to date. There is room again once the oldest of them is a
+    window old, so all requests before that moment are refused together, and the search goes on behind them.
+    """
+    waits, at = np.zeros(len(times), np.int64), 0
+    while at < len(times):
+        if len(latest) == limit:
+            room = latest.pop(0) + window
+            free = int(np.searchsorted(times, room))
+            if free > at:
+                waits[at:free] = room - times[at:free]
+                at = free
+            if at == len(times):
+                latest.insert(0, room - window)
+                break
+        latest.append(int(times[at]))
+        at += 1
+    return waits
+
+
 def admissions(limit: int, window: float = WINDOW_SECONDS):
     """State function of the limiter: requests of a key wait for the watermark and are decided in order of time.
 
-    The state is the times admitted in the last window, at most ``limit`` of them, and the requests that still wait. A
-    key is forgotten once nothing waits and its last admission is a window old.
+    The state is the last admissions, at most ``limit`` of them, and the requests that the watermark has not passed, which span
+    no more than its delay. A key is forgotten once nothing waits and its last admission is a window old.
     """
-
-    def decide(now: float, hits: list[float]) -> float | None:
-        """Seconds to wait; None, and a new hit, if there is room."""
-        while hits and now - hits[0] >= window:
-            hits.pop(0)
-        if len(hits) < limit:
-            hits.append(now)
-            return None
-        return window - (now - hits[0])
+    width = int(window * 1_000_000)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        hits, times, ids = map(list, state.get) if state.exists else ([], [], [])
-        for batch in batches:  # one key may arrive in several pieces, in any order
-            times.extend(batch["t"])
-            ids.extend(batch["event_id"])
-        mark = state.getCurrentWatermarkMs()
-        waiting = sorted(zip(times, ids))
-        ready = [r for r in waiting if r[0] * 1000 < mark]
-        waiting = waiting[len(ready):]
-        waits = [decide(now, hits) for now, _ in ready]
-        if waiting or (hits and (hits[-1] + window) * 1000 > mark):
-            state.update((hits, [t for t, _ in waiting], [i for _, i in waiting]))
-            due = waiting[0][0] if waiting else hits[-1] + window
-            state.setTimeoutTimestamp(max(int(due * 1000) + 1, mark + 1))
+        latest, times, ids = map(list, state.get) if state.exists else ([], [], [])
+        parts = [(np.array(times, np.int64), np.array(ids, np.int64))]
+        parts += [(b["t"].to_numpy(np.int64), b["event_id"].to_numpy(np.int64)) for b in batches]
+        t, event = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((event, t))
+        t, event = t[order], event[order]
+        mark = state.getCurrentWatermarkMs() * 1_000
+        ready = int(np.searchsorted(t, mark))
+        waits = waits_of(t[:ready], latest, limit, width)
+        later = t[ready:].tolist()
+        if later or (latest and latest[-1] + width > mark):
+            state.update((latest, later, event[ready:].tolist()))
+            due = later[0] if later else latest[-1] + width
+            state.setTimeoutTimestamp(max(due, mark) // 1_000 + 1)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(
-            {
-                "event_id": pd.array([i for _, i in ready], dtype="Int64"),
-                "key": [key[0]] * len(ready),
-                "retry_after": pd.array(waits, dtype="Float64"),
-            }
-        )
+        after = pd.array(waits / 1e6, dtype="Float64")
+        after[waits == 0] = pd.NA
+        yield pd.DataFrame({"event_id": event[:ready], "key": [key[0]] * ready, "retry_after": after})
 
     return run
 
 
-def admitted_requests(events: DataFrame, limit: int, delay: str) -> DataFrame:
+def admitted_requests(events: DataFrame, limit: int, delay: str, window: float = WINDOW_SECONDS) -> DataFrame:
     """(event_id, key, retry_after): NULL when admitted, else the seconds to wait (streaming).
 
     ``events`` has event_id, key and ts. A request is decided when the watermark, ``delay`` behind the newest request,
     has passed it; later arrivals are dropped. Keys are users or clients, so a group is what one of them sent.
     """
-    timed = events.withWatermark("ts", delay).withColumn("t", F.unix_micros("ts") / F.lit(1e6))
+    timed = events.withWatermark("ts", delay).withColumn("t", F.unix_micros("ts"))
     return timed.groupBy("key").applyInPandasWithState(
-        admissions(limit),
+        admissions(limit, window),
         "event_id bigint, key string, retry_after double",
-        "hits array<double>, times array<double>, ids array<bigint>",
+        "latest array<bigint>, times array<bigint>, ids array<bigint>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )

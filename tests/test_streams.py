@@ -25,6 +25,86 @@ def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
     assert [r.quantity for r in table.read(spark).collect()] == [10]
 
 
+def _add(state, incoming):
+    both = state.unionByName(incoming.select("user_id", "product_id", "quantity"))
+    return both.groupBy("user_id", "product_id").agg({"quantity": "sum"}).withColumnRenamed("sum(quantity)", "quantity")
+
+
+STOCK = "user_id long, product_id long, quantity long"
+
+
+def _sums(table, spark, **which):
+    return sorted((r.user_id, r.quantity) for r in table.read(spark, **which).collect())
+
+
+def _files(root):
+    """Data files of a state table with the time of their last change."""
+    import glob
+    import os
+
+    return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{root}/rows/slot=*/bucket=*/*.parquet")}
+
+
+def test_a_batch_writes_the_buckets_of_its_keys_only(spark, tmp_path):
+    root = str(tmp_path / "t")
+    table = VersionedTable(spark, root, STOCK, buckets=16)
+    run = each_batch(table, _add)
+    run(spark.range(400).selectExpr("id AS user_id", "1L AS product_id", "1L AS quantity"), 0)
+    before = _files(root)
+    run(spark.createDataFrame([(7, 1, 5)], STOCK), 1)
+    after = _files(root)
+    assert len(before) == 16 and {f: t for f, t in after.items() if f in before} == before and len(after) == 17
+    assert _sums(table, spark) == [(k, 6 if k == 7 else 1) for k in range(400)]
+
+
+def test_a_batch_that_dies_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    table = VersionedTable(spark, str(tmp_path / "t"), STOCK, buckets=4)
+    run = each_batch(table, _add)
+    batch = spark.createDataFrame([(k, 1, 1) for k in range(20)], STOCK)
+    run(batch, 0)
+    run(batch, 1)
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(table, "_publish", dies)  # all rows are written, the version is not
+        try:
+            run(batch, 2)
+        except RuntimeError:
+            pass
+    other = VersionedTable(spark, str(tmp_path / "t"), STOCK, buckets=4)  # opened again
+    assert other.version(spark) == 1 and _sums(other, spark) == [(k, 2) for k in range(20)]
+    for _ in range(2):
+        each_batch(other, _add)(batch, 2)
+        assert _sums(other, spark) == [(k, 3) for k in range(20)]
+    assert _sums(other, spark, before=2) == [(k, 2) for k in range(20)]
+
+
+def test_old_versions_do_not_pile_up(spark, tmp_path):
+    root = str(tmp_path / "t")
+    table = VersionedTable(spark, root, STOCK, buckets=2)
+    run = each_batch(table, _add)
+    for k in range(9):
+        run(spark.createDataFrame([(1, 1, k), (2, 1, 1)], STOCK), k)
+    assert len(_files(root)) <= 4 and _sums(table, spark) == [(1, 36), (2, 9)]
+    # a bucket that loses all its rows is empty, whatever its slot held before
+    each_batch(table, lambda state, batch: state.where("false"))(spark.createDataFrame([(1, 1, 1)], STOCK), 9)
+    assert _sums(table, spark) == [(2, 9)]
+    each_batch(table, _add)(spark.createDataFrame([], STOCK), 10)
+    assert _sums(table, spark) == [(2, 9)] and table.version(spark) == 10
+
+
+def test_adds_of_a_pair_are_bounded(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), jobs.FAVORITES_STATE, buckets=2)
+    run = each_batch(table, jobs.favorites_step("3 days"))
+    for k in range(4):
+        days = spark.range(k * 25, k * 25 + 25).selectExpr("1L AS user_id", "1L AS recipe_id", "'add' AS op", "timestamp_seconds(id * 86400) AS ts")
+        run(days, k)
+    (row,) = table.read(spark).selectExpr("transform(adds, t -> unix_seconds(t) div 86400) AS days").collect()
+    assert row.days == [0, 97, 98, 99]
+
+
 def test_views_keep_the_newest_per_user(spark):
     state = spark.sql("SELECT 1L AS user_id, 1L AS recipe_id, TIMESTAMP'2024-01-01' AS viewed_at")
     seen = spark.sql(
@@ -41,7 +121,7 @@ def test_favorites_follow_times_in_any_order_of_arrival(spark, tmp_path):
     for trial in range(3):
         rng.shuffle(changes)
         table = VersionedTable(spark, str(tmp_path / f"t{trial}"), jobs.FAVORITES_STATE)
-        run = each_batch(table, jobs.favorites_step)
+        run = each_batch(table, jobs.favorites_step("30 days"))
         for n, k in enumerate((0, 4, 7)):
             part = changes[k : (4, 7, 10)[n]]
             batch = spark.createDataFrame(part, "user_id long, recipe_id long, op string, day int")
