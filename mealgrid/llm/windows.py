@@ -41,9 +41,9 @@ from mealgrid.llm.repeats import sliding_minimum
 WINDOW = 20
 MARK = 3  # words of a minimiser
 BIN_BYTES = 2**20  # text per bin
-BINS = 16  # bins of a group
+BINS = 8  # bins of a group
 HOT, SLACK = 6, 1_000  # a bin is cut that would receive more than HOT times the mean plus SLACK strings
-BLOCK = 2**22  # bytes of text that are combined at once
+BLOCK = 2**21  # bytes of text that are combined at once
 PIECE = 2**22  # bytes of a long text that are read at once
 SEEN = 200_000  # cut windows that a task combines at once
 

@@ -78,7 +78,7 @@ def test_hot_window_travels_once_per_task(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id long, text string").selectExpr("id", "id AS row", "text").repartition(2)
     import numpy as np
 
-    sent = df.mapInArrow(windows._strings(20, 3, 128, np.full(4096, 255, np.uint8)), windows._SENT).collect()
+    sent = df.mapInArrow(windows._strings(20, 3, 64, np.full(4096, 255, np.uint8)), windows._SENT).collect()
     words = [w for r in sent for w in windows.unpack(r.n_strings, r.n_known, r.n_bytes, bytes(r.packed))[0]["words"]]
     assert words.count(" ".join(passage[:20]).encode()) == 2
     assert shown(df.withColumnRenamed("id", "doc_id")) == brute(rows)
