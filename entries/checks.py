@@ -300,10 +300,24 @@ miss AS (SELECT p.user_id, p.recipe_id, ri.ingredient_id FROM pairs p JOIN recip
 off AS (SELECT user_id, recipe_id, count(*) AS n FROM ((SELECT * FROM miss EXCEPT SELECT * FROM w) UNION ALL (SELECT * FROM w EXCEPT SELECT * FROM miss)) GROUP BY 1, 2),
 unb AS (SELECT user_id, recipe_id, count(*) AS n FROM w WHERE ingredient_id NOT IN (SELECT ingredient_id FROM offers) GROUP BY 1, 2),
 unr AS (SELECT user_id, recipe_id, count(*) AS n FROM expected e WHERE NOT EXISTS (SELECT 1 FROM recipe_product r WHERE r.recipe_id = e.recipe_id
-   AND r.product_id = e.product_id AND r.recommendation_priority = 4) GROUP BY 1, 2)
-SELECT user_id, recipe_id, 'missing as configured' AS "check", off.n IS NULL AS passed FROM pairs LEFT JOIN off USING (user_id, recipe_id)
-UNION ALL SELECT user_id, recipe_id, 'every missing one buyable', unb.n IS NULL FROM pairs LEFT JOIN unb USING (user_id, recipe_id)
-UNION ALL SELECT user_id, recipe_id, 'designated priority', unr.n IS NULL FROM pairs LEFT JOIN unr USING (user_id, recipe_id)""",
+   AND r.product_id = e.product_id AND r.recommendation_priority = 4) GROUP BY 1, 2),
+extra AS (SELECT user_id, count(*) AS n FROM user_fridge JOIN product USING (product_id) WHERE is_active AND (user_id + product_id) % 40 = 0 GROUP BY 1),
+far AS (SELECT user_id, count(DISTINCT i.parent_ingredient_id) AS n FROM user_fridge f JOIN product_ingredient pi USING (product_id) JOIN ingredient i USING (ingredient_id)
+  WHERE pi.role = 'PRIMARY' AND i.parent_ingredient_id IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM held h WHERE h.user_id = f.user_id AND h.ingredient_id = i.parent_ingredient_id) GROUP BY 1),
+x AS (
+  SELECT user_id, recipe_id, 'user and recipe are there once' AS "check",
+    (user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 50 <> 3))::INT + (recipe_id NOT IN (SELECT recipe_id FROM recipe))::INT AS n FROM pairs
+  UNION ALL SELECT user_id, recipe_id, 'recipes named as configured', (recipe_id % 30 = 0)::INT FROM pairs
+  UNION ALL SELECT user_id, recipe_id, 'active products in the fridge as configured', n FROM pairs LEFT JOIN extra USING (user_id)
+  UNION ALL SELECT user_id, recipe_id, 'held children reach their parents', n FROM pairs LEFT JOIN far USING (user_id)
+  UNION ALL SELECT user_id, recipe_id, 'missing as configured', n FROM pairs LEFT JOIN off USING (user_id, recipe_id)
+  UNION ALL SELECT user_id, recipe_id, 'every missing one buyable', n FROM pairs LEFT JOIN unb USING (user_id, recipe_id)
+  UNION ALL SELECT user_id, recipe_id, 'designated priority', n FROM pairs LEFT JOIN unr USING (user_id, recipe_id)
+  UNION ALL SELECT user_id, recipe_id, 'hierarchy of one level', (SELECT count(*) FROM ingredient c JOIN ingredient i
+    ON i.ingredient_id = c.parent_ingredient_id WHERE i.parent_ingredient_id IS NOT NULL) FROM pairs
+)
+SELECT user_id, recipe_id, "check", coalesce(n, 0)::BIGINT AS off, coalesce(n, 0) = 0 AS passed FROM x""",
 )
 def scenario_checks(spark, sf):
     catalog = bind(spark, sf)
@@ -311,7 +325,18 @@ def scenario_checks(spark, sf):
     expected = viewed.join(
         catalog.recipe_product.select("recipe_id", "ingredient_id", "product_id"), "recipe_id"
     ).distinct()
-    return quality.scenario_checks(catalog, recommend.owned_by_user(catalog, AS_OF), expected, priority=4)
+    # configured: some users and spellings that are not there, some stock that is not listed
+    users = table(spark, sf, "customer").where("c_custkey % 50 <> 3").selectExpr("c_custkey AS user_id")
+    named = catalog.recipe.selectExpr("recipe_id", "CASE WHEN recipe_id % 30 = 0 THEN 'other' ELSE name END AS name")
+    active = catalog.user_fridge.join(catalog.product.where("is_active"), "product_id", "left_semi")
+    stocked = active.where("(user_id + product_id) % 40 <> 0").select("user_id", "product_id")
+    parents = (
+        catalog.user_fridge.join(catalog.product_ingredient.where("role = 'PRIMARY'"), "product_id")
+        .join(catalog.ingredient.where("parent_ingredient_id IS NOT NULL"), "ingredient_id")
+        .selectExpr("user_id", "parent_ingredient_id AS ingredient_id")
+        .distinct()
+    )
+    return quality.scenario_checks(catalog, recommend.owned_by_user(catalog, AS_OF), expected, 4, users, named, stocked, parents)
 
 
 @register(

@@ -114,6 +114,31 @@ def dataset_brief(spark, sf):
     return brief.select("doc_id", "lang", F.md5("text").alias("sample"))
 
 
+def _typed(name: str, columns: str, filled: str) -> str:
+    """Facts of a table as SQL; ``columns`` lists (position, name, type)."""
+    return f"""SELECT '{name}' AS dataset, v.column_no, v.name, v.type, count(*) AS row_count,
+  count(*) FILTER (CASE v.column_no {filled} END) AS filled FROM {name}, (VALUES {columns}) v(column_no, name, type) GROUP BY ALL"""
+
+
+@register(
+    "dataset_facts",
+    _typed(
+        "documents",
+        "(1, 'doc_id', 'bigint'), (2, 'text', 'string'), (3, 'lang', 'string'), (4, 'source', 'string'), (5, 'n_chars', 'bigint')",
+        "WHEN 1 THEN doc_id IS NOT NULL WHEN 2 THEN text IS NOT NULL WHEN 3 THEN lang IS NOT NULL WHEN 4 THEN source IS NOT NULL ELSE n_chars IS NOT NULL",
+    )
+    + " UNION ALL "
+    + _typed(
+        "embeddings",
+        "(1, 'vec_id', 'bigint'), (2, 'embedding', 'array<float>'), (3, 'label', 'int')",
+        "WHEN 1 THEN vec_id IS NOT NULL WHEN 2 THEN embedding IS NOT NULL ELSE label IS NOT NULL",
+    ),
+)
+def dataset_facts(spark, sf):
+    facts = [raw.dataset_facts(table(spark, sf, n)).withColumn("dataset", F.lit(n)) for n in ("documents", "embeddings")]
+    return facts[0].unionByName(facts[1])
+
+
 @register(
     "select_by_columns",
     "SELECT p_partkey AS key, p_name AS name FROM part UNION ALL SELECT c_custkey, c_name FROM customer",
@@ -166,6 +191,30 @@ def export_insert_sql(spark, sf):
     return dumps.export_insert_sql(parts, "part", kinds, ["p_partkey"])
 
 
+@register(
+    "export_tables",
+    """WITH t AS (
+  SELECT 1 AS no, 'region' AS "table", '  (' || r_regionkey || ', ''' || r_name || ''')' AS x, row_number() OVER (ORDER BY r_regionkey) AS r FROM region
+  UNION ALL SELECT 2, 'nation', '  (' || n_nationkey || ', ''' || n_name || ''', ' || n_regionkey || ')', row_number() OVER (ORDER BY n_nationkey) FROM nation
+  UNION ALL SELECT 3, 'customer', '  (' || c_custkey || ', ''' || c_name || ''', ' || c_nationkey || ')', row_number() OVER (ORDER BY c_custkey) FROM customer
+), n AS (SELECT no, "table", count(*) AS rows_, 1 + ceil(count(*) / 200)::BIGINT AS statements FROM t GROUP BY 1, 2),
+o AS (SELECT *, coalesce(sum(statements) OVER (ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM n)
+SELECT start AS statement_no, "table", md5('-- ' || "table" || ': ' || rows_ || ' rows') AS statement FROM o
+UNION ALL SELECT start + 1 + (r - 1) // 200, "table", md5('INSERT INTO ' || "table" || CASE "table" WHEN 'region' THEN ' (r_regionkey, r_name)'
+    WHEN 'nation' THEN ' (n_nationkey, n_name, n_regionkey)' ELSE ' (c_custkey, c_name, c_nationkey)' END || ' VALUES' || chr(10)
+    || string_agg(x, ',' || chr(10) ORDER BY r) || ';') FROM t JOIN o USING ("table") GROUP BY 1, 2""",
+)
+def export_tables(spark, sf):
+    kinds = {"region": {"r_regionkey": "number", "r_name": "text"},
+             "nation": {"n_nationkey": "number", "n_name": "text", "n_regionkey": "number"},
+             "customer": {"c_custkey": "number", "c_name": "text", "c_nationkey": "number"}}
+    refers = {"customer": ["nation"], "nation": ["region"], "region": []}
+    listed = [
+        dumps.ExportTable(n, table(spark, sf, n), kinds[n], [next(iter(kinds[n]))], refers[n]) for n in ("customer", "nation", "region")
+    ]
+    return dumps.export_tables(listed).withColumn("statement", F.md5("statement"))
+
+
 # ---------------------------------------------------------------- requests and results
 
 

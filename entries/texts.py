@@ -465,7 +465,7 @@ def sql_literals(spark, sf):
 
 @register(
     "content_version",
-    """SELECT substring(sha256(string_agg(sha256(x || chr(10)), '' ORDER BY k)), 1, 12) AS version
+    """SELECT substring(sha256(string_agg(x || chr(10), '' ORDER BY k)), 1, 12) AS version
 FROM (SELECT c_mktsegment AS k, string_agg(c_name, '' ORDER BY c_custkey) AS x FROM customer GROUP BY 1)""",
 )
 def content_version(spark, sf):

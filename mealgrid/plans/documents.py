@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,12 +84,27 @@ def empty_texts(rows: DataFrame, text: str) -> DataFrame:
     return rows.agg(F.count_if(F.coalesce(stripped(F.col(text)), F.lit("")) == "").alias("empty_texts"))
 
 
+VERSION_BYTES = 1024 * 1024  # bytes of a file that travel in one row
+
+
+def _running_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    digest = hashlib.sha256()
+    for batch in batches:
+        for piece in batch.column("piece"):
+            digest.update(piece.as_buffer())
+    yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], ["digest"])
+
+
 def content_version(spark: SparkSession, path: str) -> DataFrame:
-    """First 12 hex digits of a digest over the configuration files below ``path``.
+    """First 12 hex digits of the digest of all configuration files below ``path``, one after the other in path order.
 
-    Every file is digested where it is read; only the digests, in path order, are digested again.
+    Files are cut into pieces where they are read, and the pieces are sorted by file and place. A digest has to see its bytes
+    in turn, so one task goes through the sorted pieces; it holds one batch of them and the state of the digest.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    entries = F.array_sort(F.collect_list(F.struct("path", F.sha2("content", 256).alias("digest"))))
-    digests = F.array_join(F.transform(entries, lambda f: f["digest"]), "")
-    return files.agg(F.substring(F.sha2(digests, 256), 1, 12).alias("version"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.length("content") - 1, F.lit(0)) / VERSION_BYTES).cast("int"))
+    pieces = files.withColumn("k", F.explode(starts)).select(
+        "path", "k", F.substring("content", F.col("k") * VERSION_BYTES + 1, F.lit(VERSION_BYTES)).alias("piece")
+    )
+    ordered = pieces.repartition(1).sortWithinPartitions("path", "k").select("piece")
+    return ordered.mapInArrow(_running_digest, "digest string").select(F.substring("digest", 1, 12).alias("version"))

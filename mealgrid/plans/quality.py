@@ -401,22 +401,32 @@ def configured_products(config: DataFrame, catalog: Catalog) -> DataFrame:
     )
 
 
-def scenario_checks(catalog: Catalog, held: DataFrame, expected: DataFrame, priority: int) -> DataFrame:
-    """(user_id, recipe_id, check, passed) of configured situations.
+def scenario_checks(
+    catalog: Catalog,
+    held: DataFrame,
+    expected: DataFrame,
+    priority: int,
+    users: DataFrame,
+    named: DataFrame,
+    stocked: DataFrame,
+    below: DataFrame,
+) -> DataFrame:
+    """(user_id, recipe_id, check, off, passed) of configured situations; ``off`` counts what differs.
 
     ``expected`` has one row per (user_id, recipe_id, ingredient_id, product_id): the ingredients
-    that must turn out missing and the product that must fill each.
+    that must turn out missing and the product that must fill each. ``users`` are the known users, ``named`` the recipes
+    (recipe_id, name) as the configuration spells them, ``stocked`` the active products (user_id, product_id) that must be in
+    the fridge, and ``below`` the ingredients (user_id, ingredient_id) that a held child must stand for.
     """
     pair = ["user_id", "recipe_id"]
+    count = F.count(F.lit(1))
+    situations = expected.select(*pair).distinct()
     wanted = expected.select(*pair, "ingredient_id").distinct()
-    needed = (
-        expected.select(*pair)
-        .distinct()
-        .join(catalog.recipe_ingredient.filter("is_required").select("recipe_id", "ingredient_id"), "recipe_id")
-        .join(catalog.ingredient.filter(~F.col("is_pantry")).select("ingredient_id"), "ingredient_id", "left_semi")
+    required = catalog.recipe_ingredient.filter("is_required").select("recipe_id", "ingredient_id")
+    needed = situations.join(required, "recipe_id").join(
+        catalog.ingredient.filter(~F.col("is_pantry")).select("ingredient_id"), "ingredient_id", "left_semi"
     )
     missing = needed.join(held, ["user_id", "ingredient_id"], "left_anti").select(*pair, "ingredient_id")
-    off = set_differences(missing, wanted, [*pair, "ingredient_id"]).groupBy(*pair).agg(F.count(F.lit(1)).alias("off"))
     buyable = (
         catalog.product_ingredient.filter(F.col("role") == fixed.PRIMARY)
         .join(
@@ -427,21 +437,45 @@ def scenario_checks(catalog: Catalog, held: DataFrame, expected: DataFrame, prio
         .select("ingredient_id")
         .distinct()
     )
-    unbuyable = (
-        wanted.join(buyable, "ingredient_id", "left_anti").groupBy(*pair).agg(F.count(F.lit(1)).alias("unbuyable"))
-    )
     designated = catalog.recipe_product.filter(F.col("recommendation_priority") == priority)
-    unranked = (
-        expected.join(designated, ["recipe_id", "product_id"], "left_anti")
-        .groupBy(*pair)
-        .agg(F.count(F.lit(1)).alias("unranked"))
-    )
-    rows = expected.select(*pair).distinct()
-    for part in (off, unbuyable, unranked):
+    active = catalog.user_fridge.join(catalog.product.filter("is_active"), "product_id", "left_semi").select("user_id", "product_id")
+    asked = situations.select("user_id").distinct()
+    n_users = users.groupBy("user_id").agg(count.alias("n_users"))
+    n_recipes = catalog.recipe.groupBy("recipe_id").agg(count.alias("n_recipes"))
+    not_one = lambda c: (F.coalesce(c, F.lit(0)) != 1).cast("int")
+    known = situations.join(n_users, "user_id", "left").join(n_recipes, "recipe_id", "left")
+    spelled = catalog.recipe.select("recipe_id", "name")
+    slots = ["user_id", "product_id"]
+    by_pair = [
+        known.select(*pair, (not_one("n_users") + not_one("n_recipes")).alias("absent")),
+        set_differences(missing, wanted, [*pair, "ingredient_id"]).groupBy(*pair).agg(count.alias("unlike")),
+        wanted.join(buyable, "ingredient_id", "left_anti").groupBy(*pair).agg(count.alias("unbuyable")),
+        expected.join(designated, ["recipe_id", "product_id"], "left_anti").groupBy(*pair).agg(count.alias("unranked")),
+    ]
+    fridge = [rows.join(asked, "user_id", "left_semi").select(*slots) for rows in (active, stocked)]
+    by_user = [
+        set_differences(*fridge, slots).groupBy("user_id").agg(count.alias("unstocked")),
+        below.join(held, ["user_id", "ingredient_id"], "left_anti").groupBy("user_id").agg(count.alias("unreached")),
+    ]
+    parents = catalog.ingredient.filter(F.col("parent_ingredient_id").isNotNull())
+    upper = parents.select(F.col("ingredient_id").alias("parent_ingredient_id"))
+    deep = parents.join(upper, "parent_ingredient_id", "left_semi").count()  # one number for all situations
+    renamed = named.join(spelled, ["recipe_id", "name"], "left_anti").groupBy("recipe_id").agg(count.alias("renamed"))
+    rows = situations.join(renamed, "recipe_id", "left").withColumn("deep", F.lit(deep))
+    for part in by_pair:
         rows = rows.join(part, pair, "left")
-    checks = [("missing as configured", "off"), ("every missing one buyable", "unbuyable"),
-              ("designated priority", "unranked")]
-    entries = [
-        F.struct(F.lit(name).alias("check"), F.coalesce(F.col(c) == 0, F.lit(True)).alias("passed")) for name, c in checks
+    for part in by_user:
+        rows = rows.join(part, "user_id", "left")
+    checks = [
+        ("user and recipe are there once", "absent"),
+        ("recipes named as configured", "renamed"),
+        ("active products in the fridge as configured", "unstocked"),
+        ("held children reach their parents", "unreached"),
+        ("missing as configured", "unlike"),
+        ("every missing one buyable", "unbuyable"),
+        ("designated priority", "unranked"),
+        ("hierarchy of one level", "deep"),
     ]
-    return rows.select(*pair, F.explode(F.array(*entries)).alias("x")).select(*pair, "x.check", "x.passed")
+    entries = [F.struct(F.lit(name).alias("check"), F.coalesce(F.col(c).cast("long"), F.lit(0)).alias("off")) for name, c in checks]
+    told = rows.select(*pair, F.explode(F.array(*entries)).alias("x")).select(*pair, "x.check", "x.off")
+    return told.withColumn("passed", F.col("off") == 0)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -110,3 +111,49 @@ def export_insert_sql(df: DataFrame, table: str, columns: Mapping[str, str], ord
         .groupBy("statement_no")
         .agg(F.concat(F.lit(header), body, F.lit(";")).alias("statement"))
     )
+
+
+@dataclass(frozen=True)
+class ExportTable:
+    """A table to export: its rows, literal kinds of its columns, order of its rows, and the tables its keys refer to."""
+
+    name: str
+    rows: DataFrame
+    columns: Mapping[str, str]
+    order: Sequence[str]
+    references: Sequence[str] = ()
+
+
+def export_order(tables: Sequence[ExportTable]) -> list[ExportTable]:
+    """Tables such that every one follows those it refers to; among the rest the given order stays.
+
+    References to tables that are not exported, and to the table itself, do not count; a circle is an error.
+    """
+    names, out = {t.name for t in tables}, []
+    waiting = list(tables)
+    while waiting:
+        done = {t.name for t in out}
+        ready = [t for t in waiting if all(r in done or r not in names or r == t.name for r in t.references)]
+        if not ready:
+            raise ValueError("tables refer to each other in a circle: " + ", ".join(t.name for t in waiting))
+        out.append(ready[0])
+        waiting.remove(ready[0])
+    return out
+
+
+def export_tables(tables: Sequence[ExportTable]) -> DataFrame:
+    """(statement_no, table, statement) of several tables in one script that can be run from first to last.
+
+    Every table begins with a comment that states its number of rows; statement numbers run on from one table to the next.
+    """
+    script, at = None, 0
+    for t in export_order(tables):
+        count = t.rows.count()
+        spark = t.rows.sparkSession
+        comment = spark.range(1).select(F.lit(at).cast("long").alias("statement_no"), F.lit(f"-- {t.name}: {count} rows").alias("statement"))
+        inserts = export_insert_sql(t.rows, t.name, t.columns, list(t.order))
+        numbered = inserts.select((F.col("statement_no") + at + 1).alias("statement_no"), "statement")
+        part = comment.unionByName(numbered).select("statement_no", F.lit(t.name).alias("table"), "statement")
+        script = part if script is None else script.unionByName(part)
+        at += 1 + -(-count // ROWS_PER_STATEMENT)
+    return script

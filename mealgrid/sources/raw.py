@@ -152,6 +152,21 @@ def dataset_brief(df: DataFrame, order: list[str], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n).withColumns(texts)
 
 
+def dataset_facts(df: DataFrame) -> DataFrame:
+    """(column_no, name, type, row_count, filled): schema of a dataset in order, its size, and how many rows fill each column."""
+    fields = df.schema.fields
+    filled = [F.count(F.col(f"`{f.name}`")).alias(f"f{k}") for k, f in enumerate(fields)]
+    counts = df.agg(F.count(F.lit(1)).alias("n"), *filled)
+    rows = [
+        F.struct(
+            F.lit(k + 1).alias("column_no"), F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"),
+            F.col("n").alias("row_count"), F.col(f"f{k}").alias("filled"),
+        )
+        for k, f in enumerate(fields)
+    ]
+    return counts.select(F.inline(F.array(*rows)))
+
+
 def has_columns(df: DataFrame, required: list[str]) -> bool:
     """Whether a dataset has all columns a loader needs."""
     return set(required) <= set(df.columns)
