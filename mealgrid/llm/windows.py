@@ -42,6 +42,7 @@ WINDOW = 20
 MARK = 3  # words of a minimiser
 BIN_BYTES = 2**20  # text per bin
 BINS = 8  # bins of a group
+TASK_GROUPS = 2  # groups of a task
 HOT, SLACK = 6, 1_000  # a bin is cut that would receive more than HOT times the mean plus SLACK strings
 BLOCK = 2**21  # bytes of text that are combined at once
 PIECE = 2**22  # bytes of a long text that are read at once
@@ -390,7 +391,9 @@ def repeated_ranges(rows: DataFrame, window: int, mark: int) -> DataFrame:
     for part in bits.toLocalIterator():
         hot[part["part"] * 4096 : (part["part"] + 1) * 4096] = np.frombuffer(bytes(part["bits"]), np.uint8)
     sent = rows.mapInArrow(_strings(window, mark, bins, hot), _SENT)
-    return sent.groupBy("group").applyInArrow(_repeated(window), "row long, `from` long, `to` long")
+    # a few groups a task, so that tasks grow in number and not in size
+    dealt = sent.repartition(max(8, bins // (BINS * TASK_GROUPS)), "group")
+    return dealt.groupBy("group").applyInArrow(_repeated(window), "row long, `from` long, `to` long")
 
 
 def _found(docs: DataFrame, doc, id_col: str, text_col: str, window: int, mark: int, keep_text: bool) -> DataFrame:
