@@ -12,8 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mealgrid.core.scratch import durable
-
+PARTS = 64
 _RANK = "__rank"
 
 
@@ -38,14 +37,32 @@ def page(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, sk
     return ranked(df, keys, order, skip + n, _RANK).filter(F.col(_RANK) > skip).drop(_RANK)
 
 
-def page_with_total(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, skip: int, total: str
+def first_with_total(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, total: str, parts: Sequence[str] = (), also: Column | None = None
 ) -> DataFrame:
-    """A page per key plus the number of rows the key had before cutting.
+    """The first ``n`` rows of every key, and those that ``also`` names, plus the number of rows the key had before cutting.
 
-    The total is a partial + final count joined to the (small) page, so no window spans a whole key.
-    Count and page both read the rows, so they are stored once instead of being computed twice.
+    Rows are ranked and counted within (key, part) first; only the first ``n`` of each part and its count go on to the key.
+    ``parts`` names columns that split a key evenly, by which ``df`` may be dealt already; without it rows are dealt by a hash
+    of all of them. Rows are read once and nothing is stored, and a key that owns a large share of them is ``PARTS`` groups.
     """
-    df = durable(df)
-    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(total))
-    return page(df, keys, order, n, skip).join(totals, list(keys), "inner")
+    if not parts:
+        parts = ["__part"]
+        df = df.withColumn("__part", F.pmod(F.xxhash64(*df.columns), F.lit(PARTS)))
+    more = F.lit(False) if also is None else F.coalesce(also, F.lit(False))
+    part, whole = Window.partitionBy(*keys, *parts), Window.partitionBy(*keys)
+    first = (
+        df.withColumn("__n", F.count(F.lit(1)).over(part))
+        .withColumn(_RANK, F.row_number().over(part.orderBy(*order)))
+        .filter((F.col(_RANK) <= n) | more)
+    )
+    counted = first.withColumn(total, F.sum(F.when(F.col(_RANK) == 1, F.col("__n"))).over(whole))
+    placed = counted.withColumn(_RANK, F.row_number().over(whole.orderBy(*order)))
+    return placed.filter((F.col(_RANK) <= n) | more).drop(_RANK, "__n", "__part")
+
+
+def page_with_total(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, skip: int, total: str, parts: Sequence[str] = ()
+) -> DataFrame:
+    """A page per key plus the number of rows the key had before cutting, in one pass over the rows."""
+    return page(first_with_total(df, keys, order, skip + n, total, parts), keys, order, n, skip)

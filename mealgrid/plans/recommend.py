@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from mealgrid.core.catalog import Catalog
 from mealgrid.core.clock import elapsed_days
 from mealgrid.core.nesting import add_page, nested
-from mealgrid.core.ranking import page_with_total, ranked, top_n
+from mealgrid.core.ranking import first_with_total, page, ranked, top_n
 from mealgrid.core.scratch import written
 from mealgrid.operators.filters import (
     is_unexpired,
@@ -28,7 +28,7 @@ from mealgrid.operators.hierarchy import (
     product_ingredients_with_parent,
     with_ancestors,
 )
-from mealgrid.plans.coverage import coverage, ratio, required_lines
+from mealgrid.plans.coverage import coverage, measured_lines, ratio, required_lines
 
 RECIPE_CARD = ["recipe_id", "name", "image_url", "difficulty", "prep_time_min", "cook_time_min", "servings",
                "cooking_method"]
@@ -43,8 +43,8 @@ def owned_by_user(catalog: Catalog, as_of, closure: DataFrame | None = None) ->
 
 def fridge_recipe_match(catalog: Catalog, as_of, min_coverage: float = 0.0, n: int | None = None) -> DataFrame:
     """(user, recipe) by share of required ingredients already at home."""
-    owned, lines = written(owned_by_user(catalog, as_of), "owned"), written(required_lines(catalog), "required")
-    rows = coverage(owned, "user_id", lines, catalog.recipe.select("recipe_id", "cook_time_min"))
+    lines = measured_lines(required_lines(catalog), catalog.recipe.select("recipe_id", "cook_time_min"))
+    rows = coverage(written(owned_by_user(catalog, as_of), "owned"), "user_id", lines).drop("part")
     rows = with_ratio_at_least(rows, "covered_count", "required_count", min_coverage).withColumn(
         "coverage", ratio("covered_count", "required_count")
     )
@@ -65,17 +65,22 @@ def recipe_priority(recipe_product: DataFrame) -> DataFrame:
     )
 
 
+def promoted_lines(catalog: Catalog) -> DataFrame:
+    """Required lines with what ranks their recipes for a user."""
+    recipe = catalog.recipe.select("recipe_id", "cook_time_min").join(
+        recipe_priority(catalog.recipe_product), "recipe_id", "left"
+    )
+    return measured_lines(required_lines(catalog), recipe)
+
+
 def ranked_recipe_matches(
     catalog: Catalog, owned: DataFrame, lines: DataFrame, min_match_rate: float = 0.0, n: int | None = None
 ) -> DataFrame:
     """(user, recipe) counts and rate in promotion order, without names and ingredient lists.
 
-    ``owned`` and ``lines`` are the stored forms of ``owned_by_user`` and ``required_lines``.
+    ``owned`` is the stored form of ``owned_by_user``, ``lines`` what ``promoted_lines`` gives.
     """
-    recipe = catalog.recipe.select("recipe_id", "cook_time_min").join(
-        recipe_priority(catalog.recipe_product), "recipe_id", "left"
-    )
-    rows = coverage(owned, "user_id", lines, recipe)
+    rows = coverage(owned, "user_id", lines).drop("part")
     rows = (
         with_ratio_at_least(rows, "covered_count", "required_count", min_match_rate)
         .withColumn("match_rate", ratio("covered_count", "required_count"))
@@ -104,11 +109,12 @@ def my_recipe_candidates(catalog: Catalog, as_of, min_match_rate: float = 0.0, n
     The ranking runs first, on counts only, and is stored; lists are collected for its rows.
     A pantry staple is listed as pantry even when it is also in the fridge.
     """
-    owned, required = written(owned_by_user(catalog, as_of), "owned"), written(required_lines(catalog), "required")
+    owned, required = written(owned_by_user(catalog, as_of), "owned"), promoted_lines(catalog)
     matches = written(ranked_recipe_matches(catalog, owned, required, min_match_rate, n), "matches")
     names = catalog.ingredient.select("ingredient_id", F.col("name").alias("ingredient_name"))
     order = {"name": F.col("ingredient_name"), "id": F.col("ingredient_id")}
-    lines = add_page(required.join(names, "ingredient_id"), ["recipe_id"], order)
+    shown = required.select("recipe_id", "ingredient_id", "is_pantry").join(matches.select("recipe_id"), "recipe_id", "left_semi")
+    lines = add_page(shown.join(names, "ingredient_id"), ["recipe_id"], order)
     held = owned.withColumn("in_fridge", F.lit(True))
     fields = {"ingredient_id": F.col("ingredient_id"), "name": F.col("ingredient_name")}
     staple, in_fridge = F.col("is_pantry"), F.col("in_fridge").isNotNull()
@@ -145,7 +151,9 @@ def line_status(
     base = filled.select(
         F.col("product_id").alias("base_product_id"), "ingredient_id", F.lit(True).alias("in_base")
     )
-    held = written(owned_by_user(catalog, as_of, closure), "owned").withColumn("in_fridge", F.lit(True))
+    # only holdings of users who ask
+    fridge = catalog.user_fridge.join(requests.select("user_id"), "user_id", "left_semi")
+    held = held_ingredients(fridge, catalog.product_ingredient, catalog.ingredient, as_of, closure).withColumn("in_fridge", F.lit(True))
     status = (
         F.when(F.col("in_base"), "BASE")
         .when(F.col("in_fridge"), "IN_FRIDGE")
@@ -301,29 +309,42 @@ def reorder_candidates(catalog: Catalog, as_of, days: int, n: int | None = None)
     )
 
 
+def owner_classes(owned: DataFrame, owner: str) -> DataFrame:
+    """(owner, class_id): owners of the same ingredients share a class, named by the smallest of them.
+
+    The set of an owner is read as one array, so this is for owners of few ingredients, such as products.
+    """
+    sets = owned.groupBy(owner).agg(F.array_sort(F.collect_set("ingredient_id")).alias("ingredients"))
+    classes = sets.groupBy("ingredients").agg(F.min(owner).alias("class_id"))
+    return sets.join(classes, "ingredients").select(owner, "class_id")
+
+
 def product_recipes(catalog: Catalog, n: int, skip: int = 0) -> DataFrame:
-    """(product, recipe) pages: recipes the product helps to cook, with counts and the total found."""
-    owned = written(product_ingredients_with_parent(catalog.product_ingredient, catalog.ingredient), "owned")
-    lines = written(required_lines(catalog), "required")
-    priority = catalog.recipe_product.groupBy("product_id", "recipe_id").agg(
-        F.max("recommendation_priority").alias("recommendation_priority")
-    )
-    rows = (
-        coverage(owned, "product_id", lines, catalog.recipe.select("recipe_id", "cook_time_min"))
-        .withColumnsRenamed({"required_count": "total_count", "covered_count": "matched_count"})
-        .filter("total_count > 0")
-        .join(priority, ["product_id", "recipe_id"], "left")
-        .withColumn("recommendation_priority", F.coalesce("recommendation_priority", F.lit(0)))
+    """(product, recipe) pages: recipes the product helps to cook, with counts and the total found.
+
+    Products of the same ingredients cover the same recipes, so pairs are made per class of products. What differs is the
+    designation: a product's page comes from the first ``skip + n`` of its class and from its own designated recipes, which is
+    exact while priorities are not negative (checked).
+    """
+    owned = product_ingredients_with_parent(catalog.product_ingredient, catalog.ingredient)
+    classes = written(owner_classes(owned, "product_id"), "classes")
+    first = classes.where("product_id = class_id").select("product_id")
+    held = written(owned.join(first, "product_id", "left_semi").withColumnRenamed("product_id", "class_id"), "owned")
+    negative = F.raise_error(F.lit("negative recommendation priority"))
+    value = F.when(F.col("recommendation_priority") < 0, negative).otherwise(F.col("recommendation_priority"))
+    priority = catalog.recipe_product.groupBy("product_id", "recipe_id").agg(F.max(value.cast("int")).alias("recommendation_priority"))
+    marked = priority.where("recommendation_priority > 0").join(classes, "product_id").select("class_id", "recipe_id").distinct()
+    lines = measured_lines(required_lines(catalog), catalog.recipe.select("recipe_id", "cook_time_min"))
+    rows = coverage(held, "class_id", lines, marked).withColumnsRenamed(
+        {"required_count": "total_count", "covered_count": "matched_count"}
     )
-    order = [
-        F.col("recommendation_priority").desc(),
-        F.col("missing_count").asc(),
-        F.col("cook_time_min").asc_nulls_last(),
-        F.col("recipe_id").asc(),
-    ]
-    shown = page_with_total(rows, ["product_id"], order, n, skip, "total_recipes")
+    general = [F.col("missing_count").asc(), F.col("cook_time_min").asc_nulls_last(), F.col("recipe_id").asc()]
+    few = first_with_total(rows, ["class_id"], general, skip + n, "total_recipes", ["part"], F.col("is_marked"))
+    pairs = few.join(classes, "class_id").join(priority, ["product_id", "recipe_id"], "left")
+    pairs = pairs.withColumn("recommendation_priority", F.coalesce("recommendation_priority", F.lit(0)))
+    shown = page(pairs, ["product_id"], [F.col("recommendation_priority").desc(), *general], n, skip)
     card = catalog.recipe.select(*[c for c in RECIPE_CARD if c != "cook_time_min"])
-    return shown.join(card, "recipe_id")
+    return shown.drop("class_id", "part", "is_marked").join(card, "recipe_id")
 
 
 def my_fridge_items(catalog: Catalog, as_of) -> DataFrame:

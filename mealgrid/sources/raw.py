@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mealgrid.core.scratch import new_folder
 from mealgrid.functions import fixed_values as fixed
+from mealgrid.sources.json_arrays import array_records
 from mealgrid.sources.lines import numbered_lines
 
 SAMPLE_CHARACTERS = 400
@@ -117,8 +119,33 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
 
 
 def read_json_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of JSON files: a top-level array, or the first known key that holds an array of objects."""
-    df = spark.read.option("multiLine", True).json(path)
+    """Records of JSON files: a top-level array, or the first known key that holds an array of objects.
+
+    Arrays are split and read by as many tasks as their size asks for. A file with one object around its records is read
+    by one task.
+    """
+    first = spark.read.option("lineSep", "}").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"), F.regexp_extract("value", r"^[\uFEFF\s]*(.)", 1).alias("c"),
+    )
+    opens = first.where("start = 0").groupBy("file").agg(F.min_by("c", "at").alias("c"))
+    # names of files come to the driver, as for any scan of listed files
+    names = {kind: [r.file for r in opens.where(F.col("c") == kind).collect()] for kind in "[{"}
+    rows = None
+    if names["["]:
+        folder = new_folder(spark, "json-records")
+        array_records(spark, names["["]).select("value").write.text(folder)
+        rows = spark.read.json(folder)
+    if names["{"]:
+        held = _held_records(spark.read.option("multiLine", True).json(names["{"]))
+        rows = held if rows is None else rows.unionByName(held, allowMissingColumns=True)
+    if rows is None:
+        raise ValueError(f"{path}: no JSON array or object")
+    return rows
+
+
+def _held_records(df: DataFrame) -> DataFrame:
+    """Records under the first known key of each document."""
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     holders = [c for c in fixed.RECORD_KEYS if types.get(c, "").startswith("array<struct")]
     if not holders:
@@ -134,9 +161,12 @@ def read_json_records(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def read_csv(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """CSV or TSV with a header, everything as text; a byte order mark in the header is removed."""
-    df = spark.read.csv(path, header=True, sep=separator, encoding="UTF-8", multiLine=True, escape='"')
+def read_csv(spark: SparkSession, path: str, separator: str = ",", line_breaks: bool = True) -> DataFrame:
+    """CSV or TSV with a header, everything as text; a byte order mark in the header is removed.
+
+    Without ``line_breaks`` in quoted values large files are read by many tasks; with them a file is read by one.
+    """
+    df = spark.read.csv(path, header=True, sep=separator, encoding="UTF-8", multiLine=line_breaks, escape='"')
     return df.toDF(*[c.lstrip("﻿") for c in df.columns])
 
 

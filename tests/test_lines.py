@@ -50,3 +50,33 @@ def test_case_files(spark, tmp_path, small_ranges):
     (empty / "none.jsonl").write_text("// nothing\n\n")
     with pytest.raises(ValueError, match="no cases"):
         exchange.read_cases(spark, str(empty), "id STRING")
+
+
+def _records(n):
+    inner = ["plain", 'a "quoted" } text', "back\\slash\\", "{[ open", "]} closed", "é\n한", "\\\\}", '\\"}']
+    return [{"id": k, "text": inner[k % 8] * (k % 4), "deep": {"list": [{"x": "}"}, {"y": [k, "]"]}], "n": None}} for k in range(n)]
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_json_arrays_of_split_files(spark, tmp_path, small_ranges, indent):
+    import json
+
+    from mealgrid.sources.json_arrays import array_records
+
+    want = {"a.json": _records(160), "b.json": _records(1), "c.json": [], "d.json": [{}, {"id": 1}]}
+    for name, rows in want.items():
+        (tmp_path / name).write_text(json.dumps(rows, indent=indent, ensure_ascii=indent is None) + "\n")
+    assert spark.read.text(str(tmp_path), lineSep="}").rdd.getNumPartitions() > 20
+    got = {name: [] for name in want}
+    for r in array_records(spark, str(tmp_path)).collect():
+        got[r.file.rsplit("/")[-1]].append((r.record_no, json.loads(r.value)))
+    assert {name: sorted(rows, key=lambda r: r[0]) for name, rows in got.items()} == {n: list(enumerate(rows, 1)) for n, rows in want.items()}
+
+
+def test_json_records_of_both_shapes(spark, tmp_path, small_ranges):
+    (tmp_path / "a.json").write_text('[{"a": 1}, {"a": 2, "b": "x"}]')
+    (tmp_path / "b.json").write_text('{"fields": [], "records": [{"a": 3}]}')
+    assert sorted(r.a for r in raw.read_json_records(spark, str(tmp_path)).collect()) == [1, 2, 3]
+    (tmp_path / "a.json").write_text('[{"a": 1}, 7, {"a": 2}]')
+    with pytest.raises(Exception, match="records must be JSON objects"):
+        raw.read_json_records(spark, str(tmp_path))

@@ -151,3 +151,60 @@ def test_many_rule_blocks_give_the_same_candidates(spark, catalog, monkeypatch):
     monkeypatch.setattr(bubbles, "RULES_PER_BLOCK", 2)
     assert found() == one_block
     assert len(one_block) > 5
+
+
+def test_rare_lines_first_gives_the_same_pairs(spark):
+    import random
+
+    from mealgrid.plans import coverage
+
+    rng = random.Random(3)
+    # ingredient 0 and 1 are in every fridge and in every recipe
+    owned = [(u, i) for u in range(60) for i in {0, 1, *rng.sample(range(2, 40), 6)}]
+    lines = [(r, i, i % 7 == 0 and i > 0) for r in range(80) for i in {0, 1, *rng.sample(range(2, 40), rng.randrange(0, 7))}]
+    owned = spark.createDataFrame(owned, "user_id long, ingredient_id long")
+    lines = spark.createDataFrame(lines, "recipe_id long, ingredient_id long, is_pantry boolean")
+    measured = coverage.measured_lines(lines, spark.range(80).selectExpr("id AS recipe_id", "id % 9 AS cook_time_min"))
+    for least in (0.0, 0.3, 0.5, 0.8, 1.0):
+        plain = coverage.coverage(owned, "user_id", measured).where(f"covered_count >= required_count * CAST({least} AS DECIMAL(10,6))")
+        want = sorted(tuple(r) for r in plain.collect())
+        found = coverage.coverage_at_least(owned, "user_id", measured, least).select(*plain.columns)
+        assert sorted(tuple(r) for r in found.collect()) == want and want
+
+
+def test_pages_of_designated_recipes(spark):
+    """Products of one class differ in their designations only; pages equal those of all pairs ranked at once."""
+    import random
+    from types import SimpleNamespace
+
+    rng = random.Random(5)
+    links = [(p, p % 6, "PRIMARY") for p in range(30)]
+    recipe_lines = [(r, i, True) for r in range(50) for i in {rng.randrange(9), rng.randrange(9), rng.randrange(9)}]
+    designated = [(rng.randrange(50), 0, p, rng.randrange(5)) for p in range(0, 30, 2) for _ in range(3)]
+    catalog = SimpleNamespace(
+        product_ingredient=spark.createDataFrame(links, "product_id long, ingredient_id long, role string"),
+        ingredient=spark.range(9).selectExpr("id AS ingredient_id", "CASE WHEN id < 3 THEN 6L + id END AS parent_ingredient_id", "id = 5 AS is_pantry"),
+        recipe_product=spark.createDataFrame(designated, "recipe_id long, ingredient_id long, product_id long, recommendation_priority int").distinct(),
+        recipe_ingredient=spark.createDataFrame(recipe_lines, "recipe_id long, ingredient_id long, is_required boolean"),
+        recipe=spark.range(50).selectExpr("id AS recipe_id", "CAST(nullif(id % 4, 0) AS INT) AS cook_time_min", "'n' AS name", "'' AS image_url",
+                                          "'' AS difficulty", "1 AS prep_time_min", "2 AS servings", "'' AS cooking_method"),
+    )
+    got = {}
+    for r in recommend.product_recipes(catalog, n=4, skip=1).collect():
+        got.setdefault(r.product_id, []).append((r.recipe_id, r.matched_count, r.missing_count, r.total_recipes))
+    best = {}
+    for r, _, p, x in designated:
+        best[p, r] = max(best.get((p, r), 0), x)
+    needs = {}
+    for r, i, _ in recipe_lines:
+        needs.setdefault(r, set()).add(i)
+    for p in range(30):
+        own = {p % 6} | ({6 + p % 6} if p % 6 < 3 else set())
+        rows = []
+        for r, lines in needs.items():
+            if lines & own:
+                missing = len([i for i in lines if i not in own and i != 5])
+                cook = r % 4 or 99
+                rows.append((-best.get((p, r), 0), missing, cook, r, len(lines) - missing))
+        page = [(r, matched, missing, len(rows)) for _, missing, _, r, matched in sorted(rows)[1:5]]
+        assert sorted(got.get(p, [])) == sorted(page)
