@@ -67,24 +67,22 @@ def test_passage_cases(spark, monkeypatch, hot):
 
 
 def brute_lines(rows):
-    """rows: (id, text) in any order -> id: (n_lines, n_removed, digest); ids are distinct."""
+    """rows: (id, text) in any order -> id: (n_lines, n_removed, digest); ids are distinct.
+
+    A line goes when its words are similar to those of any earlier line.
+    """
     seen, owners, out = [], {}, {}
     for i, text in sorted(rows, key=lambda r: r[0]):
         lines = (text or "").split("\n")
         kept = []
         for line in lines:
-            words = WORD.findall(line)
-            mine = set(zip(words, words[1:]))
-            if len(mine) < 5:
-                kept.append(line)
-                continue
-            hits = {}
+            mine, hits = frozenset(WORD.findall(line)), {}
             for t in mine:
                 for k in owners.get(t, ()):
                     hits[k] = hits.get(k, 0) + 1
             if not any(180 * c >= 80 * (len(mine) + len(seen[k])) for k, c in hits.items()):
                 kept.append(line)
-            if mine not in (seen[k] for k in hits):
+            if not any(c == len(mine) == len(seen[k]) for k, c in hits.items()):
                 for t in mine:
                     owners.setdefault(t, []).append(len(seen))
                 seen.append(mine)
@@ -100,7 +98,9 @@ def test_lines_of_whole_table(spark):
     assert any(w[1] for w in want.values())
 
 
-def test_line_cases(spark):
+@pytest.mark.parametrize("long", [3, 200])
+def test_line_cases(spark, monkeypatch, long):
+    monkeypatch.setattr(line_dedup, "LONG", long)
     rng = random.Random(3)
     words = [f"w{k}" for k in range(400)]
     base = [rng.choice(words) for _ in range(30)]
@@ -117,5 +117,5 @@ def test_line_cases(spark):
     twice = line_dedup.remove_lines(docs.union(docs)).collect()
     assert {r.doc.doc_id: (r.n_lines, r.n_removed, sha(r.doc.text or "")) for r in twice} == want and len(twice) == 2 * len(rows)
     unnamed = spark.createDataFrame([(None, rows[0][1]), (1, rows[0][1])], "doc_id long, text string")
-    assert {r.doc.doc_id: r.n_removed for r in line_dedup.remove_lines(unnamed).collect()} == {None: 1, 1: 3}
+    assert {r.doc.doc_id: r.n_removed for r in line_dedup.remove_lines(unnamed).collect()} == {None: 1, 1: 4}
     assert line_dedup.remove_lines(docs.limit(0)).count() == 0
