@@ -204,3 +204,8 @@ PRODUCT_HINTS = r"(사|살|구매|가격|배송|얼마|주문|장바구니|재
 INGREDIENT_HINTS = r"(보관|손질|대체|영양|칼로리|알레르기|유통기한)"
 TOP_K = 5
 SCORE_FLOOR = 0.25
+
+# access log: form of an accepted request id, paths that are not counted, latency bucket bounds in seconds
+REQUEST_ID = r"^[0-9A-Za-z._-]{8,64}$"
+SKIPPED_PATHS = ("/health", "/health/db", "/metrics")
+LATENCY_BOUNDS = (0.1, 0.5, 1.0)

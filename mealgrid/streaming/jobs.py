@@ -10,15 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from mealgrid.functions import fixed_values as fixed
 from mealgrid.plans.loading import add_deliveries, delivery_outcomes, record_views
 from mealgrid.streaming.state import VersionedTable, each_batch
 
 WINDOW_SECONDS = 60
 STEP_SECONDS = 10
-REQUEST_ID = r"^[0-9A-Za-z._-]{8,64}$"
-SKIPPED_PATHS = ("/health", "/health/db", "/metrics")
-# fixed latency bucket bounds in seconds
-LATENCY_BOUNDS = (0.1, 0.5, 1.0)
 
 
 def run_to_end(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None], mode: str = "append"):
@@ -217,23 +214,23 @@ def access_metrics(log: DataFrame, ts: str, delay: str, width: str) -> DataFrame
     Probes, scrapes, untemplated routes (NULL) and redirects to a slash are not counted.
     """
     route = F.col("route")
-    counted = log.filter(route.isNotNull() & ~route.isin(*SKIPPED_PATHS) & ~route.rlike("^/.+/$"))
+    counted = log.filter(route.isNotNull() & ~route.isin(*fixed.SKIPPED_PATHS) & ~route.rlike("^/.+/$"))
     seconds = F.col("duration_ms") / F.lit(1000.0)
     buckets = [
-        F.count_if(seconds <= bound).alias("le_" + str(bound).replace(".", "_")) for bound in LATENCY_BOUNDS
+        F.count_if(seconds <= bound).alias("le_" + str(bound).replace(".", "_")) for bound in fixed.LATENCY_BOUNDS
     ]
     return (
         counted.withWatermark(ts, delay)
         .groupBy(F.window(ts, width).alias("w"), "route", "status")
         .agg(F.count(F.lit(1)).alias("requests"), F.sum("duration_ms").alias("duration_ms"), *buckets)
         .select(F.col("w.start").alias("window_start"), "route", "status", "requests", "duration_ms",
-                *["le_" + str(b).replace(".", "_") for b in LATENCY_BOUNDS])
+                *["le_" + str(b).replace(".", "_") for b in fixed.LATENCY_BOUNDS])
     )
 
 
 def request_id(incoming: Column, fallback: Column) -> Column:
     """The incoming id when it has an accepted form, else 16 hex digits made from ``fallback``."""
-    accepted = F.coalesce(incoming.rlike(REQUEST_ID), F.lit(False))
+    accepted = F.coalesce(incoming.rlike(fixed.REQUEST_ID), F.lit(False))
     return F.when(accepted, incoming).otherwise(F.substring(F.sha2(fallback, 256), 1, 16))
 
 
