@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entries.binding import AS_OF, bind, table, view
+from entries.binding import AS_OF, SCHEMAS, TABLES, bind, table, view
 from entries.registry import Registry, joined
 from mealgrid.core.scratch import durable
+from mealgrid.functions import fixed_values as fixed
 from mealgrid.functions.reasons import case_fingerprint
 from mealgrid.plans import bubbles, quality, recommend
 
@@ -15,15 +16,38 @@ QUERIES, ORACLES = register.queries, register.oracles
 
 
 
+# derived tables that share columns with given ones or copy one
+DERIVED = {
+    "part_copy": "SELECT * FROM {part}",
+    "part_half": "SELECT p_name, p_type AS half_type FROM {part} WHERE p_size > 20",
+    "customer_card": "SELECT c_name, c_mktsegment AS segment FROM {customer}",
+    "slots": """SELECT concat('s', o_orderkey) AS slot_id,
+        CASE o_orderstatus WHEN 'O' THEN 'pantry' WHEN 'F' THEN 'freeze' ELSE 'dop_freeze' END AS slot FROM {orders}""",
+}
+DERIVED_COLUMNS = {"part_half": ["p_name", "half_type"], "customer_card": ["c_name", "segment"], "slots": ["slot_id", "slot"]}
+
+
 def _datasets(spark, sf):
-    """Given tables and derived ones that share columns or copy a table."""
-    found = {n: table(spark, sf, n) for n in ("nation", "customer", "part", "labels")}
-    found["part_copy"] = found["part"]
-    found["part_half"] = found["part"].filter("p_size > 20").selectExpr("p_name", "p_type AS half_type")
-    found["customer_card"] = found["customer"].selectExpr("c_name", "c_mktsegment AS segment")
-    found["slots"] = view(spark, sf, """SELECT CAST(o_orderkey AS STRING) AS slot_id,
-        CASE o_orderstatus WHEN 'O' THEN 'pantry' WHEN 'F' THEN 'freeze' ELSE 'dop_freeze' END AS slot FROM {orders}""")
-    return found
+    """All given tables and the derived ones."""
+    return {n: table(spark, sf, n) for n in TABLES} | {n: view(spark, sf, text) for n, text in DERIVED.items()}
+
+
+def _described() -> str:
+    """DuckDB tables ``described`` (name, columns, row_count) and ``cells`` (dataset, "column", value) of all datasets."""
+    columns = {n: [c.split()[0] for c in ddl.split(", ")] for n, ddl in SCHEMAS.items()}
+    columns |= {"part_copy": columns["part"], **DERIVED_COLUMNS}
+    source = {n: n for n in TABLES} | {n: "(" + text.format(part="part", customer="customer", orders="orders") + ")" for n, text in DERIVED.items()}
+    described = [f"SELECT '{n}' AS name, {sorted(columns[n])} AS columns, count(*) AS row_count FROM {source[n]}" for n in columns]
+    cells = [
+        f"""SELECT DISTINCT '{n}' AS dataset, '{c}' AS "column", CAST({c} AS VARCHAR) AS value FROM {source[n]} WHERE trim(CAST({c} AS VARCHAR)) <> ''"""
+        for n in columns for c in columns[n]
+    ]
+    return f"described AS ({' UNION ALL '.join(described)}), cells AS ({' UNION ALL '.join(cells)})"
+
+
+DESCRIBED = _described()
+SIZES_SQL = """sizes AS (SELECT dataset, "column", bool_and(regexp_matches(value, '^-*\\d+$')) AS is_surrogate, count(*) AS n FROM cells GROUP BY 1, 2)"""
+COPIES_SQL = """copies AS (SELECT min(name) OVER g AS copy_group, name, count(*) OVER g AS k FROM described WINDOW g AS (PARTITION BY columns, row_count))"""
 
 
 def _metadata(spark, sf):
@@ -36,38 +60,34 @@ def _metadata(spark, sf):
     return result
 
 
-@register("duplicate_datasets", "SELECT 'part' AS copy_group, unnest(['part', 'part_copy']) AS name")
+@register("duplicate_datasets", f"WITH {DESCRIBED}, {COPIES_SQL} SELECT copy_group, name FROM copies WHERE k > 1")
 def duplicate_datasets(spark, sf):
     return quality.duplicate_datasets(_metadata(spark, sf))
 
 
-@register(
-    "surrogate_columns",
-    r"""SELECT 'customer' AS dataset, 'c_custkey' AS "column", bool_and(regexp_matches(CAST(c_custkey AS VARCHAR), '^-*\d+$')) AS is_surrogate, count(DISTINCT c_custkey) AS n FROM customer
-UNION ALL SELECT 'customer', 'c_name', bool_and(regexp_matches(c_name, '^-*\d+$')), count(DISTINCT c_name) FROM customer
-UNION ALL SELECT 'customer', 'c_nationkey', true, count(DISTINCT c_nationkey) FROM customer
-UNION ALL SELECT 'customer', 'c_acctbal', false, count(DISTINCT c_acctbal) FROM customer
-UNION ALL SELECT 'customer', 'c_mktsegment', false, count(DISTINCT c_mktsegment) FROM customer
-UNION ALL SELECT 'labels', 'doc_id', true, count(DISTINCT doc_id) FROM labels
-UNION ALL SELECT 'labels', 'quality', true, count(DISTINCT quality) FROM labels
-UNION ALL SELECT 'labels', 'toxic', true, count(DISTINCT toxic) FROM labels""",
-)
+@register("surrogate_columns", f"WITH {DESCRIBED}, {SIZES_SQL} SELECT * FROM sizes")
 def surrogate_columns(spark, sf):
-    chosen = {n: table(spark, sf, n) for n in ("customer", "labels")}
-    return quality.surrogate_columns(quality.distinct_values(chosen))
+    return quality.surrogate_columns(quality.distinct_values(_datasets(spark, sf)))
 
 
 @register(
     "companion_datasets",
-    """SELECT 'customer' AS "left", 'customer_card' AS "right" UNION ALL
-SELECT "left", "right" FROM (SELECT 'part' AS "left", 'part_half' AS "right" UNION ALL SELECT 'part_copy', 'part_half')
-WHERE (SELECT count(DISTINCT p_name) FROM part WHERE p_size > 20) >= 0.8 * least((SELECT count(DISTINCT p_name) FROM part), (SELECT count(DISTINCT p_name) FROM part WHERE p_size > 20))""",
+    f"""WITH {DESCRIBED}, {SIZES_SQL}, {COPIES_SQL},
+useful AS (SELECT cells.* FROM cells JOIN sizes USING (dataset, "column") WHERE NOT is_surrogate),
+shared AS (SELECT a."column", a.dataset AS "left", b.dataset AS "right", count(*) AS n FROM useful a JOIN useful b
+  ON a."column" = b."column" AND a.value = b.value AND a.dataset < b.dataset GROUP BY 1, 2, 3)
+SELECT DISTINCT "left", "right" FROM shared s JOIN sizes x ON x.dataset = "left" AND x."column" = s."column" JOIN sizes y ON y.dataset = "right" AND y."column" = s."column"
+JOIN copies c ON c.name = "left" JOIN copies d ON d.name = "right" WHERE s.n >= 0.8 * least(x.n, y.n) AND c.copy_group <> d.copy_group""",
 )
 def companion_datasets(spark, sf):
     return quality.companion_datasets(quality.distinct_values(_datasets(spark, sf)), _metadata(spark, sf))
 
 
-@register("slot_columns", """SELECT 'slots' AS dataset, 'slot' AS "column" FROM orders LIMIT 1""")
+@register(
+    "slot_columns",
+    f"""WITH {DESCRIBED} SELECT dataset, min("column") AS "column" FROM (
+  SELECT dataset, "column" FROM cells GROUP BY 1, 2 HAVING bool_and(value IN {tuple(fixed.STORAGE_SLOTS)})) GROUP BY 1""",
+)
 def slot_columns(spark, sf):
     return quality.slot_columns(quality.distinct_values(_datasets(spark, sf)))
 

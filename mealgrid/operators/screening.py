@@ -7,6 +7,7 @@ Input rows: card_id, request_id, recipe, have, missing, pantry (name arrays), co
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,35 +47,38 @@ def _word(name: Column) -> Column:
     return F.concat(F.lit(fixed.NOT_AFTER_HANGUL), quoted_regex(name))
 
 
-def mentions(text: Column, name: Column, verbs: str) -> Column:
-    """The name, an optional particle, then one of the verbs."""
-    tail = fixed.PARTICLES + unicode_pattern(r"\s*") + verbs
+def says(text: Column, name: Column, tail: str = "") -> Column:
+    """The text has the name at the start of a word, followed by ``tail`` (a pattern)."""
     return F.contains(text, name) & F.rlike(text, F.concat(_word(name), F.lit(tail)))
 
 
-def appears_as_ingredient(word: Column, text: Column) -> Column:
-    """The word starts somewhere in the text, other meanings of ambiguous words set aside."""
-    cleaned = text
-    for ambiguous, pattern in fixed.AMBIGUOUS_WORDS.items():
-        cleaned = F.when(
-            word == ambiguous, F.regexp_replace(text, unicode_pattern(pattern), " ")
-        ).otherwise(cleaned)
-    said = F.contains(text, word) & F.rlike(text, _word(word))
-    ambiguous = word.isin(*fixed.AMBIGUOUS_WORDS)
-    return said & (~ambiguous | F.rlike(cleaned, _word(word)))
+def claims(text: Column, name: Column, verbs: str, gap: str = r"\s*") -> Column:
+    """The name, an optional particle, a gap, then one of the verbs."""
+    return says(text, name, fixed.PARTICLES + unicode_pattern(gap) + verbs)
 
 
-def part_of_known(word: Column, known: Column) -> Column:
-    """The word is only a piece of a longer known name."""
-    return F.exists(known, lambda n: (n != word) & F.contains(n, word))
+def out_of_place(words: Column, spare_title: bool = True) -> Column:
+    """Those of ``words`` that a text uses as an ingredient of its own.
 
+    Not counted: pieces of a longer known name, other meanings of ambiguous words, and, to ``spare_title``, words of the
+    recipe title of which the text does not say that they are there, lacking or to be bought.
+    """
+    known, scan, recipe = F.col("known"), F.col("scan"), F.col("recipe")
+    near = "[^.!?。？！\n]{0,10}"
+
+    def is_meant(word: Column) -> Column:
+        other_meaning = reduce(
+            lambda rest, entry: F.when(word == entry[0], ~says(F.regexp_replace(scan, unicode_pattern(entry[1]), " "), word)).otherwise(rest),
+            fixed.AMBIGUOUS_WORDS.items(),
+            F.lit(False),
+        )
+        spoken_of = [claims(scan, word, verbs, near) for verbs in (fixed.HAS_WORDS, fixed.LACKS_WORDS, fixed.BUY_WORDS)]
+        in_title = F.contains(recipe, word) & ~reduce(Column.__or__, spoken_of)
+        in_longer = F.exists(known, lambda n: (n != word) & F.contains(n, word))
+        meant = says(scan, word) & ~in_longer & ~other_meaning
+        return meant & ~in_title if spare_title else meant
 
-def title_context_only(word: Column, recipe: Column, text: Column) -> Column:
-    """A word of the recipe title, used without saying it is there, lacking or to be bought."""
-    gap = fixed.PARTICLES + "[^.!?。？！\n]{0,10}"
-    claims = [F.rlike(text, F.concat(_word(word), F.lit(gap + verbs))) for verbs in
-              (fixed.HAS_WORDS, fixed.LACKS_WORDS, fixed.BUY_WORDS)]
-    return F.contains(recipe, word) & ~reduce(lambda a, b: a | b, claims)
+    return F.array_sort(F.filter(words, is_meant))
 
 
 def name_aliases(name: Column) -> Column:
@@ -188,86 +192,64 @@ def prepared(cards: DataFrame, words: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- rules: NULL when passed, else the detail
 
 
-def _misplaced(words: Column) -> Column:
-    known, scan, recipe = F.col("known"), F.col("scan"), F.col("recipe")
-    return F.array_sort(
-        F.filter(
-            words,
-            lambda w: ~part_of_known(w, known)
-            & appears_as_ingredient(w, scan)
-            & ~title_context_only(w, recipe, scan),
-        )
-    )
-
-
 def _listed(bad: Column, separator: str = ", ") -> Column:
     return F.nullif(F.array_join(bad, separator), F.lit(""))
 
 
-def _found(text: Column, pattern: str, ignore_case: bool = False) -> Column:
-    flags = "(?i)" if ignore_case else ""
-    return F.nullif(F.regexp_extract(text, flags + unicode_pattern(pattern), 0), F.lit(""))
+class Pattern(NamedTuple):
+    """A rule that a text must not match a pattern; the match is the detail."""
 
+    scope: str
+    pattern: str
+    ignore_case: bool = False
+    only_without: str | None = None  # a column that allows it by being there
 
-def other_card_ingredients() -> Column:
-    """1: an ingredient of another card of the request."""
-    return _listed(_misplaced(F.col("foreign")))
+    def detail(self) -> Column:
+        flags = "(?i)" if self.ignore_case else ""
+        match = F.nullif(F.regexp_extract(self.scope, flags + unicode_pattern(self.pattern), 0), F.lit(""))
+        return match if self.only_without is None else F.when(F.col(self.only_without).isNull(), match)
 
 
-def invented_ingredients() -> Column:
-    """2: a vocabulary word that is in no card of the request."""
-    return _listed(_misplaced(F.array_except(F.array_except("words", "known"), "foreign")))
+class Claims(NamedTuple):
+    """A rule that a text must not claim something of some names: pairs of names and verbs."""
+
+    wrong: tuple[tuple[str, str], ...]
 
+    def detail(self) -> Column:
+        return _listed(F.concat(*[self._claimed(*entry) for entry in self.wrong]))
 
-def flipped_state() -> Column:
-    """3: a missing ingredient said to be there, or one at hand said to be lacking."""
-    scan = F.col("scan")
-    there = F.filter("absent", lambda n: mentions(scan, n, fixed.HAS_WORDS))
-    lacking = F.filter("have", lambda n: mentions(scan, n, fixed.LACKS_WORDS))
-    return _listed(F.concat(there, lacking))
+    def _claimed(self, names: str, verbs: str) -> Column:
+        return F.filter(names, lambda n: claims(F.col("scan"), n, verbs))
 
 
-def pantry_purchase() -> Column:
-    """4: a pantry staple to be bought."""
-    scan = F.col("scan")
-    return _listed(F.filter("pantry", lambda n: mentions(scan, n, fixed.BUY_WORDS)))
+class Length(NamedTuple):
+    """A rule on the number of characters of a text that is not empty."""
 
+    least: int = 0
+    most: int | None = None
 
-def invented_cook_time() -> Column:
-    """5: a duration although the cooking time is unknown."""
-    return F.when(F.col("cook_time").isNull(), _found(F.col("reason"), fixed.TIME_MENTION))
+    def detail(self) -> Column:
+        n = F.length("reason")
+        bad = n < self.least if self.most is None else n > self.most
+        return F.when(bad & (F.lit(self.most is not None) | ~_is_empty()), F.concat(n.cast("string"), F.lit("자")))
 
 
-def health_claim() -> Column:
-    """6: nutrition or health."""
-    return _found(F.col("scan"), fixed.HEALTH_CLAIM, ignore_case=True)
+def other_card_ingredients() -> Column:
+    """An ingredient of another card of the request."""
+    return _listed(out_of_place(F.col("foreign")))
 
 
-def repeated_numbers() -> Column:
-    """7: ratios, counts or percentages."""
-    return _found(F.col("reason"), fixed.RATIO_OR_COUNT)
+def invented_ingredients() -> Column:
+    """A vocabulary word that is in no card of the request."""
+    return _listed(out_of_place(F.array_except(F.array_except("words", "known"), "foreign")))
 
 
 def _is_empty() -> Column:
     return stripped(F.col("reason")) == ""
 
 
-def _characters(bad: Column) -> Column:
-    return F.when(bad, F.concat(F.length("reason").cast("string"), F.lit("자")))
-
-
-def too_long() -> Column:
-    """8a: over the length limit."""
-    return _characters(F.length("reason") > fixed.MAX_TEXT)
-
-
-def too_short() -> Column:
-    """8b: under the minimum length (an empty text is rule 9)."""
-    return _characters(~_is_empty() & (F.length("reason") < fixed.MIN_TEXT))
-
-
 def empty_text() -> Column:
-    """9: nothing but white space."""
+    """Nothing but white space."""
     return F.when(_is_empty(), F.lit(""))
 
 
@@ -335,32 +317,27 @@ def foreign_tokens() -> Column:
     return _listed(F.array_sort(F.filter(used, lambda t: ~F.array_contains(allowed, F.lower(t)))))
 
 
-def planted_link() -> Column:
-    """13: a link."""
-    return _found(F.col("reason"), fixed.LINK, ignore_case=True)
-
-
-def food_smear() -> Column:
-    """14: food said to be spoiled."""
-    return _found(F.col("reason"), fixed.FOOD_SMEAR)
-
+FLIPPED = Claims((("absent", fixed.HAS_WORDS), ("have", fixed.LACKS_WORDS)))
+STAPLES_BOUGHT = Claims((("pantry", fixed.BUY_WORDS),))
+INVENTED_TIME = Pattern("reason", fixed.TIME_MENTION, only_without="cook_time")
 
+#: Name of each rule, in order, and what finds its fault: null when there is none, else the detail.
 RULES = {
     "다른카드_재료혼입": other_card_ingredients,
     "환각_재료": invented_ingredients,
-    "보유_뒤집힘": flipped_state,
-    "상비재료_구매유도": pantry_purchase,
-    "조리시간_지어냄": invented_cook_time,
-    "근거_없는_영양건강주장": health_claim,
-    "숫자_반복": repeated_numbers,
-    "길이초과": too_long,
-    "길이미달": too_short,
+    "보유_뒤집힘": FLIPPED.detail,
+    "상비재료_구매유도": STAPLES_BOUGHT.detail,
+    "조리시간_지어냄": INVENTED_TIME.detail,
+    "근거_없는_영양건강주장": Pattern("scan", fixed.HEALTH_CLAIM, ignore_case=True).detail,
+    "숫자_반복": Pattern("reason", fixed.RATIO_OR_COUNT).detail,
+    "길이초과": Length(most=fixed.MAX_TEXT).detail,
+    "길이미달": Length(least=fixed.MIN_TEXT).detail,
     "빈_문구": empty_text,
     "출력_형식오류": malformed,
     "문장_역할": sentence_roles,
     "입력에_없는_영문숫자": foreign_tokens,
-    "링크_삽입": planted_link,
-    "음식안전_비방": food_smear,
+    "링크_삽입": Pattern("reason", fixed.LINK, ignore_case=True).detail,
+    "음식안전_비방": Pattern("reason", fixed.FOOD_SMEAR).detail,
 }
 
 
@@ -405,16 +382,12 @@ def experiment_checked(cards: DataFrame, words: DataFrame) -> DataFrame:
         .withColumn("words", F.concat(F.coalesce("words", _none()), F.coalesce(one, _none())))
         .withColumn("scan", without_title(F.col("reason"), F.col("recipe"), F.col("known")))
     )
-    known, scan = F.col("known"), F.col("scan")
-    intruders = F.filter(
-        F.array_except("words", "known"), lambda w: ~part_of_known(w, known) & appears_as_ingredient(w, scan)
-    )
     findings = {
-        "환각_재료": _listed(intruders),
-        "보유_뒤집힘": flipped_state(),
-        "상비재료_구매유도": pantry_purchase(),
-        "조리시간_지어냄": invented_cook_time(),
-        "길이초과": _characters(F.length("reason") > fixed.EXPERIMENT_MAX_TEXT),
+        "환각_재료": _listed(out_of_place(F.array_except("words", "known"), spare_title=False)),
+        "보유_뒤집힘": FLIPPED.detail(),
+        "상비재료_구매유도": STAPLES_BOUGHT.detail(),
+        "조리시간_지어냄": INVENTED_TIME.detail(),
+        "길이초과": Length(most=fixed.EXPERIMENT_MAX_TEXT).detail(),
         "빈_문구": empty_text(),
     }
     failed = F.array_compact(F.array(*[F.when(f.isNotNull(), F.lit(name)) for name, f in findings.items()]))

@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mealgrid.core.ranking import ranked
+from mealgrid.core.scratch import written
 from mealgrid.functions import fixed_values as fixed
 
 COSINE, L2, INNER = "cosine", "l2", "inner_product"
 SMALL_QUERIES = 2_048
 BLOCK_DOCS = 20_000
+CELLS_PER_BLOCK, MOST_CELLS = 4, 1_024
 _FOUND = "query_id bigint, doc_id bigint, distance double"
 
 
@@ -83,13 +85,94 @@ def _against_few(queries: DataFrame, docs: DataFrame, k: int, metric: str) -> Da
     return docs.mapInPandas(scan, _FOUND)
 
 
-def _in_blocks(queries: DataFrame, docs: DataFrame, k: int, metric: str, n_queries: int, small: int, block: int):
-    query_blocks = -(-n_queries // small)
-    doc_blocks = max(1, -(-docs.count() // block))
+class _Cells:
+    """Documents dealt to the nearest of some pivots, and what each cell promises a query without being read.
 
-    def spread(df: DataFrame, own: str, n_own: int, other: str, n_other: int, key: str) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
+    With ``gap`` the length of (document - pivot), the distance of a query to a document differs from its distance to the pivot
+    by at most ``slack * gap``: the triangle inequality for l2 (slack 1), and Cauchy-Schwarz for the products, where the slack is
+    the length of the query. Vectors are brought to length 1 first for the cosine.
+    """
+
+    def __init__(self, pivots: np.ndarray, metric: str):
+        self.pivots, self.metric = pivots, metric
+        self.radius = self.nearest = None
+
+    def unit(self, rows: np.ndarray) -> np.ndarray:
+        if self.metric != COSINE:
+            return rows
+        with np.errstate(all="ignore"):
+            return rows / np.linalg.norm(rows, axis=1)[:, None]
+
+    def place(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, gap) of each document; where no gap can be told it is infinite."""
+        docs = self.unit(docs)
+        gaps = np.stack([np.linalg.norm(docs - pivot, axis=1) for pivot in self.pivots], axis=1)
+        gaps[~np.isfinite(gaps)] = np.inf
+        cell = gaps.argmin(axis=1)
+        return cell, gaps[np.arange(len(docs)), cell]
+
+    def summarise(self, rows, k: int) -> None:
+        """Takes (cell, rank, gap, radius): the ``k`` smallest gaps of each cell and its largest."""
+        self.radius = np.full(len(self.pivots), -np.inf)
+        self.nearest = np.full((len(self.pivots), k), np.inf)
+        for cell, rank, gap, radius in rows:
+            self.nearest[cell, rank - 1], self.radius[cell] = gap, radius
+
+    def wanted(self, query: np.ndarray) -> np.ndarray:
+        """Cells that may hold one of the ``k`` nearest documents of a query."""
+        query = self.unit(query[None, :])[0]
+        slack = 1.0 if self.metric == L2 else float(np.linalg.norm(query))
+        base = np.linalg.norm(self.pivots - query, axis=1) if self.metric == L2 else -(self.pivots @ query)
+        with np.errstate(all="ignore"):
+            at_most = np.sort((base[:, None] + slack * self.nearest).ravel())[self.nearest.shape[1] - 1]
+            at_least = base - slack * self.radius
+        # rounding must not lose a document, and what cannot be told is looked at
+        margin = 1e-9 * (1.0 + np.abs(base) + slack)
+        return np.flatnonzero((self.radius > -np.inf) & ~(at_least - margin > at_most))
+
+
+def _in_cells(queries: DataFrame, docs: DataFrame, k: int, metric: str, small: int, block: int) -> DataFrame:
+    """Every document travels to its cell once; a query goes only to cells that may hold one of its ``k`` nearest."""
+    n_docs = docs.count()
+    n_cells = max(1, min(MOST_CELLS, CELLS_PER_BLOCK * -(-n_docs // block)))
+    # pivots only decide how much is pruned: any documents will do, and their number is bounded
+    drawn = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_cells).toPandas()
+    empty = queries.select("query_id", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("double").alias("distance")).where("false")
+    if not len(drawn):
+        return empty
+    pivots = _Cells(np.zeros((0, 0)), metric).unit(_matrix(drawn["embedding"]))
+    cells = _Cells(pivots[np.isfinite(pivots).all(axis=1)], metric)
+    if not len(cells.pivots):
+        cells.pivots = np.zeros((1, pivots.shape[1]))
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                cell, gap = cells.place(_matrix(batch["embedding"]))
+                yield batch.assign(cell=cell.astype(np.int32), gap=gap)
+
+    dealt = written(docs.mapInPandas(placed, f"{_ddl(docs)}, cell int, gap double"), "placed-vectors")
+    sizes = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius"))
+    sizes = {r.cell: (r.n, r.radius) for r in sizes.collect()}  # one row per cell
+    near = ranked(dealt.select("cell", "gap", "doc_id"), ["cell"], [F.col("gap").asc(), F.col("doc_id").asc()], k, "rank")
+    cells.summarise([(r.cell, r["rank"], r.gap, sizes[r.cell][1]) for r in near.collect()], k)  # k rows per cell
+
+    def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [cells.wanted(v) for v in _matrix(batch["embedding"])] if len(batch) else []
+            rows = batch.loc[batch.index.repeat([len(f) for f in found])] if found else batch
+            yield rows.assign(cell=np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32))
+
+    asked = written(queries.mapInPandas(sent, f"{_ddl(queries)}, cell int"), "sent-queries")
+    asking = {r.cell: r["count"] for r in asked.groupBy("cell").count().collect()}
+    # a cell is cut into parts of at most ``block`` documents and ``small`` queries
+    doc_parts = {c: -(-n // block) for c, (n, _) in sizes.items()}
+    query_parts = {c: -(-n // small) for c, n in asking.items()}
+
+    def cut(df: DataFrame, own: dict, mine: str, other: dict, theirs: str, key: str) -> DataFrame:
+        count = lambda parts: F.get(F.array(*[F.lit(parts.get(c, 1)) for c in range(len(cells.pivots))]), F.col("cell"))
+        return df.withColumn(mine, F.pmod(F.xxhash64(key), count(own)).cast("int")).withColumn(
+            theirs, F.explode(F.sequence(F.lit(0), count(other) - 1))
         )
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -100,11 +183,16 @@ def _in_blocks(queries: DataFrame, docs: DataFrame, k: int, metric: str, n_queri
             _matrix(right["embedding"]), k, metric,
         )
 
-    q = spread(queries, "qb", query_blocks, "db", doc_blocks, "query_id").groupBy("qb", "db")
-    d = spread(docs, "db", doc_blocks, "qb", query_blocks, "doc_id").groupBy("qb", "db")
+    keys = ["cell", "qb", "db"]
+    q = cut(asked, query_parts, "qb", doc_parts, "db", "query_id").groupBy(*keys)
+    d = cut(dealt.drop("gap"), doc_parts, "db", query_parts, "qb", "doc_id").groupBy(*keys)
     return q.cogroup(d).applyInPandas(meet, _FOUND)
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in df.dtypes)
+
+
 def vector_topk(
     queries: DataFrame,
     docs: DataFrame,
@@ -118,8 +206,8 @@ def vector_topk(
 
     ``queries`` has (query_id, embedding), ``docs`` (doc_id, embedding); rows without a vector are
     skipped. Up to ``small`` queries (counted first) are sent to every task and the documents are
-    read once. Beyond that queries and documents are cut into blocks of bounded size by hash and
-    every pair of blocks meets once.
+    read once. Beyond that documents are dealt to cells around pivots, and a query meets only the cells
+    that can hold one of its ``k`` nearest; both ways are exact.
     """
     q = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
     d = docs.select("doc_id", "embedding").filter(F.col("embedding").isNotNull())
@@ -127,7 +215,7 @@ def vector_topk(
     if n_queries <= small:
         found = _against_few(q, d, k, metric)
     else:
-        found = _in_blocks(q, d, k, metric, q.count(), small, block)
+        found = _in_cells(q, d, k, metric, small, block)
     best = ranked(found, ["query_id"], [F.col("distance").asc(), F.col("doc_id").asc()], k, "rank")
     return best.withColumn("score", distance_to_score(F.col("distance"), metric)).filter(F.col("score") >= floor)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mealgrid.core.numbering import global_row_number
 from mealgrid.core.ranking import first_row
+from mealgrid.core.scratch import written
 from mealgrid.core.sizes import broadcast_if_small
 from mealgrid.core.spread import spread
 from mealgrid.functions import fixed_values as fixed
@@ -256,35 +257,36 @@ def link_recipe_lines(lines: DataFrame, lookup: DataFrame) -> DataFrame:
     return lines.join(hits, ["recipe_id", "line_no"], "left")
 
 
+CHUNK = 256  # starts of a chunk of a text
+HEAD = 4  # leading characters by which a key is looked up
+
+
 def _longest_contained(texts: DataFrame, text: str, keys: DataFrame, result: str) -> DataFrame:
     """(text, longest known key inside it); equal lengths go to the lower ``key_order``.
 
-    Every distinct text unfolds its substrings up to the longest key, once per distinct substring,
-    and meets the keys in an equi-join.
+    Distinct texts are cut into chunks that overlap by the longest key, so a long text is many rows. Each start in a chunk looks
+    keys up by their first ``HEAD`` characters (all of them in shorter keys), and those that the text goes on with are compared
+    there. Rows carry a piece as long as the longest key and a hash of the text, never the text itself.
     """
-    longest = F.col("longest")
-    bound = keys.select(F.coalesce(F.max(F.length("key")), F.lit(0)).alias("m")).scalar()
-    starts = F.sequence(F.lit(1), F.length("t") - fixed.MIN_SUBSTRING + 1)
-    long_enough = F.length("t") >= fixed.MIN_SUBSTRING
-    distinct_texts = texts.select(F.col(text).alias("t")).distinct().filter(long_enough)
-    unfolded = spread(distinct_texts, "t").withColumn("longest", bound)
-    pieces = F.flatten(
-        F.transform(
-            starts,
-            lambda i: F.transform(
-                F.sequence(F.lit(fixed.MIN_SUBSTRING), F.least(longest, F.length("t") - i + 1)),
-                lambda n: F.substring(F.col("t"), i, n),
-            ),
-        )
+    lexicon = written(keys.withColumn("head", F.substring("key", 1, HEAD)), "keys")
+    known = lexicon.agg(F.array_sort(F.collect_set(F.length("head"))).alias("lengths"), F.max(F.length("key")).alias("longest")).first()
+    whole = texts.select(F.col(text).alias("t")).distinct().filter(F.length("t") >= fixed.MIN_SUBSTRING)
+    whole = whole.select("t", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(7), "t").alias("h2"))
+    longest = known["longest"] or 0
+    chunks = whole.withColumn("start", F.explode(F.sequence(F.lit(1), F.length("t"), F.lit(CHUNK)))).select(
+        "h1", "h2", F.substring(F.col("t"), F.col("start"), F.lit(CHUNK - 1 + longest)).alias("chunk")
     )
-    return (
-        unfolded.filter(longest >= fixed.MIN_SUBSTRING)
-        .select("t", F.explode_outer(F.array_distinct(pieces)).alias("key"))
-        .join(broadcast_if_small(keys), "key")
-        .groupBy("t")
-        .agg(F.min(F.struct((-F.length("key")).alias("size"), "key_order", "key", "ingredient_id")).alias("best"))
-        .select(F.col("t").alias(text), F.struct("best.key", "best.ingredient_id").alias(result))
+    starts = spread(chunks, "h1", "chunk").withColumn("i", F.explode(F.sequence(F.lit(1), F.least(F.length("chunk"), F.lit(CHUNK)))))
+    piece = F.substring(F.col("chunk"), F.col("i"), F.lit(longest))
+    lengths = F.array(*[F.lit(n) for n in known["lengths"]]).cast("array<int>")
+    heads = F.filter(lengths, lambda n: n <= F.length("piece"))
+    pieces = starts.select("h1", "h2", piece.alias("piece")).withColumn("n", F.explode(heads))
+    pieces = pieces.withColumn("head", F.substring(F.col("piece"), F.lit(1), F.col("n"))).drop("n")
+    best = F.min(F.struct((-F.length("key")).alias("size"), "key_order", "key", "ingredient_id")).alias("best")
+    found = (
+        pieces.join(broadcast_if_small(lexicon), "head").where(F.startswith("piece", F.col("key"))).groupBy("h1", "h2").agg(best)
     )
+    return whole.join(found, ["h1", "h2"]).select(F.col("t").alias(text), F.struct("best.key", "best.ingredient_id").alias(result))
 
 
 def links_from_names(products: DataFrame, lookup: DataFrame, linked: DataFrame | None = None) -> DataFrame:

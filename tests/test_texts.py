@@ -124,6 +124,51 @@ def test_block_search_equals_scan(spark):
         assert key(scan) == key(blocks)
 
 
+@pytest.mark.parametrize("metric", [vectors.COSINE, vectors.L2, vectors.INNER])
+def test_cells_equal_scan_and_prune(spark, metric):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 8)) * 5
+    docs = np.concatenate([c + rng.normal(size=(60, 8)) * 0.2 for c in centres] + [np.zeros((2, 8)), centres[:1], centres[:1]])
+    asked = np.concatenate([centres + 0.1, docs[::37], np.zeros((1, 8))])
+    if metric == vectors.COSINE:  # no angle, no order
+        docs, asked = docs[np.any(docs != 0, axis=1)], asked[:-1]
+    d = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(docs)] + [(9_999, None)], "doc_id long, embedding array<double>")
+    q = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(asked)], "query_id long, embedding array<double>")
+    want = vectors.vector_topk(q, d, 5, -1e9, metric)
+    got = vectors.vector_topk(q, d, 5, -1e9, metric, small=3, block=50)
+    key = lambda df: sorted((r.query_id, r["rank"], r.doc_id) for r in df.collect())
+    assert key(want) == key(got)
+    assert vectors.vector_topk(q, d.limit(0), 5, -1e9, metric, small=3).count() == 0
+    cells = vectors._Cells(np.array([]), metric)
+    cells.pivots = cells.unit(centres)
+    cell, gap = cells.place(docs)
+    cells.summarise([(c, r + 1, g, gap[cell == c].max()) for c in set(cell) for r, g in enumerate(sorted(gap[cell == c])[:5])], 5)
+    assert sum(len(cells.wanted(v)) for v in centres) <= 12  # of 36 pairs of query and cell
+
+
+def test_longest_key_in_long_texts(spark, monkeypatch):
+    import random
+
+    from mealgrid.plans import resolve
+
+    monkeypatch.setattr(resolve, "CHUNK", 8)
+    rng = random.Random(7)
+    draw = lambda n: "".join(rng.choice("가나다ab") for _ in range(n))
+    keys = [(k, i, i) for i, k in enumerate(dict.fromkeys(draw(rng.randrange(1, 9)) for _ in range(120)))]
+    names = [draw(n) for n in (0, 1, 2, 7, 30, 200, 900)] * 2
+    products = spark.createDataFrame([(i, n, "식품>" + n[:5]) for i, n in enumerate(names)], "product_id long, name string, category_path string")
+    lookup = spark.createDataFrame(keys, "key string, ingredient_id long, key_order long")
+    got = {r.product_id: r.key for r in resolve.links_from_names(products, lookup).collect()}
+    from mealgrid.functions import fixed_values as fixed
+
+    for i, name in enumerate(names):
+        inside = [k for k, _, order in keys if len(k) >= fixed.MIN_SUBSTRING and k in name]
+        best = min(inside, key=lambda k: (-len(k), [o for x, _, o in keys if x == k][0]), default=None)
+        assert best is None or got[i] == best
+
+
 CARD = "card_id long, request_id long, recipe string, have array<string>, missing array<string>, pantry array<string>, cook_time int, reason string"
 GOOD = "잘 익은 김치와 돼지고기를 살려 오늘 저녁 든든하게 끓이기 좋아요. 두부만 더 담으면 한 상이 완성돼요."
 
