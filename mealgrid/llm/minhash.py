@@ -237,7 +237,10 @@ def confirmed(docs: DataFrame, edges: DataFrame, size: int, percent: int) -> Dat
 
 
 def link(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, id_col="doc_id", text_col="text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, row, n_shingles, component_id, kept."""
+    """One row per row of ``docs``: doc_id, row, n_shingles, component_id, kept, class.
+
+    ``class`` tells classes apart that share a smallest id; it is null for rows that link with nothing by definition.
+    """
     seen = written(features(docs, shingle, id_col, text_col), "features")
     usable = seen.where("id IS NOT NULL AND n_shingles > 0")
     # one representative per set: its smallest id, then row
@@ -257,7 +260,7 @@ def link(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD,
     )
     smallest = named.groupBy("class").agg(F.min("id").alias("component_id"))
     by_set = (
-        first.join(named.select("row", "class", "id"), ["id", "row"]).join(smallest, "class").select("k1", "k2", "component_id")
+        first.join(named.select("row", "class", "id"), ["id", "row"]).join(smallest, "class").select("k1", "k2", "component_id", "class")
     )
     joined = seen.select("id", "row", "n_shingles", "k1", "k2").join(by_set, ["k1", "k2"], "left")
     mine = F.col("id").isNotNull() & (F.col("n_shingles") > 0)
@@ -268,11 +271,22 @@ def link(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD,
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        F.when(mine, F.col("class")).alias("class"),
     )
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose document is the first of its class; all columns."""
-    kept = link(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col("row").alias("__row")).distinct()
-    keyed = docs.select(F.struct("*").alias("__doc"), row_key(F.col(id_col), F.col(text_col)).alias("__row"))
-    return keyed.join(kept, "__row", "left_semi").select("__doc.*")
+    """One row of ``docs`` for each class: smallest id, then row key, then the first in the order of all columns; all columns.
+
+    Rows without an id or without words are no class and stay.
+    """
+    linked = written(link(docs, id_col=id_col, text_col=text_col, **options).select("doc_id", "row", "class"), "linked")
+    chosen = linked.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
+    others = linked.where("class IS NULL").select("row").distinct().withColumn("all", F.lit(True))
+    times = linked.groupBy("row").agg(F.count(F.lit(1)).alias("times")).join(chosen, "row")
+    stay = times.select("row", (F.col("times") == 1).alias("all")).union(others)
+    stay = written(stay.withColumnRenamed("row", "__row"), "stay")
+    keyed = docs.select(F.struct("*").alias("__doc"), row_key(F.col(id_col), F.col(text_col)).alias("__row")).join(stay, "__row")
+    # only rows that are there more than once are gathered
+    once = keyed.where(~F.col("all")).groupBy("__row").agg(F.min("__doc").alias("__doc"))
+    return keyed.where("all").select("__doc").union(once.select("__doc")).select("__doc.*")

@@ -121,6 +121,20 @@ def test_document_families(spark, monkeypatch):
     assert minhash.link(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_class_stays(spark):
+    """Rows that share an id, texts that are near copies under one id, and unlike texts under one id."""
+    rng = random.Random(9)
+    one, two = ([f"{c}{rng.randrange(500)}" for _ in range(60)] for c in "ab")
+    near = " ".join([*one[:-1], "changed"])
+    one, two = " ".join(one), " ".join(two)
+    rows = [(5, one, 1), (5, one, 2), (5, near, 3), (5, two, 4), (5, two, 4), (9, one, 5), (1, "", 6), (1, "", 6), (None, one, 7), (None, one, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, class int")
+    kept = [tuple(r) for r in minhash.keep_first(docs).collect()]
+    assert len([k for k in kept if k[0] == 5]) == 2 and {k[1] for k in kept if k[0] == 5} >= {two}
+    assert sorted((k for k in kept if k[0] == 5 and k[1] == one)) in ([], [(5, one, 1)])
+    assert not any(k[0] == 9 for k in kept) and len(kept) == 6
+
+
 def test_estimates(spark):
     rng = random.Random(2)
     words = [f"v{k}" for k in range(900)]
