@@ -91,7 +91,13 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return counted.withColumn("base_failed", failed)
 
 
-def line_shares(
+def _line_keys(text: Column, host: Column) -> Column:
+    """Hash of each normalised line of a text with its host; null for lines without a word."""
+    line_key = lambda line: F.when(line.rlike(WORD), F.xxhash64(host.isNull(), host, F.lower(F.trim(line))))
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), line_key)
+
+
+def marked_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -99,7 +105,8 @@ def line_shares(
     max_docs: int = MAX_DOCS,
     max_share: float = MAX_SHARE,
 ) -> DataFrame:
-    """Per row key the share of characters in lines that are within the limit of their host."""
+    """(__row, gone, left_share): per row key the hashes of its lines over the limit of their host, and the share of
+    characters, each line once, in all others. Rows without words are not there."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     host = F.col(host_col)
     normal = F.array_distinct(F.transform(F.split(text, "\n", -1), lambda line: F.lower(F.trim(line))))
@@ -124,7 +131,37 @@ def line_shares(
     marked = lines.join(frequent.withColumn("frequent", F.lit(True)), "line", "left")
     # a row that is there k times adds k times to both sums
     left = F.sum(F.when(F.col("frequent"), 0).otherwise(F.col("size"))) / F.sum("size")
-    return marked.groupBy("__row").agg(left.alias("left_share"))
+    return marked.groupBy("__row").agg(left.alias("left_share"), F.collect_set(F.when(F.col("frequent"), F.col("line"))).alias("gone"))
+
+
+def without_frequent_lines(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    max_docs: int = MAX_DOCS,
+    max_share: float = MAX_SHARE,
+) -> DataFrame:
+    """(doc, n_removed, left_share): every row of ``docs`` without the lines that are over the limit of its host.
+
+    All occurrences of such a line go; texts that lose nothing, null ones included, stay as they are. ``left_share`` is null
+    for rows without words. ``verdicts`` judges by the same relation.
+    """
+    marks = marked_lines(docs, id_col, text_col, host_col, max_docs, max_share)
+    text, keys = F.col("__text"), _line_keys(F.col("__text"), F.col("__host"))
+    lines = F.arrays_zip(F.split(F.coalesce(text, F.lit("")), "\n", -1).alias("line"), keys.alias("key"))
+    is_left = lambda x: x["key"].isNull() | ~F.array_contains("gone", x["key"])
+    keyed = docs.select(
+        F.struct("*").alias("__doc"), F.col(text_col).alias("__text"), F.col(host_col).alias("__host"), row_key(F.col(id_col), F.col(text_col)).alias("__row")
+    ).join(marks, "__row", "left")
+    kept = F.filter(lines, is_left)
+    hit = F.coalesce(F.size("gone") > 0, F.lit(False))
+    cut = F.when(hit, F.array_join(F.transform(kept, lambda x: x["line"]), "\n")).otherwise(text)
+    return keyed.select(
+        F.col("__doc").withField(f"`{text_col}`", cut).alias("doc"),
+        F.when(hit, F.size(lines) - F.size(kept)).otherwise(0).cast("long").alias("n_removed"),
+        "left_share",
+    )
 
 
 def verdicts(
@@ -137,7 +174,7 @@ def verdicts(
     max_share: float = MAX_SHARE,
 ) -> DataFrame:
     """One row per row of ``docs``: its measures, the share of its text that is left, and whether it is kept."""
-    shares = line_shares(docs, id_col, text_col, host_col, max_docs, max_share)
+    shares = marked_lines(docs, id_col, text_col, host_col, max_docs, max_share).select("__row", "left_share")
     joined = measures(docs, id_col, text_col).join(shares, "__row", "left")
     kept = ~F.col("base_failed") & (F.coalesce(F.col("left_share"), F.lit(1.0)) >= min_left)
     return joined.drop("__row").withColumn("kept", kept)
