@@ -36,8 +36,9 @@ PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.7
 RIDGE, PENALTY, STEPS = 1e-4, 1.0, 600
 SWAPS = 3
-#: Groups of interchangeable identity terms; a fixed list, and a parameter of ``train``.
+#: Groups of interchangeable identity terms in the languages of the corpus; a fixed list, and a parameter of ``train``.
 IDENTITY_TERMS = (
+    # English
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic", "sikh"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics", "sikhs"),
     ("black", "white", "asian", "latino", "african", "european", "arab", "indigenous"),
@@ -49,6 +50,46 @@ IDENTITY_TERMS = (
     ("immigrant", "refugee", "foreigner", "migrant"),
     ("immigrants", "refugees", "foreigners", "migrants"),
     ("old", "young", "elderly"),
+    # French
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée", "catholique"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques"),
+    ("musulmane", "chrétienne", "juive", "hindoue"),
+    ("noir", "blanc", "asiatique", "africain", "européen", "arabe"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens", "arabes"),
+    ("homosexuel", "lesbienne", "hétérosexuel", "bisexuel", "transgenre"),
+    ("femme", "homme", "fille", "garçon"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("sourd", "aveugle", "handicapé", "autiste"),
+    ("immigré", "réfugié", "étranger", "migrant"),
+    ("immigrés", "réfugiés", "étrangers", "migrants"),
+    ("vieux", "jeune", "âgé"),
+    # German
+    ("muslim", "christ", "jude", "hindu", "buddhist", "atheist", "katholik"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten", "katholiken"),
+    ("muslimisch", "christlich", "jüdisch", "hinduistisch", "buddhistisch", "katholisch"),
+    ("schwarze", "weiße", "asiatische", "afrikanische", "europäische", "arabische"),
+    ("schwul", "lesbisch", "heterosexuell", "bisexuell", "transgender", "queer"),
+    ("frau", "mann", "mädchen", "junge"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("weiblich", "männlich"),
+    ("taub", "blind", "behindert", "autistisch"),
+    ("einwanderer", "flüchtling", "ausländer", "migrant"),
+    ("einwanderer", "flüchtlinge", "ausländer", "migranten"),
+    ("alte", "junge", "ältere"),
+    # Spanish
+    ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo", "católico"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos"),
+    ("musulmana", "cristiana", "judía", "atea", "católica"),
+    ("negro", "blanco", "asiático", "latino", "africano", "europeo", "árabe", "indígena"),
+    ("negros", "blancos", "asiáticos", "latinos", "africanos", "europeos", "árabes", "indígenas"),
+    ("gay", "lesbiana", "heterosexual", "bisexual", "transgénero"),
+    ("mujer", "hombre", "niña", "niño"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("femenino", "masculino"),
+    ("sordo", "ciego", "discapacitado", "autista"),
+    ("inmigrante", "refugiado", "extranjero", "migrante"),
+    ("inmigrantes", "refugiados", "extranjeros", "migrantes"),
+    ("viejo", "joven", "anciano"),
 )
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -110,7 +151,11 @@ def choose_features(sample: DataFrame, size: int = FEATURES) -> list[str]:
 
 def _design_rows(vocabulary: dict[str, int], groups):
     """Feature numbers of whole texts, and of sentences with their swapped copies."""
-    others = {term: [t for t in group if t != term][:SWAPS] for group in groups for term in group}
+    # a term of several groups, as in two languages, is swapped within each of them
+    others: dict[str, list[str]] = {}
+    for group in groups:
+        for term in group:
+            others.setdefault(term, []).extend([t for t in group if t != term][:SWAPS])
 
     def numbers(words: set[str]) -> list[int]:
         return sorted(vocabulary[f] for f in features(words) if f in vocabulary)
@@ -184,6 +229,13 @@ def fit(rows, width: int, ridge=RIDGE, penalty=PENALTY, steps=STEPS) -> tuple[np
     return w, float(bias)
 
 
+def swapped_pairs(sample: DataFrame, groups=IDENTITY_TERMS) -> int:
+    """How many pairs of a sentence and its swapped copy a sample gives the fit; without any the classifier is plain."""
+    terms = {f: i for i, f in enumerate(dict.fromkeys(t for group in groups for t in group))}
+    design = sample.mapInPandas(_design_rows(terms, groups), "toxic int, said array<int>, swapped array<int>")
+    return design.where("swapped IS NOT NULL").count()
+
+
 def train(sample: DataFrame, groups=IDENTITY_TERMS, size: int = FEATURES, penalty: float = PENALTY) -> tuple[dict, float]:
     """(weight of each feature, intercept) from a bounded sample of (text, toxic)."""
     terms = [term for group in groups for term in group]

@@ -106,3 +106,27 @@ def test_toxicity_cases(spark):
     assert toxicity.scored(docs, model).where("score BETWEEN 0 AND 1").count() == 4
     assert toxicity.model_of(docs.limit(0), labels.limit(0)) == ({}, 0.0)
     assert toxicity.scored(docs.limit(0), model).count() == 0
+
+
+def test_pairs_in_all_languages(spark, tmp_path, monkeypatch):
+    """The query's own training swaps terms of every language of the corpus, and scores groups alike."""
+    said = {
+        "en": ("the muslim neighbour waters the garden", "you idiot muslim people"),
+        "fr": ("le voisin musulman arrose le jardin", "espèce de crétin musulman"),
+        "de": ("der muslim nebenan gießt den garten", "du dummer muslim"),
+        "es": ("el vecino musulmán riega el jardín", "eres un idiota musulmán"),
+    }
+    rows = [(20 * k + j, said[lang][j % 2], lang, j % 2) for k, lang in enumerate(list(said) * 10) for j in range(20)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    pairs, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda design, width, **k: pairs.extend(r for r in design if r[2] is not None) or fit(design, width, **k))
+    scores = {r.doc_id: r.score for r in queries.op4(spark, str(tmp_path)).collect()}
+    learned = toxicity.labelled_sample(docs, labels.where(~toxicity.held_out()))
+    assert sum(r[3] for r in pairs) == toxicity.swapped_pairs(learned) > 1_000
+    for lang, (clean, toxic) in said.items():
+        only = toxicity.labelled_sample(docs.where(f"lang = '{lang}'"), labels.where(~toxicity.held_out()))
+        assert toxicity.swapped_pairs(only) > 100
+    assert min(scores[r[0]] for r in rows if r[3]) > max(scores[r[0]] for r in rows if not r[3])
