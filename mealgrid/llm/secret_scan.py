@@ -33,7 +33,6 @@ KINDS = ("assign", "access", "hex", "markov")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 SAMPLE_TOKEN = r"[A-Za-z0-9+/_=-]{6,}"
 FIRST_SYMBOL, SYMBOLS = 32, 96  # printable ASCII
-SAMPLE_ROWS = 2000  # documents whose tokens serve as ordinary identifiers
 RANDOM_STRINGS = 3000  # digests written in hexadecimal and in base 64
 MIN_LLR = 14.0
 SMOOTHING = 0.2
@@ -55,35 +54,34 @@ def _bigrams(token: Column) -> Column:
     )
 
 
-def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(token, random) samples: tokens of at most ``rows`` documents, and digests as random strings.
+def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(token, random, n): the tokens of all documents with their number, and digests as random strings.
 
-    The documents are those with the smallest id hashes, so the sample does not depend on partitioning. Tokens that
-    a pattern finds are left out of the ordinary ones.
+    Tokens are counted inside the tasks first, so one that is everywhere is a row per task. Those that a pattern finds are left
+    out of the ordinary ones.
     """
     spark = docs.sparkSession
-    chosen = docs.select(id_col).where(F.col(id_col).isNotNull()).distinct()
-    chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    texts = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)  # at most ``rows`` ids
     plain = F.regexp_replace(F.regexp_replace(F.col(text_col), ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
-    ordinary = texts.select(F.explode(F.regexp_extract_all(plain, F.lit(SAMPLE_TOKEN), F.lit(0))).alias("token"))
+    ordinary = docs.select(F.explode(F.regexp_extract_all(plain, F.lit(SAMPLE_TOKEN), F.lit(0))).alias("token"))
+    counted = ordinary.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     digest = F.sha2(F.col("id").cast("string"), 256)
     drawn = spark.range(RANDOM_STRINGS).select(
         F.explode(F.array(digest, F.regexp_replace(F.base64(F.unhex(digest)), "=", ""))).alias("token")
     )
-    return ordinary.select("token", F.lit(False).alias("random")).union(drawn.select("token", F.lit(True)))
+    one = F.lit(1).cast("long")
+    return counted.select("token", F.lit(False).alias("random"), "n").union(drawn.select("token", F.lit(True), one))
 
 
 def train(samples: DataFrame, smoothing: float = SMOOTHING) -> list[float]:
-    """Log-likelihood ratio of each transition, random over ordinary, from (token, random) samples.
+    """Log-likelihood ratio of each transition, random over ordinary, from samples (token, random, n).
 
     Only the counts of at most ``2 * SYMBOLS ** 2`` transitions reach the driver. Without samples all ratios are 0.
     """
     counts = (
         samples.where(F.length("token") >= 2)
-        .select("random", F.explode(_bigrams(F.col("token"))).alias("gram"))
+        .select("random", "n", F.explode(_bigrams(F.col("token"))).alias("gram"))
         .groupBy("random", "gram")
-        .count()
+        .agg(F.sum("n").alias("count"))
     )
     seen: dict[bool, dict[int, int]] = {True: {}, False: {}}
     for row in counts.collect():
