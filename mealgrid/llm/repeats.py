@@ -11,7 +11,7 @@ Suffixes are sorted only as far as this needs, by bucket-pointer refinement, and
    the next. Strings of the full length with equal identifiers are repeats.
 
 Texts that occur as a whole more than once are settled first: all their bytes go, and one of them stands for all in step 3.
-Equal contexts are sent at most twice per task, so a passage that millions of documents share is a few rows. A bucket of
+Equal contexts are sent at most twice per task (and ``SENT`` digests), so a passage that millions of documents share is a few rows. A bucket of
 more than ``HOT`` anchors is refined before it is sent: it is split by offset into groups, and each group by the bytes that
 all its strings have in common, so that only nearly equal text meets in a task. Where the contexts of one group still are more
 than ``HOT``, as at the edge of a passage that many documents share, no task gathers them: their strings are hashed one by one,
@@ -38,9 +38,10 @@ from mealgrid.llm.common import row_key
 
 LENGTH = 400
 GRAM = 32
-HOT = 20_000  # anchors of one q-gram
-GROUP = 32  # offsets in a group of a hot bucket
 BIN = 1_500  # contexts that are refined together
+HOT = BIN  # anchors of one q-gram that are refined in one group
+GROUP = 32  # offsets in a group of a hot bucket
+SENT = 200_000  # digests of contexts that a task keeps at once
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -128,6 +129,8 @@ def _contexts(length: int, hot: int, group: int):
     def run(batches):
         sent: dict[bytes, int] = {}
         for batch in batches:
+            if len(sent) > SENT:
+                sent.clear()
             out = {k: [] for k in ("row", "start", "bucket", "k1", "k2", "bytes")}
             for row, text, found in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "found"))):
                 data = text.encode()
