@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,30 +28,32 @@ def visible_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     )
 
 
-def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import pyarrow.fs as pafs
-    import pyarrow.parquet as pq
-
-    for batch in batches:
-        rows = []
-        for path in batch["path"]:
-            filesystem, name = pafs.FileSystem.from_uri(path)
-            with pq.ParquetFile(name, filesystem=filesystem) as file:
-                columns = sorted((f.name, str(f.type)) for f in file.schema_arrow)
-                rows.append(
-                    (path, ",".join(f"{n}:{t}" for n, t in columns), [n for n, _ in columns], file.metadata.num_rows)
-                )
-        yield pd.DataFrame(rows, columns=["path", "fingerprint", "columns", "row_count"])
-
-
 def parquet_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, fingerprint, columns, row_count) of every Parquet file, from the footers alone.
+    """(path, fingerprint, columns, row_count) of every Parquet file, through Spark's own reader.
 
-    Footers are read by the executors, a few kilobytes per file, so row counts need no scan.
+    The names of the files come to the driver, which has Spark tell the schema of each; rows are counted by the executors
+    from footers alone, since no column is asked for. Files of one schema are one scan.
     """
-    files = visible_files(spark, path, "*.parquet")
-    spread = files.repartition(spark.sparkContext.defaultParallelism)
-    return spread.mapInPandas(_footers, "path string, fingerprint string, columns array<string>, row_count bigint")
+    names = [r.path for r in visible_files(spark, path, "*.parquet").collect()]
+    schemas: dict[str, tuple[list[str], list[str]]] = {}
+    for name in sorted(names):
+        fields = sorted((f.name, f.dataType.simpleString()) for f in spark.read.parquet(name).schema)
+        fingerprint = ",".join(f"{n}:{t}" for n, t in fields)
+        schemas.setdefault(fingerprint, ([n for n, _ in fields], []))[1].append(name)
+    # a path is spelled with one or three slashes behind its scheme, as the source likes
+    spelled = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+    result = None
+    for fingerprint, (columns, group) in schemas.items():
+        counts = spark.read.parquet(*group).groupBy(spelled(F.col("_metadata.file_path")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+        files = spark.createDataFrame([(n,) for n in group], "path string").withColumn("key", spelled(F.col("path")))
+        part = files.join(counts, "key", "left").select(
+            "path", F.lit(fingerprint).alias("fingerprint"), F.array(*[F.lit(c) for c in columns]).alias("columns"),
+            F.coalesce("n", F.lit(0)).alias("row_count"),
+        )
+        result = part if result is None else result.unionByName(part)
+    if result is None:
+        return spark.createDataFrame([], "path string, fingerprint string, columns array<string>, row_count bigint")
+    return result
 
 
 def dataset_list(files: DataFrame) -> DataFrame:

@@ -80,3 +80,15 @@ def test_json_records_of_both_shapes(spark, tmp_path, small_ranges):
     (tmp_path / "a.json").write_text('[{"a": 1}, 7, {"a": 2}]')
     with pytest.raises(Exception, match="records must be JSON objects"):
         raw.read_json_records(spark, str(tmp_path))
+
+
+def test_files_of_two_schemas(spark, tmp_path):
+    one, two = spark.range(7), spark.range(3).selectExpr("id AS b", "'x' AS a")
+    one.coalesce(1).write.parquet(str(tmp_path / "d" / "one"))
+    one.limit(0).coalesce(1).write.parquet(str(tmp_path / "d" / "none"))
+    two.coalesce(1).write.parquet(str(tmp_path / "d" / "two"))
+    files = raw.parquet_files(spark, str(tmp_path / "d"))
+    assert sorted((r.fingerprint, r.columns, r.row_count) for r in files.collect()) == [
+        ("a:string,b:bigint", ["a", "b"], 3), ("id:bigint", ["id"], 0), ("id:bigint", ["id"], 7),
+    ]
+    assert raw.parquet_files(spark, str(tmp_path / "d" / "one")).select("row_count").first().row_count == 7
