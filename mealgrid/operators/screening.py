@@ -20,6 +20,7 @@ from mealgrid.functions import fixed_values as fixed
 from mealgrid.functions.reasons import template_reason
 from mealgrid.functions.text import object_particle
 from mealgrid.functions.text import quoted_regex, stripped, unicode_pattern
+from mealgrid.operators import wordsearch
 
 def _none() -> Column:
     return F.array().cast("array<string>")
@@ -129,17 +130,24 @@ HEAD = 4  # leading characters by which a word is looked up
 def words_in_texts(cards: DataFrame, words: DataFrame) -> DataFrame:
     """(card_id, words): vocabulary words of two or more characters that occur in each text.
 
-    Texts are cut into chunks that overlap by the longest word, so long texts spread over tasks. A word is looked up by its
-    first ``HEAD`` characters: each chunk unfolds its distinct pieces of at most that length, meets the vocabulary in an
+    A vocabulary that was measured to fit one table is sought by an automaton in a single pass over the texts. Larger ones are
+    joined: texts are cut into chunks that overlap by the longest word, so long texts spread over tasks. A word is looked up by
+    its first ``HEAD`` characters: each chunk unfolds its distinct pieces of at most that length, meets the vocabulary in an
     equi-join, and is then searched for the words that start so. The words of one card are bounded by its own text.
     """
     head = F.substring("word", 1, HEAD)
     lexicon = durable(words.filter(F.length("word") >= 2).select("word").distinct().withColumn("head", head))
     known = lexicon.agg(
-        F.array_sort(F.collect_set(F.length("head"))).alias("lengths"), F.max(F.length("word")).alias("longest")
+        F.array_sort(F.collect_set(F.length("head"))).alias("lengths"), F.max(F.length("word")).alias("longest"),
+        F.count("word").alias("words"), F.sum(F.octet_length("word")).alias("bytes"),
+        F.bool_and(F.is_valid_utf8("word")).alias("readable"),
     ).first()
     if not known["lengths"]:
         return cards.select("card_id", _none().alias("words")).filter(F.lit(False))
+    if known["readable"] and known["words"] <= wordsearch.WORDS and known["bytes"] <= wordsearch.WORD_BYTES:
+        sought = wordsearch.automaton([r.word for r in lexicon.select("word").collect()])
+        if sought is not None:
+            return wordsearch.words_found(cards, "card_id", "reason", sought)
     chunks = (
         cards.select("card_id", F.col("reason").alias("t"))
         .filter(F.length("t") >= 2)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mealgrid.functions import catalog_values, recipe_text, storage, text
-from mealgrid.operators import screening, vectors
+from mealgrid.operators import screening, vectors, wordsearch
 from mealgrid.sources import dumps, exchange
 
 
@@ -231,3 +231,31 @@ def test_words_across_chunks_equal_brute_force(spark, monkeypatch, limit):
     found = screening.words_in_texts(cards, spark.createDataFrame([(x,) for x in words], "word string")).collect()
     expected = {i: sorted(x for x in words if len(x) >= 2 and x in t) for i, t in texts.items()}
     assert {r.card_id: sorted(r.words) for r in found} == expected
+
+
+def _rows_of_words(found):
+    return sorted((str(r.card_id), r.words) for r in found.collect())
+
+
+@pytest.mark.parametrize("segment, cells", [(3, 8), (512, 1 << 22)])
+def test_a_small_vocabulary_is_sought_in_one_pass(spark, monkeypatch, segment, cells):
+    monkeypatch.setattr(wordsearch, "SEGMENT", segment)
+    monkeypatch.setattr(wordsearch, "STEP_CELLS", cells)
+    # endings of other words, several bytes a character, keys that repeat or are null, texts without any word
+    words = ["abc", "bc", "cab", "가나", "나다", "가나다", "😀b", "a", "", None, "\n|", "zz"]
+    rows = [(1, "xabcab"), (1, "가나다"), (2, "b\n|😀b"), (None, "bcbc"), (3, "none"), (4, ""), (5, None), (6, "ab" * 700 + "c가나" + "다" * 9)]
+    cards = spark.createDataFrame(rows, "card_id long, reason string")
+    frame = spark.createDataFrame([(x,) for x in words + words], "word string")
+    expected = {}
+    for i, t in rows:
+        expected.setdefault(i, set()).update(x for x in words if x and len(x) >= 2 and t and x in t)
+    want = sorted((str(i), sorted(x, key=str.encode)) for i, x in expected.items() if x)
+    found = screening.words_in_texts(cards, frame)
+    assert found.columns == ["card_id", "words"]
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # pieces of texts are not unfolded
+    assert _rows_of_words(found) == want
+    monkeypatch.setattr(wordsearch, "WORDS", 0)
+    assert _rows_of_words(screening.words_in_texts(cards, frame)) == want
+    monkeypatch.setattr(wordsearch, "WORDS", 32_000)
+    monkeypatch.setattr(wordsearch, "TABLE_CELLS", 10)
+    assert _rows_of_words(screening.words_in_texts(cards, frame)) == want
