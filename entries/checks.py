@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from entries.binding import AS_OF, SCHEMAS, TABLES, bind, table, view
 from entries.registry import Registry, joined
-from mealgrid.core.scratch import durable
+from mealgrid.core.scratch import durable, written
 from mealgrid.functions import fixed_values as fixed
 from mealgrid.functions.reasons import case_fingerprint
 from mealgrid.plans import bubbles, quality, recommend
@@ -116,10 +116,12 @@ def constrained_profiles(spark, sf):
         WHEN 'slots' THEN array('slot') WHEN 'nation' THEN array('n_name') ELSE CAST(array() AS ARRAY<STRING>) END AS group_by_columns,
       CAST(array() AS ARRAY<STRING>) AS entity_key_columns, dataset = 'customer_card' AS targets_recipe
       FROM (SELECT explode(array('customer', 'customer_card', 'labels', 'nation', 'slots')) AS dataset FROM {region} WHERE r_regionkey = 0)""")
-    values = durable(quality.distinct_values(_datasets(spark, sf)))
+    datasets = _datasets(spark, sf)
+    values = written(quality.distinct_values(datasets, quality.shared_columns(datasets)), "values")
     metadata = durable(_metadata(spark, sf))
-    companions = quality.companion_datasets(values, metadata)
-    rows = quality.constrained_profiles(profiles, metadata, companions, quality.slot_columns(values))
+    companions = durable(quality.companion_datasets(values, metadata))
+    slots = durable(quality.slot_columns(quality.slot_values(datasets)))
+    rows = quality.constrained_profiles(profiles, metadata, companions, slots)
     return rows.select("dataset", "loadable", joined("target_tables"), joined("group_by_columns"), joined("rules"))
 
 

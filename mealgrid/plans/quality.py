@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections import Counter
+from collections.abc import Collection, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mealgrid.core.catalog import Catalog
 from mealgrid.core.scratch import durable
@@ -15,22 +17,89 @@ from mealgrid.functions.text import nonempty, stripped
 
 # ---------------------------------------------------------------- datasets
 
+SHORT_BYTES = 64
+NO_SLOT = "no storage slot"
+WHOLE_NUMBER = r"^-*\d+$"
 
-def distinct_values(datasets: Mapping[str, DataFrame]) -> DataFrame:
-    """(dataset, column, value): distinct non-blank values of every column of every dataset.
 
-    Each dataset is unfolded and reduced on its own, with the reduction combined inside the tasks.
+def shared_columns(datasets: Mapping[str, DataFrame]) -> set[str]:
+    """Names that columns of more than one dataset have."""
+    seen = Counter(c for df in datasets.values() for c in df.columns)
+    return {c for c, n in seen.items() if n > 1}
+
+
+def _has_text(value: Column) -> Column:
+    """More than white space; most values show it by their first character."""
+    return ((value >= "!") & (value < "\x7f")) | nonempty(stripped(value)).isNotNull()
+
+
+def _short(value: Column) -> Column:
+    """Long values are told apart by their digest, which no value has itself; whole numbers stay as they are."""
+    long = (F.octet_length(value) > SHORT_BYTES) & ~value.rlike(WHOLE_NUMBER)
+    return F.when(long, F.concat(F.lit("sha256 "), F.sha2(value, 256))).otherwise(value)
+
+
+def distinct_values(datasets: Mapping[str, DataFrame], columns: Collection[str] | None = None) -> DataFrame:
+    """(dataset, column, value): distinct non-blank values of every column (or of those named ``columns``) of every dataset.
+
+    Each dataset is unfolded and reduced on its own, with the reduction combined inside the tasks. Values of more than
+    ``SHORT_BYTES`` bytes are given by a digest, whole numbers excepted.
     """
     result = None
     for name, df in datasets.items():
-        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in df.columns])
+        wanted = [c for c in df.columns if columns is None or c in columns]
+        if not wanted:
+            continue
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in wanted])
         part = (
             df.select(F.explode(cells).alias("cell"))
             .select(F.lit(name).alias("dataset"), "cell.column", "cell.value")
-            .filter(nonempty(stripped(F.col("value"))).isNotNull())
+            .filter(_has_text(F.col("value")))
+            .withColumn("value", _short(F.col("value")))
             .distinct()
         )
         result = part if result is None else result.unionByName(part)
+    if result is None:
+        spark = next(iter(datasets.values())).sparkSession
+        return spark.createDataFrame([], "dataset string, column string, value string")
+    return result
+
+
+#: Types whose values are neither blank nor a name when they are written as text.
+_PLAIN = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def slot_values(datasets: Mapping[str, DataFrame]) -> DataFrame:
+    """(dataset, column, value): of every column the first storage slot that it holds, and ``NO_SLOT`` if it holds other values.
+
+    These decide for ``slot_columns``. They are found in one pass over each dataset, without unfolding or dealing its rows.
+    """
+    names = [*fixed.STORAGE_SLOTS, NO_SLOT]
+
+    def place(value: Column) -> Column:
+        found = F.when(_has_text(value), len(names) - 1)
+        for i, name in reversed([*enumerate(fixed.STORAGE_SLOTS)]):
+            found = F.when(value == name, i).otherwise(found)
+        return found
+
+    result = None
+    for name, df in datasets.items():
+        texts, ends, cells = [], [], []
+        for i, field in enumerate(df.schema):
+            if isinstance(field.dataType, _PLAIN):
+                texts.append(F.when(F.col(field.name).isNotNull(), len(names) - 1).alias(f"c{i}"))
+            else:
+                texts.append(place(F.col(field.name).cast("string")).alias(f"c{i}"))
+            ends += [F.min(f"c{i}").alias(f"first{i}"), F.max(f"c{i}").alias(f"last{i}")]
+            held = F.array_distinct(F.array(f"first{i}", f"last{i}"))
+            cells.append(F.struct(F.lit(field.name).alias("column"), held.alias("held")))
+        part = (
+            df.select(*texts).agg(*ends).select(F.explode(F.array(*cells)).alias("cell"))
+            .select(F.lit(name).alias("dataset"), "cell.column", F.explode("cell.held").alias("place"))
+            .filter(F.col("place").isNotNull())
+            .select("dataset", "column", F.get(F.array(*[F.lit(x) for x in names]), F.col("place")).alias("value"))
+        )
+        result = part if result is None else result.unionByName(part)
     return result
 
 
@@ -51,7 +120,7 @@ def duplicate_datasets(metadata: DataFrame) -> DataFrame:
 def surrogate_columns(values: DataFrame) -> DataFrame:
     """(dataset, column, is_surrogate): whether all values are whole numbers."""
     return values.groupBy("dataset", "column").agg(
-        F.bool_and(F.col("value").rlike(r"^-*\d+$")).alias("is_surrogate"), F.count(F.lit(1)).alias("n")
+        F.bool_and(F.col("value").rlike(WHOLE_NUMBER)).alias("is_surrogate"), F.count(F.lit(1)).alias("n")
     )
 
 
@@ -59,7 +128,7 @@ def companion_datasets(values: DataFrame, metadata: DataFrame, share: float = fi
     """(left, right) datasets that hold parts of the same entities.
 
     Some shared column's values overlap by at least ``share`` of the smaller value set; columns of
-    whole numbers prove nothing and copies are not companions. Every value is first reduced to the
+    whole numbers prove nothing and copies are not companions. Values of ``shared_columns`` are enough. Every value is first reduced to the
     list of datasets holding it, equal lists are counted, and only those few lists unfold to pairs.
     """
     sizes = surrogate_columns(values).filter(~F.col("is_surrogate"))
@@ -96,7 +165,9 @@ def companion_datasets(values: DataFrame, metadata: DataFrame, share: float = fi
 
 
 def slot_columns(values: DataFrame) -> DataFrame:
-    """(dataset, column) whose values are all storage slots; the first such column per dataset."""
+    """(dataset, column) whose values are all storage slots; the first such column per dataset.
+
+    ``values`` are all distinct ones or ``slot_values``."""
     within = F.bool_and(F.col("value").isin(*fixed.STORAGE_SLOTS)).alias("within")
     return (
         values.groupBy("dataset", "column")

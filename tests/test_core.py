@@ -121,3 +121,51 @@ def test_connected_groups_equal_union_find(spark):
     got = {r["name"]: r["group"] for r in quality.connected_groups(frame, members).collect()}
     assert got == {n: find(n) for n in root}
     assert checks.QUERIES["connected_groups"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def _odd_datasets(spark):
+    long = "x" * 65
+    left = [("pantry", "7" * 70, 1, long), (" ", "-8", None, long + "y"), (None, "9", 3, "é"), ("freeze", "", 4, "　\t")]
+    return {
+        "left": spark.createDataFrame(left, "slot string, code string, n int, text string"),
+        "right": spark.createDataFrame([("pantry", long, 1.5), ("other", "z", None)], "slot string, text string, x double"),
+        "blank": spark.createDataFrame([("", None), (" ", None)], "slot string, empty int"),
+        "own": spark.createDataFrame([(True, ["pantry"])], "flag boolean, list array<string>"),
+    }
+
+
+def test_slot_values_decide_like_all_distinct_values(spark):
+    datasets = _odd_datasets(spark)
+    every = quality.distinct_values(datasets)
+    assert rows_of(quality.slot_columns(quality.slot_values(datasets))) == rows_of(quality.slot_columns(every)) == [("left", "slot")]
+    assert rows_of(quality.slot_values(datasets).select("dataset", "column").distinct()) == rows_of(every.select("dataset", "column").distinct())
+
+
+def test_shared_columns_are_enough_for_companions(spark):
+    datasets = _odd_datasets(spark)
+    shared = quality.shared_columns(datasets)
+    assert shared == {"slot", "text"}
+    every, some = quality.distinct_values(datasets), quality.distinct_values(datasets, shared)
+    assert rows_of(some) == [r for r in rows_of(every) if r[1] in shared]
+    # long values by digest, so that texts need no room, except whole numbers, which must be known as such
+    assert max(len(r.value) for r in every.filter("column <> 'code'").collect()) == 71
+    assert {r.column for r in quality.surrogate_columns(every).filter("is_surrogate").collect()} == {"code", "n"}
+    metadata = spark.createDataFrame([(n, df.columns, df.count()) for n, df in datasets.items()], "name string, columns array<string>, row_count long")
+    assert rows_of(quality.companion_datasets(some, metadata, 0.3)) == rows_of(quality.companion_datasets(every, metadata, 0.3)) == [("left", "right")]
+    assert quality.distinct_values(datasets, set()).count() == 0
+
+
+def test_profiles_store_no_texts(spark):
+    import os
+
+    from entries import checks
+    from mealgrid.core.scratch import shared_root
+
+    def stored():
+        root = shared_root(spark).removeprefix("file:")
+        return {os.path.join(at, f): os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(root) for f in files}
+
+    before = stored()
+    checks.QUERIES["constrained_profiles"](spark, "/root/testdata/sf0.001").collect()
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+    assert sum(n for f, n in stored().items() if f not in before) < texts / 2
