@@ -19,10 +19,11 @@ NEAR_DELAY = "10 minutes"  # for files that follow each other in time
 
 
 def _as_stream(spark, df, name: str, per_batch: int = 1):
-    """A frame written as files and read back as a stream, ``per_batch`` files at a time."""
+    """A frame written as files and read back as a stream, in ``FILES / per_batch`` batches of as many files as the frame's size asks for."""
     folder = new_folder(spark, name)
-    df.repartition(FILES).write.parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(folder)
+    each = -(-df.rdd.getNumPartitions() // FILES)
+    df.repartition(FILES * each).write.parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch * each).parquet(folder)
 
 
 def _in_order(spark, parts, name: str, run) -> None:
@@ -118,7 +119,9 @@ FROM (SELECT user_id, unnest(generate_series(CAST(floor(epoch(ts) / 10) AS BIGIN
 def stream_request_counts(spark, sf):
     bind(spark, sf)
     stream = _as_stream(spark, _events(spark, sf), "requests")
-    counts = _updates(spark, jobs.request_windows(stream, "user_id", "ts", FAR_DELAY, 1), ["window_start", "user_id"])
+    state, root = VersionedTable(spark, new_folder(spark, "steps"), jobs.REQUEST_STATE), new_folder(spark, "updates")
+    jobs.run_to_end(stream, new_folder(spark, "ck"), jobs.request_windows(state, root, "ts", FAR_DELAY, 1))
+    counts = jobs.latest_updates(spark, root, ["window_start", "user_id"])
     return counts.withColumn("window_start", F.unix_seconds("window_start"))
 
 

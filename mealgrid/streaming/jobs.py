@@ -8,14 +8,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from mealgrid.core.spread import spread
 from mealgrid.functions import fixed_values as fixed
 from mealgrid.plans.loading import add_deliveries, delivery_outcomes, record_views
-from mealgrid.streaming.state import VersionedTable, each_batch
+from mealgrid.streaming.state import TURNS, VersionedTable, each_batch
 
 WINDOW_SECONDS = 60
 STEP_SECONDS = 10
+FIXED_WIDTH = (T.LongType, T.IntegerType, T.DoubleType, T.BooleanType, T.TimestampType)
 
 
 def run_to_end(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None], mode: str = "append"):
@@ -100,16 +103,66 @@ def keep_state(stream: DataFrame, table: VersionedTable, step, checkpoint: str)
 # ---------------------------------------------------------------- request counts
 
 
-def request_windows(events: DataFrame, key: str, ts: str, delay: str, limit: int) -> DataFrame:
-    """Requests per key in sliding 60-second windows, with an over-limit flag (streaming or batch)."""
-    counted = (
-        events.withWatermark(ts, delay)
-        .groupBy(F.window(ts, f"{WINDOW_SECONDS} seconds", f"{STEP_SECONDS} seconds").alias("w"), key)
-        .agg(F.count(F.lit(1)).alias("requests"))
-    )
-    return counted.select(
-        F.col("w.start").alias("window_start"), key, "requests", (F.col("requests") > limit).alias("over_limit")
-    )
+REQUEST_STATE = "user_id BIGINT, step BIGINT, requests BIGINT, fresh BOOLEAN"
+
+
+def request_windows(state: VersionedTable, root: str, ts: str, delay: str, limit: int) -> Callable[[DataFrame, int], None]:
+    """Requests per key in sliding 60-second windows, with an over-limit flag: each batch stores the windows that it changed.
+
+    The state holds one row per key and step of ten seconds (``REQUEST_STATE``; ``fresh`` steps are those of the newest batch),
+    from which the windows over them are counted. A step is dealt by key and minute, also to the minute before when windows of
+    that one reach it, so a key's history is never together and windows are made after the shuffle. Windows that end no later
+    than ``delay`` before the newest request of earlier batches are closed: late requests do not count there, and steps that
+    only they hold are dropped.
+    """
+    key, steps = state.key, WINDOW_SECONDS // STEP_SECONDS
+
+    def is_open(last_step: Column, mark: Column | None) -> Column:
+        return F.lit(True) if mark is None else F.timestamp_seconds(last_step * STEP_SECONDS + WINDOW_SECONDS) > mark
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        step = F.floor(F.unix_seconds(ts) / STEP_SECONDS).cast("long").alias("step")
+        news = batch.where(F.col(ts).isNotNull()).groupBy(key, step).agg(F.count(F.lit(1)).alias("requests"), F.max(F.unix_micros(ts)).alias("newest"))
+        news = news.persist()
+        earlier = newest_before(spark, f"{root}-newest", batch_id)
+        mark = None if earlier is None else F.timestamp_micros(F.lit(earlier)) - F.expr(f"INTERVAL {delay}")
+        latest = news.agg(F.greatest(F.max("newest"), F.lit(earlier).cast("long")).alias("newest"))
+        latest.withColumn("version", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{root}-newest/turn={batch_id % TURNS}")
+        only = state.touched(news)
+        held = state.read(spark, batch_id, only).select(key, "step", "requests", F.lit(False).alias("fresh"))
+        both = held.unionByName(news.select(key, "step", "requests", F.lit(True).alias("fresh")))
+        both = both.where(is_open(F.col("step"), mark)).groupBy(key, "step")
+        state.write(both.agg(F.sum("requests").alias("requests"), F.bool_or("fresh").alias("fresh")), batch_id, only)
+        news.unpersist()
+
+        blocks = F.array_distinct(F.array(*[F.floor((F.col("step") - back) / steps) for back in (0, steps - 1)]))
+        current = state.read(spark, batch_id + 1, only).withColumn("block", F.explode(blocks))
+        # the windows that start in a block, by place: those from five steps before a step up to it hold that step
+        place, within = F.col("step") - F.col("block") * steps, []
+        for i in range(steps):
+            here = place.between(i, i + steps - 1)
+            within.append(F.sum(F.when(here, F.col("requests"))).alias(f"requests{i}"))
+            within.append(F.max(here & F.col("fresh")).alias(f"fresh{i}"))
+        first = F.col("block") * steps
+        cells = [F.when(F.col(f"fresh{i}"), F.struct((first + i).alias("first"), F.col(f"requests{i}").alias("requests"))) for i in range(steps)]
+        windows = (
+            spread(current, key, "block").groupBy(key, "block").agg(*within)
+            .select(key, F.inline(F.array(*cells)))
+            .where(F.col("first").isNotNull() & is_open(F.col("first"), mark))
+        )
+        start = F.timestamp_seconds(F.col("first") * STEP_SECONDS).alias("window_start")
+        collect_updates(root)(windows.select(start, key, "requests", (F.col("requests") > limit).alias("over_limit")), batch_id)
+
+    return run
+
+
+def newest_before(spark: SparkSession, root: str, batch_id: int) -> int | None:
+    """The newest time of the batches before one, in microseconds; none before the first."""
+    if batch_id == 0:
+        return None
+    rows = spark.read.schema("newest BIGINT, version BIGINT").parquet(root).where(F.col("version") < batch_id)
+    return rows.agg(F.max("newest").alias("t")).first().t
 
 
 def recent_requests(events: DataFrame, key: str, ts: str, event_id: str) -> DataFrame:
@@ -251,7 +304,9 @@ def collect_updates(root: str) -> Callable[[DataFrame, int], None]:
 
 def latest_updates(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
     """The newest row per key of an update-mode result."""
-    rows = spark.read.parquet(root)
-    others = [c for c in rows.columns if c not in (*keys, "batch")]
-    newest = F.max_by(F.struct(*others), "batch")
+    rows = spread(spark.read.parquet(root), *keys)  # most keys come once, so nothing is gained before the shuffle
+    others = [f for f in rows.schema if f.name not in (*keys, "batch")]
+    if all(isinstance(f.dataType, FIXED_WIDTH) for f in others):  # such values are aggregated by hash, without a sort
+        return rows.groupBy(*keys).agg(*[F.max_by(f.name, "batch").alias(f.name) for f in others])
+    newest = F.max_by(F.struct(*[f.name for f in others]), "batch")
     return rows.groupBy(*keys).agg(newest.alias("v")).select(*keys, "v.*")

@@ -191,3 +191,52 @@ def test_late_rows_are_dropped(spark, tmp_path):
         if os.path.isdir(tmp_path / f"out{n}"):
             routes |= {r.route for r in spark.read.parquet(str(tmp_path / f"out{n}")).collect()}
     assert routes == {"/a"}
+
+
+def test_request_windows_equal_brute_force(spark, tmp_path):
+    """Batches out of order, late rows, null keys and times, a batch that runs again: against windows counted one by one."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    start, delay = 1_704_067_200, 300
+    batches = []
+    for n in range(4):
+        ends = [start + 400 * n, start + 400 * (n + 1)]
+        times = [rng.uniform(*ends) for _ in range(60)] + [rng.uniform(start, ends[1]) for _ in range(20)] + [ends[1] - 1.0, None]
+        batches.append([(rng.choice([1, 1, 2, 3, None]), None if t is None else round(t, 3)) for t in times])
+    root = str(tmp_path / "updates")
+    state = VersionedTable(spark, str(tmp_path / "state"), jobs.REQUEST_STATE)
+    run = jobs.request_windows(state, root, "ts", f"{delay} seconds", 2)
+    counts, newest, dropped = {}, None, 0
+    for n, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "user_id long, t double").select("user_id", F.timestamp_micros((F.col("t") * 1e6).cast("long")).alias("ts"))
+        for _ in range(2 if n == 2 else 1):
+            run(frame, n)
+        changed = {}
+        for key, t in rows:
+            for first in () if t is None else range(int(t // 10) * 10 - 50, int(t // 10) * 10 + 1, 10):
+                if newest is None or first + 60 > newest - delay:
+                    changed[first, key] = counts[first, key] = counts.get((first, key), 0) + 1
+                else:
+                    dropped += 1
+        newest = max([t for _, t in rows if t] + [newest or 0])
+        stored = spark.read.parquet(f"{root}/batch={n}").collect()
+        assert sorted((int(r.window_start.timestamp()), str(r.user_id), r.requests, r.over_limit) for r in stored) == sorted(
+            (f, str(k), c, c > 2) for (f, k), c in changed.items())
+    assert dropped > 0
+    latest = jobs.latest_updates(spark, root, ["window_start", "user_id"])
+    assert latest.columns == ["window_start", "user_id", "requests", "over_limit"]
+    assert {(int(r.window_start.timestamp()), r.user_id): r.requests for r in latest.collect()} == counts
+    # one row per key and step that an open window still has, not one per window
+    held = state.read(spark)
+    assert held.count() == held.select("user_id", "step").distinct().count()
+    assert held.agg(F.min("step")).first()[0] * 10 + 60 > start + 3 * 400 - 1 - delay - 60
+
+
+def test_latest_updates_of_fixed_and_other_values(spark, tmp_path):
+    for n, rows in enumerate([[(1, 5, "a"), (2, 6, None)], [(2, None, "b")], [(None, 1, "c")]]):
+        spark.createDataFrame(rows, "k long, n long, s string").write.parquet(str(tmp_path / f"u/batch={n}"))
+        spark.createDataFrame([r[:2] for r in rows], "k long, n long").write.parquet(str(tmp_path / f"v/batch={n}"))
+    want = {1: (5, "a"), 2: (None, "b"), None: (1, "c")}
+    assert {r.k: (r.n, r.s) for r in jobs.latest_updates(spark, str(tmp_path / "u"), ["k"]).collect()} == want
+    assert {r.k: r.n for r in jobs.latest_updates(spark, str(tmp_path / "v"), ["k"]).collect()} == {k: n for k, (n, _) in want.items()}
