@@ -155,17 +155,20 @@ def test_shared_columns_are_enough_for_companions(spark):
     assert quality.distinct_values(datasets, set()).count() == 0
 
 
-def test_profiles_store_no_texts(spark):
-    import os
-
+def test_profiles_store_no_texts(spark, monkeypatch):
     from entries import checks
-    from mealgrid.core.scratch import shared_root
 
-    def stored():
-        root = shared_root(spark).removeprefix("file:")
-        return {os.path.join(at, f): os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(root) for f in files}
+    stored = []
+
+    def seen(keep):
+        return lambda df, *purpose: stored.append(df) or keep(df, *purpose)
 
-    before = stored()
-    checks.QUERIES["constrained_profiles"](spark, "/root/testdata/sf0.001").collect()
-    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
-    assert sum(n for f, n in stored().items() if f not in before) < texts / 2
+    for name in ("durable", "written"):
+        monkeypatch.setattr(checks, name, seen(getattr(checks, name)))
+    assert checks.QUERIES["constrained_profiles"](spark, "/root/testdata/sf0.001").count() == 5
+    values = [df for df in stored if "value" in df.columns]
+    assert len(values) == 1
+    held = values[0].groupBy("column").agg(F.max(F.octet_length("value")).alias("n")).collect()
+    assert {"text", "c_name", "p_name"} <= {r.column for r in held}  # columns of several tables
+    assert not {"l_orderkey", "html", "event_id"} & {r.column for r in held}
+    assert max(r.n for r in held) == 71  # a digest
